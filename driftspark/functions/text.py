@@ -12,6 +12,19 @@ DUMP_NOISE = (
 )
 
 
+# Between the groups of `regexp_groups`. The script scanner masks it in its input.
+GROUP_BREAK = "\x03"
+
+
+def regexp_groups(text: Column, pattern: str, n: int) -> Column:
+    """All `n` groups of a pattern that spans the whole text, by one evaluation of it.
+
+    An unmatched group is ''. Where the pattern does not match, the array holds the text alone.
+    """
+    groups = GROUP_BREAK.join(f"${i + 1}" for i in range(n))
+    return F.split(F.regexp_replace(text, pattern, groups), GROUP_BREAK, -1)
+
+
 def trim_blanks(text: Column) -> Column:
     """Trim blanks, tabs and line ends; Spark's own trim() only knows blanks."""
     return F.btrim(text, F.lit(" \t\n\r\f\x0b"))
@@ -53,22 +66,17 @@ def version_core(version: Column) -> Column:
 def is_newer(current: Column, latest: Column) -> Column:
     """True if `latest` is ahead of `current`, by major, minor and patch as integers.
 
-    A part that is not a number decides the comparison as "not newer"; a missing part is
-    equal to a missing part and otherwise also not newer.
+    The first differing part decides. A part that is missing or not a number decides as "not newer",
+    hence the fillers: nothing is ahead of the one, and the other is ahead of nothing.
     """
-    have = F.split(version_core(current), r"\.", -1)
-    want = F.split(version_core(latest), r"\.", -1)
-    decided = F.lit(False)
-    for i in (2, 1, 0):
-        a, b = F.get(have, F.lit(i)), F.get(want, F.lit(i))
-        a_num, b_num = a.try_cast("long"), b.try_cast("long")
-        unreadable = (a.isNotNull() & a_num.isNull()) | (b.isNotNull() & b_num.isNull())
-        decided = (
-            F.when(unreadable, False)
-            .when(~a_num.eqNullSafe(b_num), F.coalesce(b_num > a_num, F.lit(False)))
-            .otherwise(decided)
-        )
-    return F.when(current.isNull() | latest.isNull(), False).otherwise(decided)
+
+    def parts(version, filler):
+        texts = F.split(version_core(version), r"\.", 3)
+        numbers = [F.get(texts, F.lit(i)).try_cast("long") for i in range(3)]
+        return F.array(*[F.coalesce(number, F.lit(filler)) for number in numbers])
+
+    newer = parts(current, 2**63 - 1) < parts(latest, -1)
+    return newer & current.isNotNull() & latest.isNotNull()
 
 
 def clean_dump_text(sql: Column) -> Column:

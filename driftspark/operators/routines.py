@@ -16,7 +16,7 @@ from driftspark.functions.scan import (
     restore_literals,
     scan_script,
 )
-from driftspark.functions.text import trim_blanks
+from driftspark.functions.text import regexp_groups, trim_blanks
 from driftspark.schemas import PARAMETER, TABLE_COLUMN
 
 # Keywords, type names, clauses and defaults of the SQL dialect.
@@ -60,35 +60,48 @@ ATTRIBUTE_DEFAULTS = {
 }
 
 _NAME = r"(?:([a-zA-Z_]\w*)\.)?([a-zA-Z_]\w*)\s*\(([^()]*)\)"
-_CREATE_START = r"CREATE\s+(?:OR\s+REPLACE\s+)?(?:FUNCTION|PROCEDURE)\s"
-_COMMENT_START = r"COMMENT\s+ON\s+(?:FUNCTION|PROCEDURE)\s"
-STATEMENT_START = rf"(?i)\b(?={_CREATE_START}|{_COMMENT_START})"
-CREATE_ROUTINE = rf"(?is)^CREATE\s+(?:OR\s+REPLACE\s+)?(FUNCTION|PROCEDURE)\s+{_NAME}"
-COMMENT_ON = rf"(?is)^COMMENT\s+ON\s+(FUNCTION|PROCEDURE)\s+{_NAME}\s*IS\s*{PLACEHOLDER}\s*;"
-
-_NOT_NULL_INPUT = r"(?!NULL\s+ON\s+NULL\s+INPUT)"
-_TYPE_END = rf"\b(?:{'|'.join(RETURN_TYPE_ENDS)})\b"
-RETURNS_TABLE = r"(?is)\bRETURNS\s+TABLE\s*\(([^()]*)\)"
-RETURNS_TYPE = (
-    rf"(?is)\bRETURNS\s+{_NOT_NULL_INPUT}(SETOF\s+)?(?:(.*?)(?={_TYPE_END})|([^\n]*))"
+CREATE_START = r"CREATE\s+(?:OR\s+REPLACE\s+)?(?:FUNCTION|PROCEDURE)\s"
+COMMENT_START = r"COMMENT\s+ON\s+(?:FUNCTION|PROCEDURE)\s"
+STATEMENT_START = rf"(?i)\b(?={CREATE_START}|{COMMENT_START})"
+
+# Patterns for `regexp_groups`. Groups: kind, schema, name, arguments, rest of the statement.
+# Literals are masked, so the first semicolon ends it, save for BEGIN ATOMIC bodies.
+CREATE_ROUTINE = (
+    rf"(?is)^CREATE\s+(?:OR\s+REPLACE\s+)?(FUNCTION|PROCEDURE)\s+{_NAME}([^;]*).*\z"
+)
+# Groups: kind, schema, name, argument types, number of the literal.
+COMMENT_ON = rf"(?is)^COMMENT\s+ON\s+(FUNCTION|PROCEDURE)\s+{_NAME}\s*IS\s*{PLACEHOLDER}\s*;.*\z"
+# Groups: mode, text before any default.
+PARAMETER_TEXT = (
+    rf"(?is)^(?:({'|'.join(PARAMETER_MODES)})\s+)?(.*?)(?:\s+DEFAULT\b.*|\s*:?=.*)?\z"
 )
+# Groups: name, then the type in one of the other three.
+NAMED_TYPE = (
+    rf"(?is)^(?:({'|'.join(MULTI_WORD_TYPES)})(?:(\s*\([\d\s,]+\))?((?:\[\])*))|(\S+)\s+(.+)|(\S+))\z"
+)
+_TYPE_END = rf"\b(?:{'|'.join(RETURN_TYPE_ENDS)})\b"
+_RETURNS = r"\bRETURNS\s+(?!NULL\s+ON\s+NULL\s+INPUT)"
+# Groups: TABLE, its columns, SETOF, type up to a keyword, or else up to the line end.
 RETURNS_CLAUSE = (
-    rf"(?is)\bRETURNS\s+{_NOT_NULL_INPUT}"
-    rf"(?:TABLE\s*\([^()]*\)|(?:SETOF\s+)?.*?(?={_TYPE_END}|\z))"
+    rf"(?is)^.*?{_RETURNS}(?:(TABLE)\s*\(([^()]*)\)"
+    rf"|(SETOF\s+)?(?:(.*?)(?={_TYPE_END})|([^\n]*))).*\z"
+)
+# What is not attributes in the rest of a statement: the RETURNS clause and all from the body on.
+NOT_ATTRIBUTES = (
+    rf"(?is){_RETURNS}(?:TABLE\s*\([^()]*\)|(?:SETOF\s+)?.*?(?={_TYPE_END}|\z))"
+    rf"|\bAS(?=[\s{OPEN}]).*\z|\bBEGIN\s+ATOMIC\b.*\z"
 )
-BODY_START = rf"(?is)(?:\bAS(?=[\s{OPEN}])|\bBEGIN\s+ATOMIC\b).*$"
-BODY_LITERAL = rf"(?is)\bAS\s*E?{PLACEHOLDER}"
+BODY_LITERAL = rf"(?i)\bAS\s*E?{PLACEHOLDER}"
 BODY_ATOMIC = r"(?is)\bBEGIN\s+ATOMIC(?:\s*;)?((?:.*?;)?\s*)\bEND\b\s*(?:;|\z)"
 ATTRIBUTE = rf"(?i)(?<!\S)(?:{'|'.join(ATTRIBUTE_CLAUSES)})"
-MULTI_WORD_TYPE = rf"(?i)^(?:{'|'.join(MULTI_WORD_TYPES)})(?:\s*\([\d\s,]+\))?(?:\[\])*$"
 
 
 def _empty_as_null(text: Column) -> Column:
     return F.when(text != "", text)
 
 
-def _statements(scripts: DataFrame, text: str, *kinds: str) -> DataFrame:
-    """One row per statement that matches one of `kinds`, numbered per kind within its script.
+def _statements(scripts: DataFrame, text: str, *starts: str) -> DataFrame:
+    """One row per statement with one of the `starts`, numbered per start within its script.
 
     Each row carries only its own literals: `parts` is the slice its placeholders refer to and
     `base` the number of the first of them.
@@ -97,103 +110,85 @@ def _statements(scripts: DataFrame, text: str, *kinds: str) -> DataFrame:
     scan = scripts.select(*others, scan_script(text).alias("_scan"))
     pieces = F.split(F.col("_scan.masked"), STATEMENT_START, -1)
 
+    def number(piece, nth):
+        after = F.substring_index(F.substring_index(piece, CLOSE, nth), OPEN, -1)
+        digits = F.substring_index(after, CLOSE, 1)
+        return F.when(F.contains(piece, F.lit(OPEN)), digits.cast("int"))
+
     def statement(piece, pos):
-        first = F.regexp_extract(piece, PLACEHOLDER, 1).try_cast("int")
-        last = F.regexp_extract(piece, rf"(?s)^.*{PLACEHOLDER}", 1).try_cast("int")
-        start = F.coalesce(first, F.lit(0))
-        count = F.coalesce(last - first + 1, F.lit(0))
         return F.struct(
             pos.cast("int").alias("pos"),
             piece.alias("text"),
-            start.alias("base"),
-            F.slice(F.col("_scan.parts"), start + 1, count).alias("parts"),
+            number(piece, 1).alias("first"),
+            number(piece, -2).alias("last"),
         )
 
-    def of_kind(kind):
-        return F.transform(F.filter(pieces, lambda piece: piece.rlike(kind)), statement)
+    def starting(start):
+        own = F.filter(pieces, lambda piece: piece.rlike(rf"(?i)^{start}"))
+        return F.transform(own, statement)
+
+    def with_parts(s):
+        count = F.coalesce(s["last"] - s["first"] + 1, F.lit(0))
+        return F.struct(
+            s["pos"].alias("pos"),
+            s["text"].alias("text"),
+            s["first"].alias("base"),
+            F.slice(F.col("_scan.parts"), F.coalesce(s["first"], F.lit(0)) + 1, count).alias("parts"),
+        )
 
-    found = F.concat(*[of_kind(kind) for kind in kinds])
-    return scan.select(*others, F.explode(found).alias("_statement")).select(
+    found = F.concat(*[starting(start) for start in starts])
+    return scan.select(*others, F.explode(F.transform(found, with_parts)).alias("_statement")).select(
         *others, "_statement.*"
     )
 
 
 def _parameters(content: Column, parts: Column, base: Column) -> Column:
     """Parameter list text (top-level commas only) -> array of parameters."""
-    mode = rf"(?is)^({'|'.join(PARAMETER_MODES)})\s+"
     items = F.filter(
         F.transform(F.split(content, ",", -1), trim_blanks), lambda item: item != ""
     )
-    moded = F.transform(
-        items,
-        lambda item: F.struct(
-            _empty_as_null(F.lower(F.regexp_extract(item, mode, 1))).alias("dir"),
-            F.regexp_replace(
-                F.regexp_replace(item, mode, ""), r"(?is)\s+DEFAULT\b.*$|\s*:?=.*$", ""
-            ).alias("rest"),
-        ),
-    )
-    restored = F.transform(
-        moded,
-        lambda p: F.struct(
-            p["dir"].alias("dir"),
-            trim_blanks(restore_literals(p["rest"], parts, base)).alias("rest"),
-        ),
-    )
+    moded = F.transform(items, lambda item: regexp_groups(item, PARAMETER_TEXT, 2))
 
-    def named(p, i):
-        unnamed = p["rest"].rlike(MULTI_WORD_TYPE) | ~p["rest"].rlike(r"\s")
+    def typed(p):
+        text = trim_blanks(restore_literals(p[1], parts, base))
+        return F.struct(p[0].alias("mode"), regexp_groups(text, NAMED_TYPE, 6).alias("type"))
+
+    def parameter(p, i):
+        words = p["type"]
         return F.struct(
             (i + 1).cast("int").alias("pos"),
-            p["dir"].alias("dir"),
-            F.when(~unnamed, F.regexp_extract(p["rest"], r"^\S+", 0)).alias("name"),
-            F.when(unnamed, p["rest"])
-            .otherwise(F.regexp_replace(p["rest"], r"^\S+\s+", ""))
-            .alias("type"),
+            _empty_as_null(F.lower(p["mode"])).alias("dir"),
+            _empty_as_null(words[3]).alias("name"),
+            F.concat(words[0], words[1], words[2], words[4], words[5]).alias("type"),
         )
 
-    return F.transform(restored, named).cast(f"array<{PARAMETER}>")
+    return F.transform(F.transform(moded, typed), parameter).cast(f"array<{PARAMETER}>")
 
 
-def _table_columns(content: Column, parts: Column, base: Column) -> Column:
+def _returns(clause: Column, parts: Column, base: Column) -> Column:
+    """RETURNS_CLAUSE groups -> nested return; NULL where there is no clause."""
+    table = clause[0] != ""
     items = F.transform(
-        F.split(content, ",", -1), lambda item: trim_blanks(restore_literals(item, parts, base))
+        F.split(clause[1], ",", -1), lambda item: trim_blanks(restore_literals(item, parts, base))
     )
-    return F.transform(
+    columns = F.transform(
         F.filter(items, lambda item: item != ""),
         lambda item: F.struct(
             F.regexp_extract(item, r"^\S+", 0).alias("name"),
             F.regexp_extract(item, r"(?s)^\S+\s+(.*)$", 1).alias("type"),
         ),
     ).cast(f"array<{TABLE_COLUMN}>")
-
-
-def _returns(zone: Column, type_text: Column, parts: Column, base: Column) -> Column:
-    table = zone.rlike(RETURNS_TABLE)
-    columns = _table_columns(F.regexp_extract(zone, RETURNS_TABLE, 1), parts, base)
+    type_text = trim_blanks(F.concat(clause[3], clause[4]))
     return F.when(
-        zone.rlike(RETURNS_TYPE),
+        F.size(clause) == 5,
         F.struct(
-            (~table & (F.regexp_extract(zone, RETURNS_TYPE, 1) != "")).alias("setof"),
-            F.when(~table, trim_blanks(restore_literals(type_text, parts, base))).alias("type"),
+            (clause[2] != "").alias("setof"),
+            F.when(~table, restore_literals(type_text, parts, base)).alias("type"),
             F.when(table, columns).alias("table"),
         ),
     )
 
 
-def _attributes(zone: Column, parts: Column, base: Column) -> Column:
-    found = F.regexp_extract_all(zone, F.lit(ATTRIBUTE), F.lit(0))
-    return F.transform(found, lambda a: restore_literals(a, parts, base))
-
-
-def _body(literal: Column, atomic_text: Column, parts: Column, base: Column) -> Column:
-    return (
-        F.when(literal.startswith("$"), dollar_body(literal))
-        .when(literal.startswith("'"), quoted_body(literal))
-        .otherwise(restore_literals(atomic_text, parts, base))
-    )
-
-
 def extract_routines(scripts: DataFrame, text: str = "text") -> DataFrame:
     """One row per routine definition: kind, schema, name, parameters, returns, attributes, body.
 
@@ -201,9 +196,8 @@ def extract_routines(scripts: DataFrame, text: str = "text") -> DataFrame:
     A narrow job: one Arrow hop, no shuffle.
     """
     others = [c for c in scripts.columns if c != text]
-    return _read_definitions(_statements(scripts, text, CREATE_ROUTINE)).select(
-        *others, *ROUTINE_COLUMNS
-    )
+    statements = _statements(scripts, text, CREATE_START)
+    return _read_definitions(statements).where("name is not null").select(*others, *ROUTINE_COLUMNS)
 
 
 ROUTINE_COLUMNS = [
@@ -213,51 +207,42 @@ ROUTINE_COLUMNS = [
 
 def _read_definitions(statements: DataFrame) -> DataFrame:
     """Each step names what the next one reads more than once, so nothing is computed twice."""
-    parts, base, tail = F.col("parts"), F.col("base"), F.col("tail")
-    # Literals are masked, so the first semicolon ends the statement, save for BEGIN ATOMIC bodies.
-    heads = statements.withColumn("head", F.regexp_extract("text", r"^[^;]*", 0))
-    tails = heads.withColumns(
-        {
-            "kind": F.lower(F.regexp_extract("head", CREATE_ROUTINE, 1)),
-            "schema": _empty_as_null(F.regexp_extract("head", CREATE_ROUTINE, 2)),
-            "name": F.regexp_extract("head", CREATE_ROUTINE, 3),
-            "arguments": F.regexp_extract("head", CREATE_ROUTINE, 4),
-            "tail": F.regexp_replace("head", CREATE_ROUTINE, ""),
-        }
+    parts, base = F.col("parts"), F.col("base")
+    heads = statements.withColumn("head", regexp_groups(F.col("text"), CREATE_ROUTINE, 5))
+    tails = heads.select(
+        *statements.columns,
+        F.get("head", F.lit(3)).alias("arguments"),
+        F.get("head", F.lit(4)).alias("tail"),
+        F.when(F.size("head") == 5, F.lower(F.get("head", F.lit(0)))).alias("kind"),
+        _empty_as_null(F.get("head", F.lit(1))).alias("schema"),
+        F.get("head", F.lit(2)).alias("name"),
     )
+    number = _empty_as_null(F.regexp_extract("tail", BODY_LITERAL, 1)).cast("int")
     zones = tails.withColumns(
         {
-            # The AS of the body clause ends a return type, so it stays in this zone.
-            "type_zone": F.regexp_replace(tail, rf"(?is)(?<=\bAS)[\s{OPEN}].*$", ""),
-            "zone": F.regexp_replace(tail, BODY_START, ""),
-            "literal": F.get(
-                parts, F.regexp_extract(tail, BODY_LITERAL, 1).try_cast("int") - base
-            ),
-            "atomic": tail.rlike(r"(?i)\bBEGIN\s+ATOMIC\b"),
+            "clause": regexp_groups(F.col("tail"), RETURNS_CLAUSE, 5),
+            "zone": F.regexp_replace(F.regexp_replace("tail", NOT_ATTRIBUTES, ""), r"\s+", " "),
+            "literal": F.get(parts, number - base),
         }
     )
-    texts = zones.withColumns(
-        {
-            "type_text": F.concat(
-                F.regexp_extract("type_zone", RETURNS_TYPE, 2),
-                F.regexp_extract("type_zone", RETURNS_TYPE, 3),
-            ),
-            "zone": F.regexp_replace(
-                F.regexp_replace("zone", RETURNS_CLAUSE, ""), r"\s+", " "
-            ),
-            "atomic": F.col("literal").isNull() & F.col("atomic"),
-            "atomic_text": F.when(
-                F.col("literal").isNull() & F.col("atomic"),
-                _empty_as_null(F.regexp_extract("text", BODY_ATOMIC, 1)),
-            ),
-        }
+    atomic_text = F.when(
+        F.col("literal").isNull(), _empty_as_null(F.regexp_extract("text", BODY_ATOMIC, 1))
+    )
+    texts = zones.withColumn("atomic_text", atomic_text)
+    literal = F.col("literal")
+    body = (
+        F.when(literal.startswith("$"), dollar_body(literal))
+        .when(literal.startswith("'"), quoted_body(literal))
+        .otherwise(restore_literals(F.col("atomic_text"), parts, base))
     )
+    found = F.regexp_extract_all("zone", F.lit(ATTRIBUTE), F.lit(0))
     return texts.withColumns(
         {
             "parameters": _parameters(F.col("arguments"), parts, base),
-            "returns": _returns(F.col("type_zone"), F.col("type_text"), parts, base),
-            "attributes": _attributes(F.col("zone"), parts, base),
-            "body": _body(F.col("literal"), F.col("atomic_text"), parts, base),
+            "returns": _returns(F.col("clause"), parts, base),
+            "attributes": F.transform(found, lambda a: restore_literals(a, parts, base)),
+            "body": body,
+            "atomic": literal.isNull() & F.col("tail").rlike(r"(?i)\bBEGIN\s+ATOMIC\b"),
         }
     )
 
@@ -303,7 +288,7 @@ _NESTED = ["parameters", "returns", "attributes", "body", "atomic"]
 def extract_comments(scripts: DataFrame, text: str = "text") -> DataFrame:
     """One row per ``COMMENT ON FUNCTION/PROCEDURE ... IS '...'`` with its lower-cased argument types."""
     others = [c for c in scripts.columns if c != text]
-    statements = _statements(scripts, text, COMMENT_ON)
+    statements = _statements(scripts, text, COMMENT_START)
     return _read_comments(statements).where("comment is not null").select(
         *others, "pos", "kind", "schema", "name", "arg_types", "comment"
     )
@@ -311,16 +296,16 @@ def extract_comments(scripts: DataFrame, text: str = "text") -> DataFrame:
 
 def _read_comments(statements: DataFrame) -> DataFrame:
     parts, base = F.col("parts"), F.col("base")
-    literal = F.get(parts, F.regexp_extract("text", COMMENT_ON, 5).try_cast("int") - base)
-    parameters = _parameters(F.regexp_extract("text", COMMENT_ON, 4), parts, base)
-    return statements.withColumn("literal", literal).withColumns(
-        {
-            "kind": F.lower(F.regexp_extract("text", COMMENT_ON, 1)),
-            "schema": _empty_as_null(F.regexp_extract("text", COMMENT_ON, 2)),
-            "name": F.regexp_extract("text", COMMENT_ON, 3),
-            "arg_types": argument_types(parameters),
-            "comment": F.when(F.col("literal").startswith("'"), quoted_body(F.col("literal"))),
-        }
+    said = statements.withColumn("said", regexp_groups(F.col("text"), COMMENT_ON, 5))
+    number = F.when(F.size("said") == 5, F.get("said", F.lit(4))).cast("int")
+    literals = said.withColumn("literal", F.get(parts, number - base))
+    return literals.select(
+        *statements.columns,
+        F.when(F.size("said") == 5, F.lower(F.get("said", F.lit(0)))).alias("kind"),
+        _empty_as_null(F.get("said", F.lit(1))).alias("schema"),
+        F.get("said", F.lit(2)).alias("name"),
+        argument_types(_parameters(F.get("said", F.lit(3)), parts, base)).alias("arg_types"),
+        F.when(F.col("literal").startswith("'"), quoted_body(F.col("literal"))).alias("comment"),
     )
 
 
@@ -359,32 +344,27 @@ def parse_routines(scripts: DataFrame, text: str = "text") -> DataFrame:
     window partition outgrows what a task has already held.
     """
     others = [c for c in scripts.columns if c != text]
-    statements = _statements(scripts, text, CREATE_ROUTINE, COMMENT_ON)
-    remarked = _read_comments(statements).select(
-        *others,
-        "pos",
-        "text",
-        "base",
-        "parts",
-        F.struct("kind", "schema", "name", "arg_types", "comment").alias("said"),
-    )
-    defined = _read_definitions(remarked)
+    statements = _statements(scripts, text, CREATE_START, COMMENT_START)
+    said = F.struct("kind", "schema", "name", "arg_types", "comment").alias("said")
+    remarked = _read_comments(statements).select(*statements.columns, said)
     comment_key = F.struct("said.kind", "said.schema", "said.name", "said.arg_types")
     routine_key = F.struct(
         "kind", "schema", "name", argument_types(F.col("parameters")).alias("arg_types")
     )
-    key = F.when(F.col("kind") == "", comment_key).otherwise(routine_key)
+    defined = _read_definitions(remarked).select(
+        *others,
+        *ROUTINE_COLUMNS,
+        F.when(F.col("kind").isNull(), comment_key).otherwise(routine_key).alias("key"),
+        F.col("said.comment").alias("comment"),
+    )
     same = (
         Window.partitionBy(*others, "key")
         .orderBy("pos")
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
-    return (
-        defined.withColumn("key", key)
-        .withColumn("comment", F.last("said.comment", ignorenulls=True).over(same))
-        .where("kind != ''")
-        .select(*others, *ROUTINE_COLUMNS, "comment")
-    )
+    return defined.withColumn("comment", F.last("comment", ignorenulls=True).over(same)).where(
+        "kind is not null"
+    )[[*others, *ROUTINE_COLUMNS, "comment"]]
 
 
 def resolve_attributes(routines: DataFrame) -> DataFrame:

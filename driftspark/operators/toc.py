@@ -1,34 +1,34 @@
 """Archive listings: classify, filter and group table-of-contents lines."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.functions.text import clean_dump_text
+from driftspark.functions.text import clean_dump_text, regexp_groups
 
-# Line layouts of an archive listing. Groups: schema, routine name.
-_TARGET = r"(?:FUNCTION|PROCEDURE)\s+([^\s(]+)\("
-ROUTINE_LINE = r"^\d+;\s+1255\s+\d+\s+(?:FUNCTION|PROCEDURE)\s+(\S+)\s+([^\s(]+)\("
-COMMENT_LINE = rf"^\d+;\s+0\s+0\s+COMMENT\s+(\S+)\s+{_TARGET}"
-ACL_LINE = rf"^\d+;\s+0\s+0\s+ACL\s+(\S+)\s+{_TARGET}"
+# Line layouts of an archive listing.
+# Groups: 1255 for a definition and its schema, COMMENT or ACL and its schema, routine name.
+ROUTINE_LINE = (
+    r"(?s)^\d+;\s+"
+    r"(?:(1255)\s+\d+\s+(?:FUNCTION|PROCEDURE)\s+(\S+)"
+    r"|0\s+0\s+(COMMENT|ACL)\s+(\S+)\s+(?:FUNCTION|PROCEDURE))"
+    r"\s+([^\s(]+)\(.*\z"
+)
 ROUTINE_WORD = r"\bFUNCTION\b|\bPROCEDURE\b"
 
 
-def _part(line: Column, group: int) -> Column:
-    found = [F.regexp_extract(line, p, group) for p in (ROUTINE_LINE, COMMENT_LINE, ACL_LINE)]
-    return F.coalesce(*[F.nullif(text, F.lit("")) for text in found])
-
-
 def classify_toc(lines: DataFrame) -> DataFrame:
     """Add `kind` (routine, comment, acl or NULL), `schema` and routine `name` to listing lines."""
-    line = F.col("line")
-    kind = (
-        F.when(line.rlike(ROUTINE_LINE), "routine")
-        .when(line.rlike(COMMENT_LINE), "comment")
-        .when(line.rlike(ACL_LINE), "acl")
-    )
-    return lines.withColumns(
-        {"kind": kind, "schema": _part(line, 1), "name": _part(line, 2)}
-    )
+    read = lines.withColumn("_toc", regexp_groups(F.col("line"), ROUTINE_LINE, 5))
+    group = F.col("_toc")
+    found = F.size("_toc") == 5
+    kind = F.when(group[0] != "", "routine").otherwise(F.lower(group[2]))
+    return read.withColumns(
+        {
+            "kind": F.when(found, kind),
+            "schema": F.when(found, F.concat(group[1], group[3])),
+            "name": F.when(found, group[4]),
+        }
+    ).drop("_toc")
 
 
 def group_toc(lines: DataFrame, by_schema: bool = False) -> DataFrame:
@@ -39,7 +39,9 @@ def group_toc(lines: DataFrame, by_schema: bool = False) -> DataFrame:
     is found by a map-side combined minimum, so no group has to fit into a task.
     """
     keys = ["file", "schema", "name"] if by_schema else ["file", "name"]
-    relevant = classify_toc(lines).where("kind is not null")
+    line = F.col("line")
+    spoken = line.contains("FUNCTION") | line.contains("PROCEDURE")
+    relevant = classify_toc(lines.where(spoken)).where("kind is not null")
     starts = relevant.where("kind = 'routine'").groupBy(*keys).agg(F.min("pos").alias("first_pos"))
     return (
         relevant.join(starts, keys)

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of few files over all cores, for work that is heavy per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 # Four routines and up to three comments per part; {..} are SQL expressions over `part`.
 SCRIPT = """\
 -- part {p_partkey}: CREATE FUNCTION fake.line_{p_partkey}() RETURNS void
@@ -89,7 +95,8 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.expr(HAS_SECOND), filled_column(SECOND_COMMENT)).otherwise(""),
     )
     text = filled_column(SCRIPT, volatility=F.expr(VOLATILITY), comments=comments)
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("script_id"), text.alias("text"))
+    parts = spread(table(spark, sf_dir, "part"))
+    return parts.select(F.col("p_partkey").alias("script_id"), text.alias("text"))
 
 
 DESIRED = """\
@@ -107,9 +114,8 @@ COMMENT ON FUNCTION app.f_{p_partkey}(integer, character varying) IS '{p_brand}'
 
 
 def desired_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("script_id"), filled_column(DESIRED).alias("text")
-    )
+    parts = spread(table(spark, sf_dir, "part"))
+    return parts.select(F.col("p_partkey").alias("script_id"), filled_column(DESIRED).alias("text"))
 
 
 # What the deployed state has otherwise than the scripts, by properties of the part.
@@ -209,7 +215,7 @@ def system_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def toc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing lines from orders: a file per status, a routine name per customer."""
-    return table(spark, sf_dir, "orders").selectExpr(
+    return spread(table(spark, sf_dir, "orders")).selectExpr(
         "'dump_' || o_orderstatus AS file",
         "o_orderkey AS pos",
         """o_orderkey || CASE o_orderpriority

@@ -23,7 +23,7 @@ from driftspark.plans import (
     shared_bodies as shared_bodies_of,
 )
 from driftspark.workload import inputs
-from driftspark.workload.inputs import table
+from driftspark.workload.inputs import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,19 +43,19 @@ def joined(items: Column, sep: str = "|") -> Column:
 
 @query
 def normalize_text(spark, sf):
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", normalize_text_of(F.col("text")).alias("normalized")
     )
 
 
 @query
 def text_fingerprint(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", fingerprint(F.col("text")).alias("hash"))
+    return spread(table(spark, sf, "documents")).select("doc_id", fingerprint(F.col("text")).alias("hash"))
 
 
 @query
 def duplicate_bodies(spark, sf):
-    return drift.duplicate_bodies(table(spark, sf, "documents"), "doc_id", "text")
+    return drift.duplicate_bodies(spread(table(spark, sf, "documents")), "doc_id", "text")
 
 
 @query
@@ -79,7 +79,7 @@ def parse_pg_array(spark, sf):
 
 @query
 def version_in_text(spark, sf):
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", extract_version(F.col("text")).alias("version")
     )
 
@@ -88,7 +88,7 @@ def version_in_text(spark, sf):
 def version_is_newer(spark, sf):
     current = F.expr("'v' || l_linenumber || '.' || l_suppkey || '.' || CAST(l_quantity AS INT) || '.7'")
     latest = F.expr("l_linenumber % 3 + 2 || '.' || l_orderkey % 40 || '.' || CAST(l_quantity AS INT) % 9")
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         "l_orderkey", "l_linenumber", "l_partkey", is_newer(current, latest).alias("newer")
     )
 
@@ -312,7 +312,7 @@ def clean_dump_lines(spark, sf):
         || '\nSELECT pg_catalog.set_config(\'search_path\', \'\', false);\nALTER FUNCTION s.f(integer) OWNER TO '
         || source || ';\nALTER TABLE t OWNER TO ' || source || ';\n\\unrestrict ' || lang"""
     )
-    texts = table(spark, sf, "documents").select("doc_id", restored.alias("text"))
+    texts = spread(table(spark, sf, "documents")).select("doc_id", restored.alias("text"))
     return toc.clean_dump_lines(texts)
 
 
@@ -379,7 +379,7 @@ def first_seen(spark, sf):
 
 @query
 def extract_file_refs(spark, sf):
-    commands = table(spark, sf, "orders").selectExpr(
+    commands = spread(table(spark, sf, "orders")).selectExpr(
         "o_orderkey",
         """' serve ./base_' || o_custkey || '.json ' || CASE o_orderstatus WHEN 'F' THEN '--optional'
             WHEN 'O' THEN '--verbose' ELSE 'word' END
@@ -392,7 +392,7 @@ def extract_file_refs(spark, sf):
 
 
 def _jsonc(spark, sf):
-    return table(spark, sf, "events").selectExpr(
+    return spread(table(spark, sf, "events")).selectExpr(
         "event_id",
         r"""'// event ' || event_id || '\n\n  // ' || event_type || '\n{ // open\n  "url": "http://x/*' || user_id
         || '*/", /* "k": 0, */ "props": ' || props || ' }\n// end' AS text""",
@@ -410,7 +410,7 @@ def read_jsonc(spark, sf):
 
 
 def _schema_docs(spark, sf):
-    return table(spark, sf, "events").selectExpr(
+    return spread(table(spark, sf, "events")).selectExpr(
         "event_id",
         """parse_json('{"type": "object", "properties": {'
         || '"k": {"type": "integer", "description": "' || event_type || '", "default": ' || get_json_object(props, '$.k') || '},'
