@@ -157,7 +157,7 @@ def _parameters(content: Column, parts: Column, base: Column) -> Column:
         words = p["type"]
         return F.struct(
             (i + 1).cast("int").alias("pos"),
-            _empty_as_null(F.lower(p["mode"])).alias("dir"),
+            F.when(p["mode"] != "", F.lower(p["mode"])).alias("dir"),
             _empty_as_null(words[3]).alias("name"),
             F.concat(words[0], words[1], words[2], words[4], words[5]).alias("type"),
         )
@@ -340,11 +340,15 @@ def attach_comments(routines: DataFrame, comments: DataFrame, by: list[str]) ->
 def parse_routines(scripts: DataFrame, text: str = "text") -> DataFrame:
     """`extract_routines` with comments attached, in one scan and one shuffle.
 
-    The window runs over one signature within one script. A script is a single input row, so no
-    window partition outgrows what a task has already held.
+    The window runs over one signature within one script: its other columns, its text and its input
+    partition. Equal copies of a script may share a window partition, which changes no result, but
+    only those that came from one input partition, so none outgrows what a task has already held.
     """
     others = [c for c in scripts.columns if c != text]
-    statements = _statements(scripts, text, CREATE_START, COMMENT_START)
+    origin = F.struct(F.xxhash64(text).alias("text"), F.spark_partition_id().alias("partition"))
+    statements = _statements(
+        scripts.withColumn("_origin", origin), text, CREATE_START, COMMENT_START
+    )
     said = F.struct("kind", "schema", "name", "arg_types", "comment").alias("said")
     remarked = _read_comments(statements).select(*statements.columns, said)
     comment_key = F.struct("said.kind", "said.schema", "said.name", "said.arg_types")
@@ -353,18 +357,18 @@ def parse_routines(scripts: DataFrame, text: str = "text") -> DataFrame:
     )
     defined = _read_definitions(remarked).select(
         *others,
+        "_origin",
         *ROUTINE_COLUMNS,
-        F.when(F.col("kind").isNull(), comment_key).otherwise(routine_key).alias("key"),
+        F.when(F.col("kind").isNull(), comment_key).otherwise(routine_key).alias("_key"),
         F.col("said.comment").alias("comment"),
     )
     same = (
-        Window.partitionBy(*others, "key")
+        Window.partitionBy(*others, "_origin", "_key")
         .orderBy("pos")
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
-    return defined.withColumn("comment", F.last("comment", ignorenulls=True).over(same)).where(
-        "kind is not null"
-    )[[*others, *ROUTINE_COLUMNS, "comment"]]
+    commented = defined.withColumn("comment", F.last("comment", ignorenulls=True).over(same))
+    return commented.where("kind is not null").select(*others, *ROUTINE_COLUMNS, "comment")
 
 
 def resolve_attributes(routines: DataFrame) -> DataFrame:
