@@ -15,7 +15,7 @@ from driftspark.workload.queries import QUERIES  # noqa: E402
 HEADLINES = [
     "drift_report", "parse_routines", "shared_bodies", "strip_sql_comments", "duplicate_bodies",
     "fold_catalog_rows", "catalog_metadata", "group_toc", "layered_merge", "effective_settings",
-    "resolve_placeholders", "parse_kv", "flatten_json", "version_is_newer",
+    "resolve_placeholders", "parse_kv", "flatten_json", "is_newer",
 ]
 
 

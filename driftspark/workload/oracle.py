@@ -130,7 +130,7 @@ MERGED = """
 
 ORACLE = {
     "normalize_text": f"SELECT doc_id, {squeezed('text')} AS normalized FROM documents",
-    "text_fingerprint": f"SELECT doc_id, sha256({squeezed('text')}) AS hash FROM documents",
+    "fingerprint": f"SELECT doc_id, sha256({squeezed('text')}) AS hash FROM documents",
     "duplicate_bodies": f"""
         SELECT sha256({squeezed('text')}) AS fingerprint, count(*) AS copies, min(doc_id) AS first_key
         FROM documents GROUP BY 1 HAVING count(*) > 1""",
@@ -140,12 +140,12 @@ ORACLE = {
     "parse_pg_array": """
         SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '' ELSE c_name || '|seg=' || c_mktsegment || '|' END AS elements,
             CASE WHEN c_acctbal < 0 THEN 0 ELSE 3 END AS n FROM customer""",
-    "version_in_text": r"""
+    "extract_version": r"""
         SELECT doc_id, coalesce(nullif(regexp_extract(text, '\d+(?:\.\d+)+'), ''), 'unknown output') AS version
         FROM documents""",
-    "version_is_newer": f"""
+    "is_newer": f"""
         SELECT l_orderkey, l_linenumber, l_partkey, {CURRENT} < {LATEST} AS newer FROM lineitem""",
-    "outdated_versions": """
+    "outdated": """
         SELECT 'tool_' || p_partkey AS name, p_size || '.' || p_partkey % 10 || '.3.0' AS installed,
             'v' || (c_nationkey * 2) || '.' || c_custkey % 10 || '.3' AS latest,
             CASE WHEN p_size = c_nationkey * 2 THEN 'latest' WHEN p_size < c_nationkey * 2 THEN 'update' END AS status

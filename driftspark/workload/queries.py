@@ -9,19 +9,14 @@ from driftspark.functions import (
     extract_version,
     fingerprint,
     is_newer,
-    mask_bodies as mask_bodies_of,
-    mask_secret as mask_secret_of,
-    normalize_text as normalize_text_of,
-    parse_pg_array as parse_pg_array_of,
-    strip_sql_comments as strip_sql_comments_of,
+    mask_bodies,
+    mask_secret,
+    normalize_text,
+    parse_pg_array,
+    strip_sql_comments,
 )
 from driftspark.operators import catalog, drift, jsondocs, routines, settings, toc
-from driftspark.plans import (
-    connection_fields as connection_fields_of,
-    drift_report as drift_report_of,
-    effective_settings as effective_settings_of,
-    shared_bodies as shared_bodies_of,
-)
+from driftspark.plans import connection_fields, drift_report, effective_settings, shared_bodies
 from driftspark.workload import inputs
 from driftspark.workload.inputs import spread, table
 
@@ -30,7 +25,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    """Register under the operator's name; a trailing underscore only avoids an imported name."""
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -42,14 +38,14 @@ def joined(items: Column, sep: str = "|") -> Column:
 
 
 @query
-def normalize_text(spark, sf):
+def normalize_text_(spark, sf):
     return spread(table(spark, sf, "documents")).select(
-        "doc_id", normalize_text_of(F.col("text")).alias("normalized")
+        "doc_id", normalize_text(F.col("text")).alias("normalized")
     )
 
 
 @query
-def text_fingerprint(spark, sf):
+def fingerprint_(spark, sf):
     return spread(table(spark, sf, "documents")).select("doc_id", fingerprint(F.col("text")).alias("hash"))
 
 
@@ -59,33 +55,33 @@ def duplicate_bodies(spark, sf):
 
 
 @query
-def mask_secret(spark, sf):
+def mask_secret_(spark, sf):
     conn = F.expr(
         "'Host=h' || c_nationkey || ';PASSWORD = ' || c_name || ';Port=' || c_custkey || ';password=' || c_mktsegment"
     )
-    return table(spark, sf, "customer").select("c_custkey", mask_secret_of(conn).alias("masked"))
+    return table(spark, sf, "customer").select("c_custkey", mask_secret(conn).alias("masked"))
 
 
 @query
-def parse_pg_array(spark, sf):
+def parse_pg_array_(spark, sf):
     literal = F.expr(
         "CASE WHEN c_acctbal < 0 THEN '{}' ELSE '{' || c_name || ',seg=' || c_mktsegment || ',}' END"
     )
-    elements = parse_pg_array_of(literal)
+    elements = parse_pg_array(literal)
     return table(spark, sf, "customer").select(
         "c_custkey", joined(elements).alias("elements"), F.size(elements).alias("n")
     )
 
 
 @query
-def version_in_text(spark, sf):
+def extract_version_(spark, sf):
     return spread(table(spark, sf, "documents")).select(
         "doc_id", extract_version(F.col("text")).alias("version")
     )
 
 
 @query
-def version_is_newer(spark, sf):
+def is_newer_(spark, sf):
     current = F.expr("'v' || l_linenumber || '.' || l_suppkey || '.' || CAST(l_quantity AS INT) || '.7'")
     latest = F.expr("l_linenumber % 3 + 2 || '.' || l_orderkey % 40 || '.' || CAST(l_quantity AS INT) % 9")
     return spread(table(spark, sf, "lineitem")).select(
@@ -94,7 +90,7 @@ def version_is_newer(spark, sf):
 
 
 @query
-def outdated_versions(spark, sf):
+def outdated(spark, sf):
     installed = table(spark, sf, "part").selectExpr(
         "'tool_' || p_partkey AS name", "p_size || '.' || p_partkey % 10 || '.3.0' AS installed"
     )
@@ -108,13 +104,13 @@ def outdated_versions(spark, sf):
 
 
 @query
-def strip_sql_comments(spark, sf):
-    return strip_sql_comments_of(inputs.scripts(spark, sf)).select("script_id", "stripped")
+def strip_sql_comments_(spark, sf):
+    return strip_sql_comments(inputs.scripts(spark, sf)).select("script_id", "stripped")
 
 
 @query
-def mask_bodies(spark, sf):
-    masked = mask_bodies_of(inputs.scripts(spark, sf))
+def mask_bodies_(spark, sf):
+    masked = mask_bodies(inputs.scripts(spark, sf))
     return masked.select("script_id", "masked", joined("bodies").alias("bodies"))
 
 
@@ -199,8 +195,8 @@ def parse_routines(spark, sf):
 
 
 @query
-def shared_bodies(spark, sf):
-    return shared_bodies_of(inputs.scripts(spark, sf))
+def shared_bodies_(spark, sf):
+    return shared_bodies(inputs.scripts(spark, sf))
 
 
 # Catalog
@@ -281,9 +277,9 @@ def diff_comments(spark, sf):
 
 
 @query
-def drift_report(spark, sf):
+def drift_report_(spark, sf):
     return _flat_report(
-        drift_report_of(inputs.desired_scripts(spark, sf), inputs.actual_rows(spark, sf))
+        drift_report(inputs.desired_scripts(spark, sf), inputs.actual_rows(spark, sf))
     )
 
 
@@ -345,8 +341,8 @@ def resolve_placeholders(spark, sf):
 
 
 @query
-def connection_fields(spark, sf):
-    return connection_fields_of(_templates(spark, sf), _dictionary(spark, sf))
+def connection_fields_(spark, sf):
+    return connection_fields(_templates(spark, sf), _dictionary(spark, sf))
 
 
 @query
@@ -355,12 +351,12 @@ def layered_merge(spark, sf):
 
 
 @query
-def effective_settings(spark, sf):
+def effective_settings_(spark, sf):
     layers = inputs.settings_layers(spark, sf).withColumn("value", F.expr("value || ' in {' || section || '}'"))
     words = table(spark, sf, "events").selectExpr(
         "CAST(event_id AS INT) AS layer_rank", "'section_' || user_id % 12 AS key", "event_type AS value"
     )
-    resolved = effective_settings_of(layers, words)
+    resolved = effective_settings(layers, words)
     return resolved.withColumn("unresolved", joined("unresolved"))
 
 
