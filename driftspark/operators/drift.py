@@ -48,7 +48,7 @@ def desired_state(
     default_schema: str = "public",
     canonical_types: bool = False,
 ) -> DataFrame:
-    """Parsed routines as comparable rows. Bodies shrink to their fingerprint before any shuffle.
+    """Parsed routines as comparable rows, bodies as fingerprints.
 
     Only input parameters count: a catalog's argument types hold no others. RETURNS TABLE is a set
     of records there.
@@ -67,6 +67,8 @@ def desired_state(
             .alias("type"),
         ),
     )
+    hashed = "body_hash" in routines.columns
+    body_hash = F.col("body_hash") if hashed else fingerprint(F.col("body"))
     comment = F.col("comment") if "comment" in routines.columns else F.lit(None).cast("string")
     state = resolve_attributes(routines).select(
         *by,
@@ -76,7 +78,7 @@ def desired_state(
         F.transform(inputs, lambda p: p["name"]).alias("param_names"),
         F.transform(inputs, lambda p: _type_name(p["type"], canonical_types)).alias("param_types"),
         returns.alias("returns"),
-        fingerprint(F.col("body")).alias("body_hash"),
+        body_hash.alias("body_hash"),
         *ATTRIBUTE_FIELDS,
         comment.alias("comment"),
         "atomic",
@@ -118,8 +120,8 @@ def match_routines(desired: DataFrame, actual: DataFrame, by: tuple[str, ...] =
 
     Returns the key columns, `match` (signature / name / missing / extra) and both sides as structs.
     A signature is unique within one catalog, which `by` has to tell apart; the desired side may
-    repeat, and each of its rows is kept. All pairing is decided on pre-aggregated signatures; the
-    only join that meets repeated rows has one row per key on its right, so AQE can split it.
+    repeat, and each of its rows is kept. All pairing is decided on one row per signature. Rows that
+    may repeat meet it in an inner join at the end, of which AQE can split either side.
     """
     names = [*by, "schema", "name"]
     keys = [*names, "signature"]
@@ -134,30 +136,30 @@ def match_routines(desired: DataFrame, actual: DataFrame, by: tuple[str, ...] =
         .agg(F.count(F.lit(1)).alias("definitions"))
         .join(found, keys, "full_outer")
     )
-    alone = sides.where("definitions is null or actual is null")
+    lone_desired, lone_actual = F.col("actual").isNull(), F.col("definitions").isNull()
     renamed = (
-        alone.groupBy(*names)
+        sides.where(lone_desired | lone_actual)
+        .groupBy(*names)
         .agg(
             F.sum("definitions").alias("n_desired"),
             F.count("actual").alias("n_actual"),
-            F.max(F.when(F.col("definitions").isNotNull(), F.col("signature"))).alias("signature"),
-            F.first("actual", ignorenulls=True).alias("actual"),
+            F.first("actual", ignorenulls=True).alias("partner"),
         )
         .where("n_desired = 1 and n_actual = 1")
+        .select(*names, "partner")
     )
-    partners = (
-        sides.where("definitions is not null and actual is not null")
-        .select(*keys, "actual", F.lit("signature").alias("match"))
-        .unionByName(renamed.select(*keys, "actual", F.lit("name").alias("match")))
-    )
-    paired = wanted.join(partners, keys, "left").select(
-        *keys, F.coalesce("match", F.lit("missing")).alias("match"), "desired", "actual"
-    )
-    extra = (
-        alone.where("definitions is null")
-        .join(renamed.select(*names), names, "left_anti")
-        .select(*keys, F.lit("extra").alias("match"), "actual")
-    )
+    has_partner = F.col("partner").isNotNull()
+    decided = sides.join(renamed, names, "left").select(
+        *keys,
+        (~lone_actual).alias("wanted"),
+        F.when(lone_actual, F.when(~has_partner, "extra"))
+        .when(~lone_desired, "signature")
+        .otherwise(F.when(has_partner, "name").otherwise("missing"))
+        .alias("match"),
+        F.coalesce("actual", "partner").alias("actual"),
+    )
+    paired = wanted.join(decided.where("wanted"), keys).select(*keys, "match", "desired", "actual")
+    extra = decided.where("not wanted and match is not null").select(*keys, "match", "actual")
     return paired.unionByName(extra, allowMissingColumns=True)
 
 

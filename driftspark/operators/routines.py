@@ -16,7 +16,7 @@ from driftspark.functions.scan import (
     restore_literals,
     scan_script,
 )
-from driftspark.functions.text import regexp_groups, trim_blanks
+from driftspark.functions.text import fingerprint, regexp_groups, trim_blanks
 from driftspark.schemas import PARAMETER, TABLE_COLUMN
 
 # Keywords, type names, clauses and defaults of the SQL dialect.
@@ -337,9 +337,11 @@ def attach_comments(routines: DataFrame, comments: DataFrame, by: list[str]) ->
     return routines.join(said, same, "left").select(*routines.columns, "comment")
 
 
-def parse_routines(scripts: DataFrame, text: str = "text") -> DataFrame:
+def parse_routines(scripts: DataFrame, text: str = "text", hashed: bool = False) -> DataFrame:
     """`extract_routines` with comments attached, in one scan and one shuffle.
 
+    With `hashed`, bodies go into the shuffle as `body_hash` only.
+
     The window runs over one signature within one script: its other columns, its text and its input
     partition. Equal copies of a script may share a window partition, which changes no result, but
     only those that came from one input partition, so none outgrows what a task has already held.
@@ -355,10 +357,12 @@ def parse_routines(scripts: DataFrame, text: str = "text") -> DataFrame:
     routine_key = F.struct(
         "kind", "schema", "name", argument_types(F.col("parameters")).alias("arg_types")
     )
+    body = fingerprint(F.col("body")).alias("body_hash") if hashed else F.col("body")
+    columns = [body if c == "body" else F.col(c) for c in ROUTINE_COLUMNS]
     defined = _read_definitions(remarked).select(
         *others,
         "_origin",
-        *ROUTINE_COLUMNS,
+        *columns,
         F.when(F.col("kind").isNull(), comment_key).otherwise(routine_key).alias("_key"),
         F.col("said.comment").alias("comment"),
     )
@@ -368,7 +372,7 @@ def parse_routines(scripts: DataFrame, text: str = "text") -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
     commented = defined.withColumn("comment", F.last("comment", ignorenulls=True).over(same))
-    return commented.where("kind is not null").select(*others, *ROUTINE_COLUMNS, "comment")
+    return commented.where("kind is not null").drop("_origin", "_key")
 
 
 def resolve_attributes(routines: DataFrame) -> DataFrame:

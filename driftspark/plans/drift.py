@@ -32,12 +32,12 @@ def drift_report(
 ) -> DataFrame:
     """Scripts and flat catalog rows -> status and changed fields per routine.
 
-    Script text is scanned once and shrinks to comparable rows (bodies to fingerprints) before
-    pairing, which reads them twice.
+    Script text is scanned once and shrinks to comparable rows (bodies to fingerprints before the
+    first shuffle). Pairing reads these rows and the folded catalog more than once, so both are staged.
     """
-    desired = desired_state(parse_routines(scripts), by, default_schema, canonical_types)
+    desired = desired_state(parse_routines(scripts, hashed=True), by, default_schema, canonical_types)
     actual = actual_state(fold_catalog_rows(catalog_rows, by), by, canonical_types)
-    return diff_routines(match_routines(_staged(desired), actual, by))
+    return diff_routines(match_routines(_staged(desired), _staged(actual), by))
 
 
 def shared_bodies(scripts: DataFrame) -> DataFrame:

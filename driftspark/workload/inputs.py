@@ -214,16 +214,19 @@ def system_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def toc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listing lines from orders: a file per status, a routine name per customer."""
+    """Listing lines from orders: a file per status, a routine name per customer.
+
+    Lines come out of a generator, as they do when listing files are read.
+    """
+    line = """o_orderkey || CASE o_orderpriority
+        WHEN '1-URGENT' THEN '; 1255 ' || o_orderkey || ' FUNCTION app fn_' || o_custkey || '(integer, text) owner'
+        WHEN '5-LOW' THEN '; 1255 ' || o_orderkey || ' PROCEDURE app fn_' || o_custkey || '() owner'
+        WHEN '2-HIGH' THEN '; 0 0 COMMENT app FUNCTION fn_' || o_custkey || '(_id integer, _t text) owner'
+        WHEN '3-MEDIUM' THEN '; 0 0 ACL app PROCEDURE fn_' || o_custkey || '() owner'
+        ELSE '; 1259 ' || o_orderkey || ' TABLE app t_' || o_custkey || ' owner' END"""
     return spread(table(spark, sf_dir, "orders")).selectExpr(
         "'dump_' || o_orderstatus AS file",
-        "o_orderkey AS pos",
-        """o_orderkey || CASE o_orderpriority
-            WHEN '1-URGENT' THEN '; 1255 ' || o_orderkey || ' FUNCTION app fn_' || o_custkey || '(integer, text) owner'
-            WHEN '5-LOW' THEN '; 1255 ' || o_orderkey || ' PROCEDURE app fn_' || o_custkey || '() owner'
-            WHEN '2-HIGH' THEN '; 0 0 COMMENT app FUNCTION fn_' || o_custkey || '(_id integer, _t text) owner'
-            WHEN '3-MEDIUM' THEN '; 0 0 ACL app PROCEDURE fn_' || o_custkey || '() owner'
-            ELSE '; 1259 ' || o_orderkey || ' TABLE app t_' || o_custkey || ' owner' END AS line""",
+        f"inline(array(named_struct('pos', o_orderkey, 'line', {line})))",
     )
 
 
