@@ -144,7 +144,7 @@ def fold_catalog_rows(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     ]
     folded = rows.groupBy(*keys).agg(
         F.min_by(F.struct(*fields), F.coalesce("param_ord", F.lit(0))).alias("_routine"),
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.when(F.col("param_ord").isNotNull(), parameter))
         ).alias("parameters"),
     )

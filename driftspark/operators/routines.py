@@ -1,7 +1,8 @@
 """Routine extraction: script text -> one row per CREATE FUNCTION / PROCEDURE statement.
 
-`scan_script` masks literals, comments and inner bracket groups once per script. Everything after it
-is native: the masked text is cut at statement starts, exploded, and read with regular expressions.
+`scan_script` masks literals, comments and inner bracket groups once per script and cuts it at
+statement starts. Everything after it is native: statements become rows and are read with regular
+expressions, each of them evaluated once per statement.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,10 +61,6 @@ ATTRIBUTE_DEFAULTS = {
 }
 
 _NAME = r"(?:([a-zA-Z_]\w*)\.)?([a-zA-Z_]\w*)\s*\(([^()]*)\)"
-CREATE_START = r"CREATE\s+(?:OR\s+REPLACE\s+)?(?:FUNCTION|PROCEDURE)\s"
-COMMENT_START = r"COMMENT\s+ON\s+(?:FUNCTION|PROCEDURE)\s"
-STATEMENT_START = rf"(?i)\b(?={CREATE_START}|{COMMENT_START})"
-
 # Patterns for `regexp_groups`. Groups: kind, schema, name, arguments, rest of the statement.
 # Literals are masked, so the first semicolon ends it, save for BEGIN ATOMIC bodies.
 CREATE_ROUTINE = (
@@ -100,46 +97,11 @@ def _empty_as_null(text: Column) -> Column:
     return F.when(text != "", text)
 
 
-def _statements(scripts: DataFrame, text: str, *starts: str) -> DataFrame:
-    """One row per statement with one of the `starts`, numbered per start within its script.
-
-    Each row carries only its own literals: `parts` is the slice its placeholders refer to and
-    `base` the number of the first of them.
-    """
+def _statements(scripts: DataFrame, text: str) -> DataFrame:
+    """One row per routine statement, with only its own literals as `parts`."""
     others = [c for c in scripts.columns if c != text]
-    scan = scripts.select(*others, scan_script(text).alias("_scan"))
-    pieces = F.split(F.col("_scan.masked"), STATEMENT_START, -1)
-
-    def number(piece, nth):
-        after = F.substring_index(F.substring_index(piece, CLOSE, nth), OPEN, -1)
-        digits = F.substring_index(after, CLOSE, 1)
-        return F.when(F.contains(piece, F.lit(OPEN)), digits.cast("int"))
-
-    def statement(piece, pos):
-        return F.struct(
-            pos.cast("int").alias("pos"),
-            piece.alias("text"),
-            number(piece, 1).alias("first"),
-            number(piece, -2).alias("last"),
-        )
-
-    def starting(start):
-        own = F.filter(pieces, lambda piece: piece.rlike(rf"(?i)^{start}"))
-        return F.transform(own, statement)
-
-    def with_parts(s):
-        count = F.coalesce(s["last"] - s["first"] + 1, F.lit(0))
-        return F.struct(
-            s["pos"].alias("pos"),
-            s["text"].alias("text"),
-            s["first"].alias("base"),
-            F.slice(F.col("_scan.parts"), F.coalesce(s["first"], F.lit(0)) + 1, count).alias("parts"),
-        )
-
-    found = F.concat(*[starting(start) for start in starts])
-    return scan.select(*others, F.explode(F.transform(found, with_parts)).alias("_statement")).select(
-        *others, "_statement.*"
-    )
+    found = F.explode(scan_script(text)).alias("_statement")
+    return scripts.select(*others, found).select(*others, "_statement.*")
 
 
 def _parameters(content: Column, parts: Column, base: Column) -> Column:
@@ -196,7 +158,7 @@ def extract_routines(scripts: DataFrame, text: str = "text") -> DataFrame:
     A narrow job: one Arrow hop, no shuffle.
     """
     others = [c for c in scripts.columns if c != text]
-    statements = _statements(scripts, text, CREATE_START)
+    statements = _statements(scripts, text).where("verb = 'create'")
     return _read_definitions(statements).where("name is not null").select(*others, *ROUTINE_COLUMNS)
 
 
@@ -288,7 +250,7 @@ _NESTED = ["parameters", "returns", "attributes", "body", "atomic"]
 def extract_comments(scripts: DataFrame, text: str = "text") -> DataFrame:
     """One row per ``COMMENT ON FUNCTION/PROCEDURE ... IS '...'`` with its lower-cased argument types."""
     others = [c for c in scripts.columns if c != text]
-    statements = _statements(scripts, text, COMMENT_START)
+    statements = _statements(scripts, text).where("verb = 'comment'")
     return _read_comments(statements).where("comment is not null").select(
         *others, "pos", "kind", "schema", "name", "arg_types", "comment"
     )
@@ -348,9 +310,7 @@ def parse_routines(scripts: DataFrame, text: str = "text", hashed: bool = False)
     """
     others = [c for c in scripts.columns if c != text]
     origin = F.struct(F.xxhash64(text).alias("text"), F.spark_partition_id().alias("partition"))
-    statements = _statements(
-        scripts.withColumn("_origin", origin), text, CREATE_START, COMMENT_START
-    )
+    statements = _statements(scripts.withColumn("_origin", origin), text)
     said = F.struct("kind", "schema", "name", "arg_types", "comment").alias("said")
     remarked = _read_comments(statements).select(*statements.columns, said)
     comment_key = F.struct("said.kind", "said.schema", "said.name", "said.arg_types")

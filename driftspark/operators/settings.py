@@ -23,10 +23,10 @@ def parse_kv(df: DataFrame, col: str) -> DataFrame:
             trim_blanks(F.substring(part, eq + 1, F.length(part))).alias("value"),
         )
 
-    entries = df.select(*others, F.array_sort(F.transform(parts, entry)).alias("_kv"))
+    entries = df.select(*others, F.sort_array(F.transform(parts, entry)).alias("_kv"))
     kv = F.col("_kv")
-    firsts = F.filter(kv, lambda e, i: ~F.get(kv["key"], i - 1).eqNullSafe(e["key"]))
-    lasts = F.filter(kv, lambda e, i: ~F.get(kv["key"], i + 1).eqNullSafe(e["key"]))
+    firsts = F.filter(kv, lambda e, i: ~F.get(kv, i - 1)["key"].eqNullSafe(e["key"]))
+    lasts = F.filter(kv, lambda e, i: ~F.get(kv, i + 1)["key"].eqNullSafe(e["key"]))
     runs = entries.select(*others, F.arrays_zip(firsts.alias("f"), lasts.alias("l")).alias("_run"))
     rows = F.transform(
         "_run",
@@ -94,7 +94,7 @@ def resolve_placeholders(templates: DataFrame, dictionary: DataFrame, col: str)
         F.when(F.col("_known"), F.col("_value")).otherwise(F.col("_token")).alias("text"),
         F.when(F.col("_known").isNull(), F.col("_name")).alias("missing"),
     )
-    pieces = looked_up.groupBy("_text").agg(F.array_sort(F.collect_list(piece)).alias("_pieces"))
+    pieces = looked_up.groupBy("_text").agg(F.sort_array(F.collect_list(piece)).alias("_pieces"))
     resolved = pieces.select(
         "_text",
         F.array_join("_pieces.text", "").alias("resolved"),
