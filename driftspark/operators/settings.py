@@ -65,11 +65,11 @@ def extract_file_refs(df: DataFrame, col: str) -> DataFrame:
 def resolve_placeholders(templates: DataFrame, dictionary: DataFrame, col: str) -> DataFrame:
     """Replace ``{NAME}`` from the dictionary (key, value), once; list what it does not have.
 
-    Each distinct text is resolved once and joined back, so a text that many templates share is one
-    row while it is taken apart, and a group of tokens is never more than one text. The dictionary
-    holds one row per key. Spark broadcasts it where its measured size allows; beyond that, and for
-    the join back, the side without repeats is on the right, so AQE may split a hot key on the left.
-    Templates without a brace skip all of it.
+    Each distinct text is resolved once and joined back by its hash, so a text that many templates
+    share is one row while it is taken apart, and a group of tokens is never more than one text. The
+    dictionary holds one row per key. Spark broadcasts it where its measured size allows; beyond
+    that, and for the join back, the side without repeats is on the right, so AQE may split a hot
+    key on the left. Templates without a brace skip all of it.
     """
     others = [c for c in templates.columns if c != col]
     none = F.array().cast("array<string>")
@@ -77,10 +77,11 @@ def resolve_placeholders(templates: DataFrame, dictionary: DataFrame, col: str)
     plain = templates.where(~braced).select(
         *others, F.col(col).alias("resolved"), none.alias("unresolved")
     )
-    texts = templates.where(braced).select(F.col(col).alias("_text")).distinct()
+    keyed = templates.where(braced).withColumn("_id", F.sha2(F.col(col), 256))
+    texts = keyed.groupBy("_id").agg(F.any_value(col).alias("_text"))
     token = F.lit(r"\{[^}]+\}|[^{]+|\{")
     tokens = texts.select(
-        "_text", F.posexplode(F.regexp_extract_all("_text", token, F.lit(0))).alias("_pos", "_token")
+        "_id", F.posexplode(F.regexp_extract_all("_text", token, F.lit(0))).alias("_pos", "_token")
     )
     name = F.when(
         F.col("_token").rlike(r"(?s)^\{[^}]+\}$"), F.expr("substring(_token, 2, length(_token) - 2)")
@@ -94,14 +95,14 @@ def resolve_placeholders(templates: DataFrame, dictionary: DataFrame, col: str)
         F.when(F.col("_known"), F.col("_value")).otherwise(F.col("_token")).alias("text"),
         F.when(F.col("_known").isNull(), F.col("_name")).alias("missing"),
     )
-    pieces = looked_up.groupBy("_text").agg(F.sort_array(F.collect_list(piece)).alias("_pieces"))
+    pieces = looked_up.groupBy("_id").agg(F.sort_array(F.collect_list(piece)).alias("_pieces"))
     resolved = pieces.select(
-        "_text",
+        "_id",
         F.array_join("_pieces.text", "").alias("resolved"),
         F.array_compact("_pieces.missing").alias("unresolved"),
     )
-    back = templates.where(braced).join(resolved, F.col(col) == F.col("_text"))
-    return back.select(*others, "resolved", "unresolved").unionByName(plain)
+    back = keyed.join(resolved, "_id").select(*others, "resolved", "unresolved")
+    return back.unionByName(plain)
 
 
 def layered_merge(layers: DataFrame, by: tuple[str, ...] = ("section", "key")) -> DataFrame:
