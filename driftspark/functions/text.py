@@ -25,6 +25,11 @@ def regexp_groups(text: Column, pattern: str, n: int) -> Column:
     return F.split(F.regexp_replace(text, pattern, groups), GROUP_BREAK, -1)
 
 
+def group(groups: Column, i: int) -> Column:
+    """Group `i` (from 0) of `regexp_groups`; NULL where the pattern did not match."""
+    return F.get(groups, F.lit(i))
+
+
 def trim_blanks(text: Column) -> Column:
     """Trim blanks, tabs and line ends; Spark's own trim() only knows blanks."""
     return F.btrim(text, F.lit(" \t\n\r\f\x0b"))

@@ -17,7 +17,7 @@ from driftspark.functions.scan import (
     restore_literals,
     scan_script,
 )
-from driftspark.functions.text import fingerprint, regexp_groups, trim_blanks
+from driftspark.functions.text import fingerprint, group, regexp_groups, trim_blanks
 from driftspark.schemas import PARAMETER, TABLE_COLUMN
 
 # Keywords, type names, clauses and defaults of the SQL dialect.
@@ -72,9 +72,9 @@ COMMENT_ON = rf"(?is)^COMMENT\s+ON\s+(FUNCTION|PROCEDURE)\s+{_NAME}\s*IS\s*{PLAC
 PARAMETER_TEXT = (
     rf"(?is)^(?:({'|'.join(PARAMETER_MODES)})\s+)?(.*?)(?:\s+DEFAULT\b.*|\s*:?=.*)?\z"
 )
-# Groups: name, then the type in one of the other three.
+# Groups: type without a name (modifiers and [] are folded parts), or else name and type.
 NAMED_TYPE = (
-    rf"(?is)^(?:({'|'.join(MULTI_WORD_TYPES)})(?:(\s*\([\d\s,]+\))?((?:\[\])*))|(\S+)\s+(.+)|(\S+))\z"
+    rf"(?is)^(?:((?:{'|'.join(MULTI_WORD_TYPES)})(?:\s*{OPEN}\d+{CLOSE})*|\S+)|(\S+)\s+(.+))\z"
 )
 _TYPE_END = rf"\b(?:{'|'.join(RETURN_TYPE_ENDS)})\b"
 _RETURNS = r"\bRETURNS\s+(?!NULL\s+ON\s+NULL\s+INPUT)"
@@ -112,16 +112,16 @@ def _parameters(content: Column, parts: Column, base: Column) -> Column:
     moded = F.transform(items, lambda item: regexp_groups(item, PARAMETER_TEXT, 2))
 
     def typed(p):
-        text = trim_blanks(restore_literals(p[1], parts, base))
-        return F.struct(p[0].alias("mode"), regexp_groups(text, NAMED_TYPE, 6).alias("type"))
+        words = regexp_groups(group(p, 1), NAMED_TYPE, 3)
+        return F.struct(group(p, 0).alias("mode"), words.alias("words"))
 
     def parameter(p, i):
-        words = p["type"]
+        unnamed, name, named = (F.coalesce(group(p["words"], k), F.lit("")) for k in range(3))
         return F.struct(
             (i + 1).cast("int").alias("pos"),
             F.when(p["mode"] != "", F.lower(p["mode"])).alias("dir"),
-            _empty_as_null(words[3]).alias("name"),
-            F.concat(words[0], words[1], words[2], words[4], words[5]).alias("type"),
+            _empty_as_null(restore_literals(name, parts, base)).alias("name"),
+            restore_literals(F.concat(unnamed, named), parts, base).alias("type"),
         )
 
     return F.transform(F.transform(moded, typed), parameter).cast(f"array<{PARAMETER}>")
@@ -129,9 +129,9 @@ def _parameters(content: Column, parts: Column, base: Column) -> Column:
 
 def _returns(clause: Column, parts: Column, base: Column) -> Column:
     """RETURNS_CLAUSE groups -> nested return; NULL where there is no clause."""
-    table = clause[0] != ""
+    table = group(clause, 0) != ""
     items = F.transform(
-        F.split(clause[1], ",", -1), lambda item: trim_blanks(restore_literals(item, parts, base))
+        F.split(group(clause, 1), ",", -1), lambda item: trim_blanks(restore_literals(item, parts, base))
     )
     columns = F.transform(
         F.filter(items, lambda item: item != ""),
@@ -140,11 +140,11 @@ def _returns(clause: Column, parts: Column, base: Column) -> Column:
             F.regexp_extract(item, r"(?s)^\S+\s+(.*)$", 1).alias("type"),
         ),
     ).cast(f"array<{TABLE_COLUMN}>")
-    type_text = trim_blanks(F.concat(clause[3], clause[4]))
+    type_text = trim_blanks(F.concat(group(clause, 3), group(clause, 4)))
     return F.when(
         F.size(clause) == 5,
         F.struct(
-            (clause[2] != "").alias("setof"),
+            (group(clause, 2) != "").alias("setof"),
             F.when(~table, restore_literals(type_text, parts, base)).alias("type"),
             F.when(table, columns).alias("table"),
         ),
@@ -173,11 +173,11 @@ def _read_definitions(statements: DataFrame) -> DataFrame:
     heads = statements.withColumn("head", regexp_groups(F.col("text"), CREATE_ROUTINE, 5))
     tails = heads.select(
         *statements.columns,
-        F.get("head", F.lit(3)).alias("arguments"),
-        F.get("head", F.lit(4)).alias("tail"),
-        F.when(F.size("head") == 5, F.lower(F.get("head", F.lit(0)))).alias("kind"),
-        _empty_as_null(F.get("head", F.lit(1))).alias("schema"),
-        F.get("head", F.lit(2)).alias("name"),
+        group(F.col("head"), 3).alias("arguments"),
+        group(F.col("head"), 4).alias("tail"),
+        F.when(F.size("head") == 5, F.lower(group(F.col("head"), 0))).alias("kind"),
+        _empty_as_null(group(F.col("head"), 1)).alias("schema"),
+        group(F.col("head"), 2).alias("name"),
     )
     number = _empty_as_null(F.regexp_extract("tail", BODY_LITERAL, 1)).cast("int")
     zones = tails.withColumns(
@@ -259,14 +259,14 @@ def extract_comments(scripts: DataFrame, text: str = "text") -> DataFrame:
 def _read_comments(statements: DataFrame) -> DataFrame:
     parts, base = F.col("parts"), F.col("base")
     said = statements.withColumn("said", regexp_groups(F.col("text"), COMMENT_ON, 5))
-    number = F.when(F.size("said") == 5, F.get("said", F.lit(4))).cast("int")
+    number = F.when(F.size("said") == 5, group(F.col("said"), 4)).cast("int")
     literals = said.withColumn("literal", F.get(parts, number - base))
     return literals.select(
         *statements.columns,
-        F.when(F.size("said") == 5, F.lower(F.get("said", F.lit(0)))).alias("kind"),
-        _empty_as_null(F.get("said", F.lit(1))).alias("schema"),
-        F.get("said", F.lit(2)).alias("name"),
-        argument_types(_parameters(F.get("said", F.lit(3)), parts, base)).alias("arg_types"),
+        F.when(F.size("said") == 5, F.lower(group(F.col("said"), 0))).alias("kind"),
+        _empty_as_null(group(F.col("said"), 1)).alias("schema"),
+        group(F.col("said"), 2).alias("name"),
+        argument_types(_parameters(group(F.col("said"), 3), parts, base)).alias("arg_types"),
         F.when(F.col("literal").startswith("'"), quoted_body(F.col("literal"))).alias("comment"),
     )
 

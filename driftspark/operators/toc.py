@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.functions.text import clean_dump_text, regexp_groups
+from driftspark.functions.text import clean_dump_text, group, regexp_groups
 
 # Line layouts of an archive listing.
 # Groups: 1255 for a definition and its schema, COMMENT or ACL and its schema, routine name.
@@ -19,14 +19,14 @@ ROUTINE_WORD = r"\bFUNCTION\b|\bPROCEDURE\b"
 def classify_toc(lines: DataFrame) -> DataFrame:
     """Add `kind` (routine, comment, acl or NULL), `schema` and routine `name` to listing lines."""
     read = lines.withColumn("_toc", regexp_groups(F.col("line"), ROUTINE_LINE, 5))
-    group = F.col("_toc")
-    found = F.size("_toc") == 5
-    kind = F.when(group[0] != "", "routine").otherwise(F.lower(group[2]))
+    groups = F.col("_toc")
+    found = F.size(groups) == 5
+    kind = F.when(group(groups, 0) != "", "routine").otherwise(F.lower(group(groups, 2)))
     return read.withColumns(
         {
             "kind": F.when(found, kind),
-            "schema": F.when(found, F.concat(group[1], group[3])),
-            "name": F.when(found, group[4]),
+            "schema": F.when(found, F.concat(group(groups, 1), group(groups, 3))),
+            "name": F.when(found, group(groups, 4)),
         }
     ).drop("_toc")
 

@@ -86,10 +86,10 @@ SCRIPTS = {
     "same": ("CREATE FUNCTION s.same(_a integer, text) RETURNS text LANGUAGE sql AS $$ SELECT\n 1; $$;", {}),
     "defaults": (
         "CREATE FUNCTION s.defaults(_a int) RETURNS integer LANGUAGE sql VOLATILE CALLED ON NULL INPUT"
-        " SECURITY INVOKER PARALLEL UNSAFE NOT LEAKPROOF COST 100 AS $$ x $$;", {}),
+        " NOT LEAKPROOF PARALLEL UNSAFE COST 100 SECURITY INVOKER AS $$ x $$;", {}),
     "scrambled": (
-        "CREATE FUNCTION s.scrambled() RETURNS SETOF integer COST 42 ROWS 500 STRICT PARALLEL RESTRICTED STABLE"
-        " LANGUAGE sql SET search_path = pg_catalog SET statement_timeout TO '30s' AS $$ x $$;", {}),
+        "CREATE FUNCTION s.scrambled() RETURNS SETOF integer STABLE ROWS 70 PARALLEL RESTRICTED COST 8 STRICT"
+        " SET search_path = depot LANGUAGE sql SET lock_timeout TO '5s' AS $$ x $$;", {}),
     "tabular": ("CREATE FUNCTION s.tabular() RETURNS TABLE(a int) LANGUAGE sql AS $$ x $$;", {}),
     "proc": ("CREATE PROCEDURE s.proc(IN _a integer, OUT _b text) LANGUAGE sql AS $$ x $$;", {}),
     "atomic": ("CREATE FUNCTION s.atomic() RETURNS integer BEGIN ATOMIC SELECT 1; END;", {}),
@@ -109,8 +109,8 @@ SCRIPTS = {
 PROCS = [
     proc(1, "same", [23, 25], ["_a", ""], src="select 1;"),
     proc(2, "defaults", [23], ["_a"], ret=23),
-    proc(3, "scrambled", ret=23, retset=True, cost=42.0, rows=500.0, strict=True, par="r", vol="s",
-         config=["search_path=pg_catalog", "statement_timeout=30s"]),
+    proc(3, "scrambled", ret=23, retset=True, cost=8.0, rows=70.0, strict=True, par="r", vol="s",
+         config=["search_path=depot", "lock_timeout=5s"]),
     proc(4, "tabular", ret=2249, retset=True, rows=1000.0),
     proc(5, "proc", [23], ["_a"], kind="p", ret=2249),
     proc(6, "atomic", ret=23, src=""),

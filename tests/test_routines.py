@@ -1,87 +1,10 @@
 """Extraction cases, read in one job and checked one by one."""
 
 import pytest
+from cases import CASES
 
 from driftspark.operators import routines as ops
 
-CASES = {
-    "empty": "",
-    "blank": "  \n ",
-    "not_sql": "hello world\nthis is not sql",
-    "table_only": "CREATE TABLE foo (id int);",
-    "null": None,
-    "qualified": "CREATE FUNCTION inventory.get_product(_id integer) RETURNS void LANGUAGE plpgsql AS $$ x $$;",
-    "unqualified": "CREATE OR REPLACE FUNCTION my_func() RETURNS void LANGUAGE plpgsql AS $$ x $$;",
-    "overloads": """CREATE FUNCTION s.format_price(_a numeric, _c text) RETURNS text LANGUAGE sql STABLE AS $$ 1 $$;
-        CREATE FUNCTION s.format_price(_a numeric, _c text, _s boolean) RETURNS text LANGUAGE sql AS $$ 2 $$;""",
-    "commented_out": """/* outer /* inner CREATE FUNCTION fake.f() RETURNS void */ it's still one */
-        -- CREATE FUNCTION fake.g() RETURNS void
-        CREATE PROCEDURE app.actual() LANGUAGE sql AS $$ 1 $$;""",
-    "open_comment": "CREATE FUNCTION a() RETURNS int LANGUAGE c; /* CREATE FUNCTION b() RETURNS int LANGUAGE c;",
-    "dynamic": """CREATE FUNCTION t.outer_func() RETURNS void LANGUAGE plpgsql AS $$
-        execute 'CREATE FUNCTION t.inner() RETURNS void LANGUAGE sql AS $inner$ SELECT 1; $inner$';
-        COMMENT ON FUNCTION t.outer_func() IS 'not a statement';
-        $$;""",
-    "modes": "create procedure p(IN _a integer, out _b numeric, INOUT _c text, VARIADIC _d text[], in integer) language sql as $$ $$;",
-    "unnamed": "CREATE FUNCTION app.add(integer, integer) RETURNS integer LANGUAGE sql AS 'SELECT $1 + $2';",
-    "defaults": """CREATE FUNCTION f(_a integer DEFAULT 10, _b text DEFAULT NULL::text, _c jsonb DEFAULT '{}'::jsonb,
-        IN _d text DEFAULT (NULL::text = NULL::text), _e numeric = 0, _f text[] = array[]::text[],
-        _g text = 'a,b -- c', _h integer[] = array[1,2], _i text
-        DEFAULT 'x
-        y', _j int default(coalesce(f(1,2),g(h(3)))), _k text = 'it''s =') RETURNS void LANGUAGE sql AS $$ $$;""",
-    "multi_word": """CREATE FUNCTION f(character varying, _a double precision, timestamp without time zone,
-        _b timestamp with time zone, bit varying(5)[], _c numeric(10,2)) RETURNS void LANGUAGE sql AS $$ $$;""",
-    "deep_default": "CREATE FUNCTION f(_a int DEFAULT " + "(" * 40 + "1" + ")" * 40 + ", _b text) RETURNS void LANGUAGE sql AS $$ $$;",
-    "setof": "create function f() returns setof record language sql as $$ $$;",
-    "returns_array": "CREATE FUNCTION f() RETURNS integer[]\n LANGUAGE sql AS $$ $$;",
-    "returns_table": "CREATE FUNCTION f() returns table(\n id integer,\n tags text[], at timestamp with time zone, n numeric(8,2)) LANGUAGE sql AS $$ $$;",
-    "returns_line": "CREATE FUNCTION f() RETURNS trigger\n WINDOW;",
-    "null_input_only": "CREATE FUNCTION f(OUT a int) RETURNS NULL ON NULL INPUT LANGUAGE sql AS $$ $$;",
-    "attributes": """CREATE FUNCTION f() RETURNS SETOF integer
-        COST 42 ROWS 500 STRICT PARALLEL
-        RESTRICTED STABLE LANGUAGE sql WINDOW NOT LEAKPROOF TRANSFORM FOR TYPE jsonb SUPPORT app.s
-        RETURNS NULL ON NULL INPUT CALLED ON NULL INPUT EXTERNAL SECURITY DEFINER nonsense
-        SECURITY INVOKER SET search_path = pg_catalog SET statement_timeout TO '30s' SET a FROM CURRENT
-        SET b = 'x, y' LEAKPROOF AS $$ $$ IMMUTABLE;""",
-    "lower_attributes": "create function app.lower() returns void\n language plpgsql security definer\n as $$ $$;",
-    "c_function": "CREATE FUNCTION f(internal) RETURNS internal LANGUAGE c WINDOW AS 'my_lib', 'my_agg';",
-    "no_body": "CREATE FUNCTION app.ext(integer) RETURNS void\n LANGUAGE c;\nCREATE FUNCTION g() RETURNS int LANGUAGE sql AS $$ 1 $$;",
-    "tags": """CREATE FUNCTION a() RETURNS boolean LANGUAGE plpgsql AS $function$
-        -- has $$ and /* in it
-        RETURN ($1 ~ $q$[\\t]$q$); $function$;
-        CREATE FUNCTION b() RETURNS int LANGUAGE sql AS $_x99$ 2 $_x99$;
-        CREATE FUNCTION c() RETURNS int LANGUAGE sql AS $a$$b$ 'it $b$$a$;""",
-    "quoted": """CREATE FUNCTION a() RETURNS text LANGUAGE sql AS 'SELECT ''"'' || _n || ''"''';
-        CREATE FUNCTION b() RETURNS text LANGUAGE sql AS E'SELECT E''line1\\nline2''';
-        CREATE FUNCTION c() RETURNS text LANGUAGE sql AS 'a--b';""",
-    "atomic": """CREATE FUNCTION app.add(int, int) RETURNS int
-        IMMUTABLE PARALLEL SAFE
-        BEGIN ATOMIC;
-          INSERT INTO app.log VALUES (f(g($1)), 'x;y');
-          SELECT CASE WHEN $1 > 0 THEN 1 END;
-        END;
-        CREATE FUNCTION app.two() RETURNS int BEGIN ATOMIC SELECT 2; END;
-        CREATE FUNCTION app.none() RETURNS int BEGIN ATOMIC END;""",
-    "long_bodies": "".join(
-        f"CREATE FUNCTION f{i}() RETURNS int LANGUAGE sql AS $$ {i} {'x' * 500} $$;\n" for i in range(3)
-    ),
-    "no_returns_first": "CREATE PROCEDURE p(_id int)LANGUAGE sql AS $$ a $$;CREATE FUNCTION f(_a int,_b text DEFAULT 'x')RETURNS text LANGUAGE sql IMMUTABLE STRICT COST 5 AS $$ b $$;",
-    "chaotic": "\nCrEaTe   oR\n\trEpLaCe\nFUNCTION\ttest_schema.chaotic(\n\t_val\t\tINTEGER,\n\t_label\n\t\tTEXT\n\t\tDEFAULT    'hello'\n)\n\tRETURNS\n\t\ttext\n\tlAnGuAgE\n\t\tsQl\n\tIMMUTABLE\n\tPARALLEL\n\t\tSAFE\nAS\n$$\n\tSELECT 1;\n$$;\n",
-    "comments": """CREATE FUNCTION app.add(a integer, b numeric(10,2)) RETURNS integer LANGUAGE sql AS $$ 1 $$;
-        COMMENT ON FUNCTION app.add(integer, numeric(10,2)) IS 'old';
-        comment on function app.add(a INTEGER, b numeric(10,2)) is 'It''s ; new';
-        CREATE FUNCTION one() RETURNS int LANGUAGE sql AS $$ 1 $$;
-        CREATE PROCEDURE app.one() LANGUAGE sql AS $$ 1 $$;
-        COMMENT ON PROCEDURE app.one() IS 'proc'; COMMENT ON FUNCTION app.one() IS 'other schema';
-        CREATE FUNCTION bare() RETURNS int LANGUAGE sql AS $$ 1 $$; COMMENT ON FUNCTION bare() IS NULL;""",
-    "quoted_name": 'CREATE FUNCTION app."Odd Name"(_a int) RETURNS int LANGUAGE sql AS $$ 1 $$;',
-    "quoted_type": 'CREATE FUNCTION f(_a "My Type") RETURNS "My Type" LANGUAGE sql AS $$ 1 $$;',
-    "control_chars": "CREATE FUNCTION f(_a int) RETURNS int LANGUAGE sql AS $$ \x010\x02 $$; -- \x013\x02",
-    "unbalanced_before": "\\echo :( oops; CREATE FUNCTION f(_a numeric(1,2)) RETURNS int LANGUAGE sql AS $$ 1 $$;",
-    "rule_before": "CREATE RULE r AS ON INSERT TO t DO (a; b); CREATE FUNCTION f(_a int) RETURNS int LANGUAGE sql AS $$ 1 $$;",
-}
-
-
 @pytest.fixture(scope="module")
 def parsed(spark):
     scripts = spark.createDataFrame(list(CASES.items()), "script_id string, text string")
@@ -108,13 +31,13 @@ def test_nothing_found(parsed, case):
 
 
 def test_names(parsed):
-    assert names(parsed["qualified"]) == [("function", "inventory", "get_product")]
-    assert names(parsed["unqualified"]) == [("function", None, "my_func")]
-    assert names(parsed["overloads"]) == [("function", "s", "format_price")] * 2
+    assert names(parsed["qualified"]) == [("function", "depot", "load_crate")]
+    assert names(parsed["unqualified"]) == [("function", None, "tick")]
+    assert names(parsed["overloads"]) == [("function", "s", "weigh")] * 2
     assert [len(r["parameters"]) for r in parsed["overloads"]] == [2, 3]
-    assert names(parsed["commented_out"]) == [("procedure", "app", "actual")]
+    assert names(parsed["commented_out"]) == [("procedure", "depot", "seen")]
     assert names(parsed["open_comment"]) == [("function", None, "a")]
-    assert names(parsed["dynamic"]) == [("function", "t", "outer_func")]
+    assert names(parsed["dynamic"]) == [("function", "t", "maker")]
     assert parsed["dynamic"][0]["comment"] is None
 
 
@@ -166,10 +89,10 @@ def test_returns(parsed):
 
 def test_attributes(parsed):
     assert parsed["attributes"][0]["attributes"] == [
-        "COST 42", "ROWS 500", "STRICT", "PARALLEL RESTRICTED", "STABLE", "LANGUAGE sql", "WINDOW",
-        "NOT LEAKPROOF", "TRANSFORM FOR TYPE jsonb", "SUPPORT app.s", "RETURNS NULL ON NULL INPUT",
+        "ROWS 70", "COST 8", "STRICT", "PARALLEL RESTRICTED", "STABLE", "LANGUAGE sql", "WINDOW",
+        "NOT LEAKPROOF", "TRANSFORM FOR TYPE hstore", "SUPPORT depot.s", "RETURNS NULL ON NULL INPUT",
         "CALLED ON NULL INPUT", "EXTERNAL SECURITY DEFINER", "SECURITY INVOKER",
-        "SET search_path = pg_catalog", "SET statement_timeout TO '30s'", "SET a FROM CURRENT",
+        "SET search_path = depot", "SET lock_timeout TO '5s'", "SET a FROM CURRENT",
         "SET b = 'x, y'", "LEAKPROOF",
     ]
     assert parsed["lower_attributes"][0]["attributes"] == ["language plpgsql", "security definer"]
@@ -183,9 +106,9 @@ def test_resolved_attributes(parsed):
     full = parsed["attributes"][0]
     assert (full["language"], full["volatility"], full["parallel"]) == ("sql", "stable", "restricted")
     assert (full["strict"], full["security_definer"], full["leakproof"]) == (True, True, True)
-    assert (full["cost"], full["rows"]) == (42.0, 500.0)
+    assert (full["cost"], full["rows"]) == (8.0, 70.0)
     assert full["config"] == [
-        "search_path=pg_catalog", "statement_timeout=30s", "SET a FROM CURRENT", "b=x, y",
+        "search_path=depot", "lock_timeout=5s", "SET a FROM CURRENT", "b=x, y",
     ]
     plain = parsed["atomic"][1]
     assert (plain["language"], plain["volatility"], plain["parallel"]) == ("sql", "volatile", "unsafe")
@@ -193,23 +116,23 @@ def test_resolved_attributes(parsed):
     assert (plain["cost"], plain["rows"], plain["config"]) == (100.0, 0.0, [])
     assert parsed["setof"][0]["rows"] == 1000.0
     assert parsed["returns_table"][0]["rows"] == 1000.0
-    assert parsed["chaotic"][0]["language"] == "sql"
+    assert parsed["ragged"][0]["language"] == "sql"
 
 
 def test_bodies(parsed):
     def body(case, i=0):
         return parsed[case][i]["body"]
 
-    assert "$q$[\\t]$q$" in body("tags") and "-- has $$ and /* in it" in body("tags")
+    assert "$re$[\\t]$re$" in body("tags") and "-- has $$ and /* in it" in body("tags")
     assert body("tags", 1) == " 2 "
     assert body("tags", 2) == "$b$ 'it $b$"
     assert body("unnamed") == "SELECT $1 + $2"
     assert body("quoted") == "SELECT '\"' || _n || '\"'"
-    assert body("quoted", 1) == "SELECT E'line1\\nline2'"
+    assert body("quoted", 1) == "SELECT E'one\\ntwo'"
     assert body("quoted", 2) == "a--b"
-    assert body("c_function") == "my_lib"
+    assert body("c_function") == "the_lib"
     assert body("no_body") is None and body("no_body", 1) == " 1 "
-    assert "INSERT INTO app.log VALUES (f(g($1)), 'x;y');" in body("atomic")
+    assert "INSERT INTO depot.log VALUES (f(g($1)), 'x;y');" in body("atomic")
     assert "SELECT CASE WHEN $1 > 0 THEN 1 END;" in body("atomic")
     assert body("atomic", 1) == " SELECT 2; "
     assert [r["atomic"] for r in parsed["atomic"]] == [True] * 3
@@ -218,17 +141,28 @@ def test_bodies(parsed):
     assert body("control_chars") == " \x010\x02 "
 
 
-def test_chaotic_layout(parsed):
-    (routine,) = parsed["chaotic"]
-    assert names([routine]) == [("function", "test_schema", "chaotic")]
-    assert params(routine) == [(None, "_val", "INTEGER"), (None, "_label", "TEXT")]
-    assert routine["returns"]["type"] == "text"
-    assert routine["attributes"] == ["lAnGuAgE sQl", "IMMUTABLE", "PARALLEL SAFE"]
+def test_ragged_layout(parsed):
+    (routine,) = parsed["ragged"]
+    assert names([routine]) == [("function", "depot", "ragged")]
+    assert params(routine) == [(None, "_n", "BIGINT"), (None, "_word", "TEXT")]
+    assert routine["returns"]["type"] == "date"
+    assert routine["attributes"] == ["Language SQL", "Immutable", "Parallel Safe"]
+
+
+def test_garbage_does_not_fail(parsed):
+    (routine,) = parsed["garbage"]
+    assert params(routine)[-2:] == [(None, "a", "b c d"), (None, '"q"', '"t"')]
+
+
+def test_control_characters(parsed):
+    assert params(parsed["control_chars_outside"][0]) == [
+        (None, "_a", "\x03int"), (None, "_b", "\x017\x02"),
+    ]
 
 
 def test_comments(parsed):
     assert [(r["name"], r["comment"]) for r in parsed["comments"]] == [
-        ("add", "It's ; new"), ("one", None), ("one", "proc"), ("bare", None),
+        ("plus", "It's ; new"), ("one", None), ("one", "proc"), ("bare", None),
     ]
 
 

@@ -2,22 +2,22 @@ from driftspark.operators import toc as ops
 
 SAMPLE = """
 ;
-; Archive created at 2026-03-03 11:10:30 CET
-;     FUNCTION in a header line
+; Listing of a nightly archive
+;     has the word FUNCTION in a header line
 ;
-42; 2615 586319 SCHEMA - inventory shopdb
-5799; 0 0 COMMENT - SCHEMA inventory shopdb
-5700; 0 0 COMMENT inventory FUNCTION format_price(numeric, text) shopdb
-1290; 1255 586699 FUNCTION inventory get_product(integer) shopdb
-5801; 0 0 COMMENT inventory FUNCTION get_product(_product_id integer) shopdb
-1495; 1255 586705 PROCEDURE inventory restock_item(integer, integer) shopdb
-5802; 0 0 COMMENT inventory PROCEDURE restock_item(IN _item_id integer, IN _quantity integer) shopdb
-1057; 1255 586617 FUNCTION inventory check_availability(text, integer) shopdb
-1484; 1255 586612 FUNCTION inventory format_price(numeric, text) shopdb
-1424; 1255 586611 FUNCTION billing format_price(numeric, text, boolean) shopdb
-5900; 0 0 ACL billing FUNCTION format_price(numeric, text, boolean) shopdb
-5901; 0 0 ACL billing FUNCTION never_defined() shopdb
-540; 1259 586428 TABLE inventory products shopdb
+7; 2615 100 SCHEMA - depot owner1
+8; 0 0 COMMENT - SCHEMA depot owner1
+90; 0 0 COMMENT depot FUNCTION weigh(real, text) owner1
+11; 1255 200 FUNCTION depot load_crate(bigint) owner1
+91; 0 0 COMMENT depot FUNCTION load_crate(crate bigint) owner1
+12; 1255 201 PROCEDURE depot unload(bigint, date) owner1
+92; 0 0 COMMENT depot PROCEDURE unload(IN crate bigint, IN due date) owner1
+13; 1255 202 FUNCTION depot is_full(text) owner1
+14; 1255 203 FUNCTION depot weigh(real, text) owner1
+15; 1255 204 FUNCTION scale weigh(real, text, boolean) owner1
+93; 0 0 ACL scale FUNCTION weigh(real, text, boolean) owner1
+94; 0 0 ACL scale FUNCTION never_defined() owner1
+16; 1259 300 TABLE depot crates owner1
 """.split("\n")
 
 
@@ -34,23 +34,23 @@ def groups(df):
 
 def test_classify(spark):
     kinds = {r.pos: (r.kind, r.schema, r.name) for r in ops.classify_toc(lines(spark)).collect()}
-    assert kinds[8] == ("routine", "inventory", "get_product")
-    assert kinds[9] == ("comment", "inventory", "get_product")
-    assert kinds[15] == ("acl", "billing", "format_price")
+    assert kinds[8] == ("routine", "depot", "load_crate")
+    assert kinds[9] == ("comment", "depot", "load_crate")
+    assert kinds[15] == ("acl", "scale", "weigh")
     assert [kinds[i][0] for i in (0, 1, 4, 5, 6, 17)] == [None] * 6
 
 
 def test_group(spark):
     found = groups(ops.group_toc(lines(spark)))
-    assert list(found) == ["get_product", "restock_item", "check_availability", "format_price"]
-    assert found["format_price"] == ["routine", "routine", "acl"]
-    assert found["get_product"] == ["routine", "comment"]
+    assert list(found) == ["load_crate", "unload", "is_full", "weigh"]
+    assert found["weigh"] == ["routine", "routine", "acl"]
+    assert found["load_crate"] == ["routine", "comment"]
     by_schema = ops.group_toc(lines(spark), by_schema=True)
-    assert by_schema.where("name = 'format_price'").select("schema").distinct().count() == 2
+    assert by_schema.where("name = 'weigh'").select("schema").distinct().count() == 2
 
 
 def test_no_routines(spark):
-    assert ops.group_toc(lines(spark, ["; header", "", "42; 2615 5 SCHEMA - inventory x"])).count() == 0
+    assert ops.group_toc(lines(spark, ["; header", "", "7; 2615 5 SCHEMA - depot x"])).count() == 0
 
 
 def test_exclude(spark):
