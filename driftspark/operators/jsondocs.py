@@ -39,11 +39,12 @@ def _types(node: Column) -> Column:
     return F.coalesce(listed, F.array(F.try_variant_get(node, "$.type", "string")))
 
 
-def property_class(node: Column) -> Column:
-    """Class of one JSON-Schema property; the order of the tests matters."""
+def property_class(node: Column, types: Column) -> Column:
+    """Class of one JSON-Schema property with its list of types; the order of the tests matters."""
 
     def has(*names):
-        return F.exists(_types(node), lambda t: F.coalesce(t.isin(*names), F.lit(False)))
+        wanted = F.array(*[F.lit(name) for name in names])
+        return F.coalesce(F.arrays_overlap(types, wanted), F.lit(False))
 
     def field(path):
         return F.try_variant_get(node, path, "variant")
@@ -68,16 +69,16 @@ def property_class(node: Column) -> Column:
     )
 
 
-def property_nullable(node: Column) -> Column:
-    """True if `type` is a list that has ``null``."""
-    listed = F.try_variant_get(node, "$.type", "array<string>")
-    return F.coalesce(F.array_contains(listed, "null"), F.lit(False))
-
-
 def classify_json_property(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumns(
-        {"class": property_class(F.col(col)), "nullable": property_nullable(F.col(col))}
-    )
+    """Add the `class` of a property and whether its list of types has ``null``."""
+    listed = F.try_variant_get(col, "$.type", "array<string>")
+    typed = df.withColumn("_types", _types(F.col(col)))
+    return typed.withColumns(
+        {
+            "class": property_class(F.col(col), F.col("_types")),
+            "nullable": F.coalesce(F.array_contains(listed, "null"), F.lit(False)),
+        }
+    ).drop("_types")
 
 
 def flatten_json(df: DataFrame, col: str) -> DataFrame:
@@ -115,11 +116,11 @@ def flatten_json(df: DataFrame, col: str) -> DataFrame:
     start = F.struct(root.alias("level"), F.array().cast(nodes).alias("found"))
     rounds = F.when(F.col("_steps") > 0, F.sequence(F.lit(1), "_steps"))
     found = F.aggregate(rounds, start, step, lambda state: state["found"])
-    rows = sized.select(*others, F.inline(found))
+    rows = classify_json_property(sized.select(*others, F.inline(found)), "node")
     return rows.select(
         *others,
         "path",
         F.try_variant_get("node", "$.description", "string").alias("description"),
         F.to_json(F.try_variant_get("node", "$.default", "variant")).alias("default"),
-        property_class(F.col("node")).alias("class"),
+        "class",
     )
