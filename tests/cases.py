@@ -76,5 +76,6 @@ CASES = {
     "control_chars_outside": "CREATE FUNCTION f(_a \x03int, _b \x017\x02) RETURNS int LANGUAGE sql AS $$ 1 $$;",
     "garbage": "CREATE FUNCTION f(= 5, DEFAULT, , IN , a b c d, \"q\" \"t\") RETURNS LANGUAGE AS BEGIN ATOMIC SET COST; COMMENT ON FUNCTION f() IS ; CREATE FUNCTION g(( RETURNS",
     "unbalanced_before": "\\echo :( oops; CREATE FUNCTION f(_a numeric(1,2)) RETURNS int LANGUAGE sql AS $$ 1 $$;",
+    "open_before": "\\echo ( oops\nCREATE FUNCTION f(_a numeric(1,2), _b int) RETURNS int LANGUAGE sql AS $$ 1 $$;",
     "rule_before": "CREATE RULE r AS ON INSERT TO t DO (a; b); CREATE FUNCTION f(_a int) RETURNS int LANGUAGE sql AS $$ 1 $$;",
 }

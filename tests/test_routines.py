@@ -168,6 +168,7 @@ def test_comments(parsed):
 
 def test_stray_brackets(parsed):
     assert params(parsed["unbalanced_before"][0]) == [(None, "_a", "numeric(1,2)")]
+    assert params(parsed["open_before"][0]) == [(None, "_a", "numeric(1,2)"), (None, "_b", "int")]
     assert names(parsed["rule_before"]) == [("function", None, "f")]
 
 
