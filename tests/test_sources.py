@@ -4,6 +4,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from driftspark import sources
+from driftspark.operators.routines import extract_routines
 
 
 def test_script_corpus_and_toc(spark, tmp_path):
@@ -58,3 +59,15 @@ def test_write_routine_scripts(spark, tmp_path):
     assert read_back(tmp_path / "routines" / "name=f") == "".join(f"line {i}\n" for i in range(200))
     assert read_back(tmp_path / "routines" / "name=g") == "g0\n"
     assert read_back(tmp_path / "routines" / "name=old") == "kept\n"
+
+
+def test_stateless_operators_on_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.sql").write_text("CREATE FUNCTION f(_a int) RETURNS int LANGUAGE sql AS $$ 1 $$;")
+    scripts = spark.readStream.option("wholetext", "true").text(str(tmp_path / "in"))
+    query = (
+        extract_routines(scripts, "value").writeStream.format("memory").queryName("found")
+        .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(60)
+    assert [r.name for r in spark.table("found").collect()] == ["f"]
