@@ -146,3 +146,27 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
         total += size
     if begin < len(sizes):
         yield batch.slice(begin)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """(text, y) of the documents that `training_labels` chooses, staged in a few partitions.
+
+    The broadcast side is a sample of about `most` rows of 12 bytes, whatever the size of the tables.
+    """
+    chosen = F.broadcast(training_labels(labels, label, most))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id")
+    return staged(rows.select("text", "y"))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40):
+    """Logistic regression by Newton steps over a small matrix. Gives centre, scale and weights (the constant last)."""
+    centre, scale = x.mean(0), x.std(0) + 1e-9
+    z = np.c_[(x - centre) / scale, np.ones(len(x))]
+    w = np.zeros(z.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (p - y) + ridge * w)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return centre, scale, w

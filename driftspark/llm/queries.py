@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm import rules, tokens, urls
-from driftspark.llm.common import table
+from driftspark.llm import quality, rules, tokens, toxicity, urls
+from driftspark.llm.common import held_out, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,21 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def _judged(scores: DataFrame, limit: float) -> DataFrame:
+    predicted = (F.col("score") >= limit).cast("int")
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _judged(quality.quality(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.7)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _judged(toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.quality_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -34,6 +49,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality": op2_quality,
+    "op6_toxicity": op6_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
 }
