@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm import quality, rules, tokens, toxicity, urls
+from driftspark.llm import decontam, quality, rules, tokens, toxicity, urls
 from driftspark.llm.common import held_out, table
 
 
@@ -33,6 +33,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.quality_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -51,6 +59,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
     "op6_toxicity": op6_toxicity,
+    "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
 }
