@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm import decontam, quality, rules, tokens, toxicity, urls
+from driftspark.llm import decontam, packing, quality, rules, tokens, toxicity, urls
 from driftspark.llm.common import held_out, table
 
 
@@ -55,6 +55,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    packed = packing.pack(table(spark, sf_dir, "documents"), model)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
@@ -62,4 +68,5 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
+    "op10_packing": op10_packing,
 }
