@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm import decontam, packing, quality, rules, tokens, toxicity, urls
+from driftspark.llm import decontam, neardup, packing, quality, rules, tokens, toxicity, urls
 from driftspark.llm.common import held_out, table
 
 
@@ -28,6 +28,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.quality(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.7)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return _judged(toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
@@ -64,6 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
+    "op3_near_duplicates": op3_near_duplicates,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
