@@ -170,3 +170,40 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
         if np.abs(step).max() < 1e-8:
             break
     return centre, scale, w
+
+
+def bitmap(rows: DataFrame, hashed: Column, bits: int = 23) -> np.ndarray:
+    """2**bits bits, packed, with those of all hashes set. It has that size whatever the number of rows, so it can be
+    broadcast; what it lets pass has to be joined exactly.
+    """
+    bucket = rows.select(F.pmod(hashed, F.lit(1 << bits)).alias("b"))
+    groups = bucket.groupBy(F.shiftright("b", 12).alias("high")).agg(F.collect_set(F.col("b").bitwiseAND(4095).cast("int")).alias("low"))
+    out = np.zeros(1 << bits, bool)
+    for r in groups.toLocalIterator():
+        out[(r["high"] << 12) + np.array(r["low"])] = True
+    return np.packbits(out)
+
+
+def in_bitmap(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each 64-bit hash is set."""
+    at = hashes.view(np.uint64) & np.uint64(8 * len(packed) - 1)
+    return (packed[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
+
+
+def split(rows: DataFrame, key: Column, keys: DataFrame, bits: int = 23) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is not among `keys` (one column), and rows whose key is. Rows with a null key are not.
+
+    Only rows that a bitmap of the keys lets pass are shuffled, so texts of the others stay where they are.
+    """
+    name = "key of split"
+    keys = keys.toDF(name)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(keys, F.xxhash64(name), bits))
+
+    @F.arrow_udf("boolean")
+    def may_be(hashes: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(shared.value, np.asarray(hashes)), pa.bool_())
+
+    passes = may_be(F.xxhash64(key))
+    suspects = rows.where(passes).withColumn(name, key)
+    others = rows.where(~passes).unionByName(suspects.join(keys, name, "left_anti").select(rows.columns))
+    return others, suspects.join(keys.distinct(), name, "left_semi").select(rows.columns)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import Words, alphanumeric, lower_ascii, mix, slices, staged
+from driftspark.llm.common import Words, alphanumeric, bitmap, in_bitmap, lower_ascii, mix, slices, split, staged
 
 _ROW = "fp long, mid string, before array<string>, after array<string>"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -103,28 +103,16 @@ def item_fingerprints(items: DataFrame, window: int, k: int, id_col: str, text_c
     return rows.mapInArrow(run, f"item string, length int, {_ROW}")
 
 
-def filter_bits(prints: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits bits with those of all fingerprints set. It has that size whatever the benchmark's size."""
-    bucket = F.pmod(F.col("fp"), F.lit(1 << bits))
-    rows = prints.select(bucket.alias("b")).groupBy(F.shiftright("b", 12).alias("high")).agg(F.collect_set(F.col("b").bitwiseAND(4095).cast("int")).alias("low"))
-    out = np.zeros(1 << bits, bool)
-    for r in rows.toLocalIterator():
-        out[(r["high"] << 12) + np.array(r["low"])] = True
-    return np.packbits(out)
-
-
 def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.length(F.col(text_col).cast("string")))
 
 
-def document_candidates(docs: DataFrame, bitmap: np.ndarray, bits: int, lengths: list[int], window: int, k: int, id_col: str, text_col: str) -> DataFrame:
+def document_candidates(docs: DataFrame, bits: np.ndarray, lengths: list[int], window: int, k: int, id_col: str, text_col: str) -> DataFrame:
     """(id, row, n_words, found): a row per document, with what the bitmap lets pass, equal ones of a document once."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    low = np.uint64((1 << bits) - 1)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
-        passes = lambda fp: (bitmap[(fp & low) >> np.uint64(3)] >> (np.uint8(7) - (fp & np.uint64(7)).astype(np.uint8))) & 1 == 1
+        bits = shared.value
         kind = pa.struct([("length", pa.int32()), ("fp", pa.int64()), ("mid", pa.string()), ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string())), ("at", pa.list_(pa.int32()))])
         for batch in batches:
             for part in slices(batch, "text"):
@@ -132,7 +120,7 @@ def document_candidates(docs: DataFrame, bitmap: np.ndarray, bits: int, lengths:
                 words, found = prints.words, [{} for _ in range(part.num_rows)]
                 for length in [0, *lengths]:
                     at, fp = prints.runs(length) if length else prints.kept()
-                    ok = passes(fp)
+                    ok = in_bitmap(bits, fp)
                     for i, x in zip(at[ok].tolist(), fp[ok].view(np.int64).tolist()):
                         doc = words.doc[i]
                         mid, before, after = prints.around(i) if not length else (" ".join(prints.text(i, i + length)), [], [])
@@ -177,7 +165,7 @@ def contamination(
     prints = staged(item_fingerprints(items, window, k, item_col, item_text_col))
     lengths = [r["length"] for r in prints.where("length > 0").select("length").distinct().orderBy("length").collect()]  # under `window` numbers
     contexts = prints.groupBy("length", "fp", "mid", "before", "after").agg(F.collect_set("item").alias("items")).withColumnsRenamed({"before": "b", "after": "a", "mid": "m"})
-    base = staged(document_candidates(docs, filter_bits(prints, bits), bits, lengths, window, k, id_col, text_col))
+    base = staged(document_candidates(docs, bitmap(prints, F.col("fp"), bits), lengths, window, k, id_col, text_col))
     found = base.select("row", F.explode("found").alias("x")).select("row", "x.*").dropDuplicates(["row", "length", "fp", "mid", "before", "after"])
     left, right = F.when(F.col("length") == 0, _shared_run(F.col("before"), F.col("b"))).otherwise(0), F.when(F.col("length") == 0, _shared_run(F.col("after"), F.col("a"))).otherwise(0)
     size = F.when(F.col("length") == 0, F.lit(k)).otherwise(F.col("length"))
@@ -201,5 +189,4 @@ def contamination(
 def without_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` without a hit word, all columns as they are."""
     hit = contamination(docs, items, id_col=id_col, text_col=text_col, **options).where("n_hit > 0").select("row").distinct()
-    key = "row of the decontamination"
-    return docs.withColumn(key, _row_key(id_col, text_col)).join(hit.withColumnRenamed("row", key), key, "left_anti").select(*[docs[c] for c in docs.columns])
+    return split(docs, _row_key(id_col, text_col), hit)[0]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import Words, blank_separated, lower_ascii, mix, slices, staged
+from driftspark.llm.common import Words, bitmap, blank_separated, in_bitmap, lower_ascii, mix, slices, split, staged
 
 TREES = 20
 DEPTH = 6
@@ -128,28 +128,18 @@ def candidates(reps: DataFrame, partitions: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long, shared int")
 
 
-def _bitmap(ids: DataFrame, bits: int = 23) -> np.ndarray:
-    """2**bits bits, those of the nodes set; of that size whatever the number of nodes."""
-    rows = ids.select(F.pmod("node", F.lit(1 << bits)).alias("b")).groupBy(F.shiftright("b", 12).alias("high")).agg(F.collect_set(F.col("b").bitwiseAND(4095).cast("int")).alias("low"))
-    out = np.zeros(1 << bits, bool)
-    for r in rows.toLocalIterator():
-        out[(r["high"] << 12) + np.array(r["low"])] = True
-    return out
-
-
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, bits: int = 23) -> DataFrame:
     """(node, items): the full sets of the wanted (node, id), as sorted 64-bit hashes. Texts are read once more; a bitmap
     keeps those of other nodes from the shuffle.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(_bitmap(wanted, bits)))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, F.col("node"), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 shingle, starts = shingle_sets(part.column(1))
                 node, _ = _identities(shingle, starts)
-                at = np.flatnonzero(bitmap[node & ((1 << bits) - 1)] & (np.diff(starts) > 0))
+                at = np.flatnonzero(in_bitmap(shared.value, node) & (np.diff(starts) > 0))
                 items = [shingle[starts[i] : starts[i + 1]].tobytes() for i in at]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(node[at]), pa.array(items, pa.binary())], ["id", "node", "items"])
 
@@ -296,3 +286,19 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id
     return rows.select("id", "n", "node").join(rooted, "node", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose id names their component, all columns as they are. Of rows equal in id and text one stays.
+
+    Rows without a word are linked with nothing and all stay, as do rows with a null id.
+    """
+    found = staged(near_duplicates(docs, percent=percent, id_col=id_col, text_col=text_col).where("n_shingles > 0"))
+    key = F.col(id_col)
+    rest, _ = split(docs, key, found.where(key != F.col("component_id")).select(id_col).distinct())
+    repeated = found.where(key.isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col)
+    if repeated.isEmpty():
+        return rest
+    single, several = split(rest, key, repeated)
+    words = F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return single.unionByName(several.where(~words)).unionByName(several.where(words).dropDuplicates([id_col, text_col]))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm import decontam, neardup, packing, quality, rules, tokens, toxicity, urls
+from driftspark.llm import decontam, neardup, packing, quality, rules, secret_scan, tokens, toxicity, urls
 from driftspark.llm.common import held_out, table
 
 
@@ -33,6 +33,18 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    names = F.array(*[F.lit(k[0]) for k in secret_scan.KINDS], F.lit("random"))
+    written = lambda spans: F.array_join(F.transform(spans, lambda m: F.concat_ws(":", F.get(names, m["k"]), m["s"], m["e"])), ",")
+    n = lambda k: F.size(F.filter("spans", lambda m: m["k"] == k)).cast("long")
+    base = F.filter("spans", lambda m: m["k"] < len(secret_scan.KINDS))
+    return found.select(
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+        F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return _judged(toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
@@ -70,6 +82,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
     "op3_near_duplicates": op3_near_duplicates,
+    "op5_secrets": op5_secrets,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
