@@ -1,12 +1,58 @@
-"""Documents to training sequences: five stages, each an operator of driftspark.llm."""
+"""Documents to training sequences: five stages, each an operator of driftspark.llm.
+
+Toxic documents go, one document of each group of near duplicates stays, documents with passages of the benchmark go,
+secrets are cut out of texts, and what is left is packed.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftspark.llm import decontam, neardup, packing, secret_scan, toxicity
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.3; the lexicon is learnt from the labels of those that came in."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document that names its component; of repeated rows of it one."""
+    return neardup.one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word that a window of the benchmark covers."""
+    return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark; n_chars follows the text."""
+    found = secret_scan.scan_secrets(docs, keep=docs.columns).withColumn("text", secret_scan.redacted(F.col("text"), F.col("spans")))
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, length).otherwise(F.col("n_chars")))
+    return found.select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences of at most 4,096 tokens."""
+    model = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    return packing.pack(docs, model)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", without_toxic),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("secrets", without_secrets),
+    ("packing", packed),
+]
 
 #: Tokenizers and learnt scores are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
