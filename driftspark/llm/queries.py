@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm import decontam, neardup, packing, quality, rules, secret_scan, tokens, toxicity, urls
+from driftspark.llm import decontam, html_text, neardup, packing, quality, rules, secret_scan, tokens, toxicity, urls
 from driftspark.llm.common import held_out, table
 
 
@@ -33,6 +33,11 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit(pages))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     names = F.array(*[F.lit(k[0]) for k in secret_scan.KINDS], F.lit("random"))
@@ -82,6 +87,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_html_text": op4_html_text,
     "op5_secrets": op5_secrets,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
