@@ -34,7 +34,7 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish"
 
 _LETTERS = str.maketrans(LOOK_ALIKES | {chr(0xFF41 + i): chr(97 + i) for i in range(26)} | dict.fromkeys(INVISIBLE))
 _DIGIT = re.compile(r"[013457@$]")
-_WRITTEN = re.compile(r"(?<=[^\W\d_])[013457@$]{1,2}(?=[^\W\d_])|(?<![\w@$])[013457@$](?=[^\W\d_]{2})")
+_WRITTEN = re.compile(r"(?<=[^\W\d_])[013457@$]{1,2}(?=[^\W\d_])|(?<![\w@$])[013457@$](?=[^\W\d_][\w@$])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
