@@ -50,11 +50,26 @@ def mask_secret(conn: Column) -> Column:
     return F.regexp_replace(conn, r"(?is)^(.*?)(Password\s*=\s*)([^;]*)", "$1$2****")
 
 
+# An element of an array literal, behind its comma: quoted with backslash escapes, or plain.
+_ELEMENT = r'(?:^|,)("[^"\\]*+(?:\\.[^"\\]*+)*+"|[^,]*+)'
+
+
 def parse_pg_array(literal: Column) -> Column:
-    """``{a,b}`` -> array; NULL, '' and ``{}`` -> empty array. Quoted elements stay as they are."""
+    """``{a,b}`` -> array; NULL, '' and ``{}`` -> empty array.
+
+    Commas inside quoted elements don't part them; the quotes go and escapes are undone.
+    """
     inner = F.regexp_replace(literal, r"^\{|\}$", "")
     empty = literal.isNull() | literal.isin("", "{}")
-    return F.when(empty, F.array().cast("array<string>")).otherwise(F.split(inner, ",", -1))
+
+    def plain(element):
+        quoted = F.substring(element, F.lit(2), F.length(element) - 2)
+        return F.when(
+            element.startswith('"'), F.regexp_replace(quoted, r"(?s)\\(.)", "$1")
+        ).otherwise(element)
+
+    elements = F.transform(F.regexp_extract_all(inner, F.lit(_ELEMENT), F.lit(1)), plain)
+    return F.when(empty, F.array().cast("array<string>")).otherwise(elements)
 
 
 def extract_version(text: Column) -> Column:
@@ -72,13 +87,17 @@ def is_newer(current: Column, latest: Column) -> Column:
     """True if `latest` is ahead of `current`, by major, minor and patch as integers.
 
     The first differing part decides. A part that is missing or not a number decides as "not newer",
-    hence the fillers: nothing is ahead of the one, and the other is ahead of nothing.
+    hence the fillers: nothing is ahead of the one, and the other is ahead of nothing. An empty part, as in
+    ``1..3``, is not a number either.
     """
 
     def parts(version, filler):
-        texts = F.split(version_core(version), r"\.", 3)
-        numbers = [F.get(texts, F.lit(i)).try_cast("long") for i in range(3)]
-        return F.array(*[F.coalesce(number, F.lit(filler)) for number in numbers])
+        # the texts are bound once, and their three parts read from them
+        texts = F.array(F.split(version_core(version), r"\.", 3))
+        numbers = F.transform(
+            texts, lambda t: F.array(*[F.coalesce(F.get(t, F.lit(i)).try_cast("long"), F.lit(filler)) for i in range(3)])
+        )
+        return F.get(numbers, F.lit(0))
 
     newer = parts(current, 2**63 - 1) < parts(latest, -1)
     return newer & current.isNotNull() & latest.isNotNull()

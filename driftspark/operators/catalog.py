@@ -8,6 +8,8 @@ from driftspark.schemas import CATALOG_COLUMNS
 # One-letter codes of the system tables.
 ROUTINE_KINDS = {"f": "function", "p": "procedure"}
 VOLATILITY_CODES = {"i": "immutable", "s": "stable", "v": "volatile"}
+# The class oid of routines in descriptions.
+PROC_CLASS = 1255
 PARALLEL_CODES = {"s": "safe", "r": "restricted", "u": "unsafe"}
 
 
@@ -51,7 +53,15 @@ def catalog_metadata(
     if schemas is not None:
         spaces = select_schemas(spaces, schemas)
     languages = language.select(F.col("oid").alias("prolang"), F.col("lanname").alias("language"))
-    remarks = description.select(
+    # Other classes of objects, and columns, may have a routine's oid.
+    described = description
+    if "classname" in description.columns:
+        described = described.where(F.col("classname") == "pg_proc")
+    elif "classoid" in description.columns:
+        described = described.where(F.col("classoid") == PROC_CLASS)
+    if "objsubid" in description.columns:
+        described = described.where(F.col("objsubid") == 0)
+    remarks = described.select(
         F.col("objoid").alias("oid"), F.col("description").alias("comment")
     )
     return_types = types.select(
@@ -133,8 +143,10 @@ def fold_catalog_rows(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     `by` names the columns that tell catalogs apart (oids are unique within one database only). A
     group is one routine's argument list, which the catalog itself limits (100 by default).
+    `unfoldable_rows` returns what can't be folded: rows without an oid, and oids of two routines.
     """
     keys = [*by, "routine_oid"]
+    rows = rows.where(F.col("routine_oid").isNotNull())
     parameter = F.struct(
         F.col("param_ord").alias("ord"), F.col("param_name").alias("name"),
         F.col("param_type").alias("type"),
@@ -150,3 +162,20 @@ def fold_catalog_rows(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
     flat = folded.select(*keys, "_routine.*", "parameters")
     return decode_catalog_codes(flat).withColumnRenamed("type", "kind")
+
+
+def unfoldable_rows(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows without an oid, and rows whose (catalog, oid) names two routines, each with its reason.
+
+    The second kind shows that several catalogs were read as one: `by` lacks their column.
+    """
+    keys = [*by, "routine_oid"]
+    label = F.struct("schema", "name", "type")
+    named = (
+        rows.where(F.col("routine_oid").isNotNull()).groupBy(*keys)
+        .agg(F.min(label).alias("_low"), F.max(label).alias("_high"))
+        .where(~F.col("_low").eqNullSafe(F.col("_high"))).drop("_low", "_high")
+    )
+    lone = rows.where(F.col("routine_oid").isNull()).withColumn("reason", F.lit("no oid"))
+    twice = rows.join(named, keys, "left_semi").withColumn("reason", F.lit("two names for one oid"))
+    return lone.unionByName(twice)

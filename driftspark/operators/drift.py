@@ -51,14 +51,24 @@ def desired_state(
     """Parsed routines as comparable rows, bodies as fingerprints.
 
     Only input parameters count: a catalog's argument types hold no others. RETURNS TABLE is a set
-    of records there.
+    of records there, and output parameters without RETURNS are a return type of their own.
     """
     inputs = F.filter(
         "parameters", lambda p: ~F.coalesce(p["dir"], F.lit("in")).isin("out")
     )
     returned = F.col("returns")
     table = returned["table"].isNotNull()
-    returns = F.when(
+    outputs = F.filter("parameters", lambda p: p["dir"].isin("out", "inout"))
+    implied = F.when(
+        (F.col("kind") == "function") & (F.size(outputs) > 0),
+        F.struct(
+            F.lit(False).alias("setof"),
+            F.when(F.size(outputs) > 1, "record")
+            .otherwise(_type_name(F.get(outputs, F.lit(0))["type"], canonical_types))
+            .alias("type"),
+        ),
+    )
+    stated = F.when(
         returned.isNotNull(),
         F.struct(
             (table | returned["setof"]).alias("setof"),
@@ -67,6 +77,7 @@ def desired_state(
             .alias("type"),
         ),
     )
+    returns = F.coalesce(stated, implied)
     hashed = "body_hash" in routines.columns
     body_hash = F.col("body_hash") if hashed else fingerprint(F.col("body"))
     comment = F.col("comment") if "comment" in routines.columns else F.lit(None).cast("string")

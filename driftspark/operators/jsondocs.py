@@ -81,15 +81,28 @@ def classify_json_property(df: DataFrame, col: str) -> DataFrame:
     ).drop("_types")
 
 
+def _depth(json: Column) -> Column:
+    """How deep the objects of a JSON text are nested: one pass over its braces outside of strings."""
+    bare = F.regexp_replace(json, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^{}"]++', "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(state, brace):
+        now = state["now"] + F.when(brace == "{", 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    return F.aggregate(F.split(bare, ""), zero, step)["most"]
+
+
 def flatten_json(df: DataFrame, col: str) -> DataFrame:
-    """Nested ``properties`` of schema documents -> dotted paths with description, default, class.
+    """Nested ``properties`` of schema documents -> dotted paths with description, default, class, nullable.
 
-    The walk goes level by level inside the row. Its number of steps is each document's own count of
-    ``"properties"``, which no nesting can exceed, so any depth is read whole and nothing shuffles.
+    The walk goes level by level inside the row, as many levels as the document is deep, so any depth is
+    read whole and nothing shuffles. Every level is built once and kept as one array of the levels.
     """
     others = [c for c in df.columns if c != col]
     nodes = "array<struct<path: string, node: variant>>"
-    steps = F.regexp_count(F.to_json(col), F.lit('"properties"'))
+    # two objects open on the way from a node to its children
+    steps = F.floor(_depth(F.to_json(col)) / 2).cast("int")
     sized = df.select(*others, F.col(col).alias("_doc"), steps.alias("_steps"))
 
     def children(parent):
@@ -107,15 +120,16 @@ def flatten_json(df: DataFrame, col: str) -> DataFrame:
         )
         return F.coalesce(named, F.array().cast(nodes))
 
-    def step(state, _):
-        level = F.flatten(F.transform(state["level"], children))
-        deeper = F.struct(level.alias("level"), F.concat(state["found"], level).alias("found"))
-        return F.when(F.size(state["level"]) > 0, deeper).otherwise(state)
+    def step(levels, _):
+        last = F.element_at(levels, -1)
+        below = F.transform(F.array(last), lambda level: F.flatten(F.transform(level, children)))
+        return F.when(F.size(last) > 0, F.concat(levels, below)).otherwise(levels)
 
     root = F.array(F.struct(F.lit("").alias("path"), F.col("_doc").alias("node"))).cast(nodes)
-    start = F.struct(root.alias("level"), F.array().cast(nodes).alias("found"))
     rounds = F.when(F.col("_steps") > 0, F.sequence(F.lit(1), "_steps"))
-    found = F.aggregate(rounds, start, step, lambda state: state["found"])
+    found = F.aggregate(
+        rounds, F.array(root), step, lambda levels: F.flatten(F.slice(levels, 2, F.size(levels)))
+    )
     rows = classify_json_property(sized.select(*others, F.inline(found)), "node")
     return rows.select(
         *others,
@@ -123,4 +137,5 @@ def flatten_json(df: DataFrame, col: str) -> DataFrame:
         F.try_variant_get("node", "$.description", "string").alias("description"),
         F.to_json(F.try_variant_get("node", "$.default", "variant")).alias("default"),
         "class",
+        "nullable",
     )

@@ -5,7 +5,9 @@ statement starts. Everything after it is native: statements become rows and are
 expressions, each of them evaluated once per statement.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.functions.scan import (
@@ -13,6 +15,7 @@ from driftspark.functions.scan import (
     OPEN,
     PLACEHOLDER,
     dollar_body,
+    escaped_body,
     quoted_body,
     restore_literals,
     scan_script,
@@ -29,10 +32,7 @@ MULTI_WORD_TYPES = [
     r"timestamp\s+(?:with|without)\s+time\s+zone",
     r"time\s+(?:with|without)\s+time\s+zone",
 ]
-RETURN_TYPE_ENDS = [
-    "LANGUAGE", "AS", r"BEGIN\s+ATOMIC", "IMMUTABLE", "STABLE", "VOLATILE", "SECURITY",
-    "PARALLEL", "COST", "ROWS", "SET", "STRICT", "CALLED", "EXTERNAL",
-]
+SET_VALUE = rf"(?:{OPEN}\d+{CLOSE}|[^\s,]+)"
 ATTRIBUTE_CLAUSES = [
     "RETURNS NULL ON NULL INPUT",
     "CALLED ON NULL INPUT",
@@ -42,8 +42,7 @@ ATTRIBUTE_CLAUSES = [
     "NOT LEAKPROOF",
     "PARALLEL (?:UNSAFE|RESTRICTED|SAFE)",
     r"SET \S+ FROM CURRENT",
-    rf"SET \S+ ?(?:=|TO) ?{OPEN}\d+{CLOSE}",
-    r"SET \S+ ?(?:=|TO) ?\S+",
+    rf"SET \S+ ?(?:=|TO) ?{SET_VALUE}(?: ?, ?{SET_VALUE})*",
     r"LANGUAGE \S+",
     r"SUPPORT \S+",
     r"COST \S+",
@@ -55,19 +54,25 @@ ATTRIBUTE_CLAUSES = [
     "STRICT",
     "WINDOW",
 ]
+# A return type ends at the first word of a clause, or where the body begins.
+RETURN_TYPE_ENDS = sorted(
+    {re.match(r"\w+", clause)[0] for clause in ATTRIBUTE_CLAUSES} | {"AS", r"BEGIN\s+ATOMIC", "RETURN"}
+)
 ATTRIBUTE_DEFAULTS = {
     "language": "sql", "volatility": "volatile", "parallel": "unsafe",
-    "cost": 100.0, "rows_set": 1000.0, "rows_scalar": 0.0,
+    "cost": 100.0, "cost_native": 1.0, "rows_set": 1000.0, "rows_scalar": 0.0,
 }
 
-_NAME = r"(?:([a-zA-Z_]\w*)\.)?([a-zA-Z_]\w*)\s*\(([^()]*)\)"
+# A word, or a quoted identifier, which is a masked part.
+_WORD = rf"(?:[\p{{L}}_][\p{{L}}\p{{N}}_$]*|{OPEN}\d+{CLOSE})"
+_NAME = rf"(?:({_WORD})\s*\.\s*)?({_WORD})\s*\(([^()]*)\)"
 # Patterns for `regexp_groups`. Groups: kind, schema, name, arguments, rest of the statement.
 # Literals are masked, so the first semicolon ends it, save for BEGIN ATOMIC bodies.
 CREATE_ROUTINE = (
     rf"(?is)^CREATE\s+(?:OR\s+REPLACE\s+)?(FUNCTION|PROCEDURE)\s+{_NAME}([^;]*).*\z"
 )
-# Groups: kind, schema, name, argument types, number of the literal.
-COMMENT_ON = rf"(?is)^COMMENT\s+ON\s+(FUNCTION|PROCEDURE)\s+{_NAME}\s*IS\s*{PLACEHOLDER}\s*;.*\z"
+# Groups: kind, schema, name, argument types, E of an escape literal, number of the literal (NULL has none).
+COMMENT_ON = rf"(?is)^COMMENT\s+ON\s+(FUNCTION|PROCEDURE)\s+{_NAME}\s*IS\s*(?:(E?){PLACEHOLDER}|NULL)\s*(?:;.*)?\z"
 # Groups: mode, text before any default.
 PARAMETER_TEXT = (
     rf"(?is)^(?:({'|'.join(PARAMETER_MODES)})\s+)?(.*?)(?:\s+DEFAULT\b.*|\s*:?=.*)?\z"
@@ -86,9 +91,14 @@ RETURNS_CLAUSE = (
 # What is not attributes in the rest of a statement: the RETURNS clause and all from the body on.
 NOT_ATTRIBUTES = (
     rf"(?is){_RETURNS}(?:TABLE\s*\([^()]*\)|(?:SETOF\s+)?.*?(?={_TYPE_END}|\z))"
-    rf"|\bAS(?=[\s{OPEN}]).*\z|\bBEGIN\s+ATOMIC\b.*\z"
+    rf"|\bAS(?=[\s{OPEN}]).*\z|\bBEGIN\s+ATOMIC\b.*\z|\bRETURN\b.*\z"
 )
+# Groups: number of the literal; for the second one, of the link symbol behind a library's name.
 BODY_LITERAL = rf"(?i)\bAS\s*E?{PLACEHOLDER}"
+BODY_SYMBOL = rf"(?i)\bAS\s*E?{OPEN}\d+{CLOSE}\s*,\s*E?{PLACEHOLDER}"
+BODY_ESCAPES = rf"(?i)\bAS\s*(?:E?{OPEN}\d+{CLOSE}\s*,\s*)?E{OPEN}\d+{CLOSE}(?!\s*,)"
+BODY_RETURN = r"(?is)\b(RETURN\b.*?)\s*\z"
+ATOMIC = r"(?i)\bBEGIN\s+ATOMIC\b"
 BODY_ATOMIC = r"(?is)\bBEGIN\s+ATOMIC(?:\s*;)?((?:.*?;)?\s*)\bEND\b\s*(?:;|\z)"
 ATTRIBUTE = rf"(?i)(?<!\S)(?:{'|'.join(ATTRIBUTE_CLAUSES)})"
 
@@ -97,11 +107,21 @@ def _empty_as_null(text: Column) -> Column:
     return F.when(text != "", text)
 
 
+def _unquoted(name: Column) -> Column:
+    """A name as the catalog holds it: without its quotes, doubled ones undone; '' as NULL."""
+    inner = F.replace(F.substring(name, F.lit(2), F.length(name) - 2), F.lit('""'), F.lit('"'))
+    return F.when(name.startswith('"'), inner).otherwise(_empty_as_null(name))
+
+
 def _statements(scripts: DataFrame, text: str) -> DataFrame:
-    """One row per routine statement, with only its own literals as `parts`."""
+    """One row per routine statement, with only its own literals as `parts`.
+
+    Texts without the words of such a statement need no scan.
+    """
     others = [c for c in scripts.columns if c != text]
     found = F.explode(scan_script(text)).alias("_statement")
-    return scripts.select(*others, found).select(*others, "_statement.*")
+    likely = scripts.where(F.col(text).rlike(r"(?i)\b(?:FUNCTION|PROCEDURE)\s"))
+    return likely.select(*others, found).select(*others, "_statement.*")
 
 
 def _parameters(content: Column, parts: Column, base: Column) -> Column:
@@ -176,10 +196,13 @@ def _read_definitions(statements: DataFrame) -> DataFrame:
         group(F.col("head"), 3).alias("arguments"),
         group(F.col("head"), 4).alias("tail"),
         F.when(F.size("head") == 5, F.lower(group(F.col("head"), 0))).alias("kind"),
-        _empty_as_null(group(F.col("head"), 1)).alias("schema"),
-        group(F.col("head"), 2).alias("name"),
+        _unquoted(restore_literals(group(F.col("head"), 1), parts, base)).alias("schema"),
+        _unquoted(restore_literals(group(F.col("head"), 2), parts, base)).alias("name"),
     )
-    number = _empty_as_null(F.regexp_extract("tail", BODY_LITERAL, 1)).cast("int")
+    number = F.coalesce(
+        _empty_as_null(F.regexp_extract("tail", BODY_SYMBOL, 1)),
+        _empty_as_null(F.regexp_extract("tail", BODY_LITERAL, 1)),
+    ).cast("int")
     zones = tails.withColumns(
         {
             "clause": regexp_groups(F.col("tail"), RETURNS_CLAUSE, 5),
@@ -188,12 +211,17 @@ def _read_definitions(statements: DataFrame) -> DataFrame:
         }
     )
     atomic_text = F.when(
-        F.col("literal").isNull(), _empty_as_null(F.regexp_extract("text", BODY_ATOMIC, 1))
+        F.col("literal").isNull(),
+        F.coalesce(
+            _empty_as_null(F.regexp_extract("text", BODY_ATOMIC, 1)),
+            F.when(~F.col("tail").rlike(ATOMIC), _empty_as_null(F.regexp_extract("tail", BODY_RETURN, 1))),
+        ),
     )
     texts = zones.withColumn("atomic_text", atomic_text)
     literal = F.col("literal")
     body = (
         F.when(literal.startswith("$"), dollar_body(literal))
+        .when(literal.startswith("'") & F.col("tail").rlike(BODY_ESCAPES), escaped_body(literal))
         .when(literal.startswith("'"), quoted_body(literal))
         .otherwise(restore_literals(F.col("atomic_text"), parts, base))
     )
@@ -204,7 +232,7 @@ def _read_definitions(statements: DataFrame) -> DataFrame:
             "returns": _returns(F.col("clause"), parts, base),
             "attributes": F.transform(found, lambda a: restore_literals(a, parts, base)),
             "body": body,
-            "atomic": literal.isNull() & F.col("tail").rlike(r"(?i)\bBEGIN\s+ATOMIC\b"),
+            "atomic": literal.isNull() & F.col("tail").rlike(rf"{ATOMIC}|(?i)\bRETURN\b"),
         }
     )
 
@@ -248,32 +276,65 @@ _NESTED = ["parameters", "returns", "attributes", "body", "atomic"]
 
 
 def extract_comments(scripts: DataFrame, text: str = "text") -> DataFrame:
-    """One row per ``COMMENT ON FUNCTION/PROCEDURE ... IS '...'`` with its lower-cased argument types."""
+    """One row per ``COMMENT ON FUNCTION/PROCEDURE ... IS`` a literal or NULL, with lower-cased argument types."""
     others = [c for c in scripts.columns if c != text]
     statements = _statements(scripts, text).where("verb = 'comment'")
-    return _read_comments(statements).where("comment is not null").select(
+    return _read_comments(statements).where("kind is not null").select(
         *others, "pos", "kind", "schema", "name", "arg_types", "comment"
     )
 
 
+def _comment_head(text: Column) -> Column:
+    return regexp_groups(text, COMMENT_ON, 6)
+
+
+def _comment_types(said: Column, parts: Column, base: Column) -> Column:
+    return argument_types(_parameters(group(said, 3), parts, base), F.lower(group(said, 0)))
+
+
+def _comment_text(said: Column, parts: Column, base: Column) -> Column:
+    literal = F.get(parts, _empty_as_null(group(said, 5)).cast("int") - base)
+    return (
+        F.when(literal.startswith("$"), dollar_body(literal))
+        .when(literal.startswith("'") & (group(said, 4) != ""), escaped_body(literal))
+        .when(literal.startswith("'"), quoted_body(literal))
+    )
+
+
 def _read_comments(statements: DataFrame) -> DataFrame:
-    parts, base = F.col("parts"), F.col("base")
-    said = statements.withColumn("said", regexp_groups(F.col("text"), COMMENT_ON, 5))
-    number = F.when(F.size("said") == 5, group(F.col("said"), 4)).cast("int")
-    literals = said.withColumn("literal", F.get(parts, number - base))
-    return literals.select(
+    parts, base, head = F.col("parts"), F.col("base"), F.col("said")
+    said = statements.withColumn("said", _comment_head(F.col("text")))
+    return said.where(F.size("said") == 6).select(
         *statements.columns,
-        F.when(F.size("said") == 5, F.lower(group(F.col("said"), 0))).alias("kind"),
-        _empty_as_null(group(F.col("said"), 1)).alias("schema"),
-        group(F.col("said"), 2).alias("name"),
-        argument_types(_parameters(group(F.col("said"), 3), parts, base)).alias("arg_types"),
-        F.when(F.col("literal").startswith("'"), quoted_body(F.col("literal"))).alias("comment"),
+        F.lower(group(head, 0)).alias("kind"),
+        _unquoted(restore_literals(group(head, 1), parts, base)).alias("schema"),
+        _unquoted(restore_literals(group(head, 2), parts, base)).alias("name"),
+        _comment_types(head, parts, base).alias("arg_types"),
+        _comment_text(head, parts, base).alias("comment"),
+    )
+
+
+def rejects(scripts: DataFrame, text: str = "text") -> DataFrame:
+    """Statements that read like one for a routine and can't be read as one: verb, pos, head and reason.
+
+    Every statement is a routine, a comment, or a row here.
+    """
+    others = [c for c in scripts.columns if c != text]
+    statements = _statements(scripts, text)
+    created = F.size(regexp_groups(F.col("text"), CREATE_ROUTINE, 5)) == 5
+    said = F.size(_comment_head(F.col("text"))) == 6
+    unread = statements.where(~F.when(F.col("verb") == "create", created).otherwise(said))
+    reason = F.when(F.col("verb") == "create", "no name and argument list").otherwise(
+        F.when(~F.col("text").rlike(r"(?i)\bIS\b"), "no IS").otherwise("no routine signature or no text")
     )
+    head = F.left(restore_literals(F.col("text"), F.col("parts"), F.col("base")), F.lit(200))
+    return unread.select(*others, "verb", "pos", head.alias("head"), reason.alias("reason"))
 
 
-def argument_types(parameters: Column) -> Column:
-    """Lower-cased parameter types, the part of a signature that comments are matched by."""
-    return F.transform(parameters, lambda p: F.lower(p["type"]))
+def argument_types(parameters: Column, kind: Column) -> Column:
+    """Lower-cased parameter types that comments are matched by: a function's input ones, all of a procedure."""
+    named = F.filter(parameters, lambda p: (kind != "function") | ~F.coalesce(p["dir"], F.lit("in")).isin("out"))
+    return F.transform(named, lambda p: F.lower(p["type"]))
 
 
 def last_comment(comments: DataFrame, by: list[str]) -> DataFrame:
@@ -295,44 +356,41 @@ def attach_comments(routines: DataFrame, comments: DataFrame, by: list[str]) ->
     same = F.lit(True)
     for c in [*by, "kind", "schema", "name"]:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    same = same & (argument_types(F.col("parameters")) == F.col("_arg_types"))
+    same = same & (argument_types(F.col("parameters"), F.col("kind")) == F.col("_arg_types"))
     return routines.join(said, same, "left").select(*routines.columns, "comment")
 
 
 def parse_routines(scripts: DataFrame, text: str = "text", hashed: bool = False) -> DataFrame:
-    """`extract_routines` with comments attached, in one scan and one shuffle.
-
-    With `hashed`, bodies go into the shuffle as `body_hash` only.
+    """`extract_routines` with the last comment of the same script, in one scan and without a shuffle.
 
-    The window runs over one signature within one script: its other columns, its text and its input
-    partition. Equal copies of a script may share a window partition, which changes no result, but
-    only those that came from one input partition, so none outgrows what a task has already held.
+    The scanner hands every definition the comments on its kind and name; the last one with the same
+    argument types counts, also if it says NULL. With `hashed`, bodies become `body_hash`.
     """
     others = [c for c in scripts.columns if c != text]
-    origin = F.struct(F.xxhash64(text).alias("text"), F.spark_partition_id().alias("partition"))
-    statements = _statements(scripts.withColumn("_origin", origin), text)
-    said = F.struct("kind", "schema", "name", "arg_types", "comment").alias("said")
-    remarked = _read_comments(statements).select(*statements.columns, said)
-    comment_key = F.struct("said.kind", "said.schema", "said.name", "said.arg_types")
-    routine_key = F.struct(
-        "kind", "schema", "name", argument_types(F.col("parameters")).alias("arg_types")
+    statements = _statements(scripts, text).where("verb = 'create'")
+    read = F.transform("remarks", lambda r: F.struct(_comment_head(r["text"]).alias("said"), r["parts"].alias("parts"), r["base"].alias("base")))
+    typed = F.transform(
+        F.filter(read, lambda r: F.size(r["said"]) == 6),
+        lambda r: F.struct(
+            _comment_types(r["said"], r["parts"], r["base"]).alias("types"),
+            _comment_text(r["said"], r["parts"], r["base"]).alias("comment"),
+        ),
     )
+    types = argument_types(F.col("parameters"), F.col("kind"))
+    said = F.filter(typed, lambda r: r["types"] == types)
     body = fingerprint(F.col("body")).alias("body_hash") if hashed else F.col("body")
     columns = [body if c == "body" else F.col(c) for c in ROUTINE_COLUMNS]
-    defined = _read_definitions(remarked).select(
-        *others,
-        "_origin",
-        *columns,
-        F.when(F.col("kind").isNull(), comment_key).otherwise(routine_key).alias("_key"),
-        F.col("said.comment").alias("comment"),
-    )
-    same = (
-        Window.partitionBy(*others, "_origin", "_key")
-        .orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    commented = defined.withColumn("comment", F.last("comment", ignorenulls=True).over(same))
-    return commented.where("kind is not null").drop("_origin", "_key")
+    defined = _read_definitions(statements).where("name is not null")
+    return defined.select(*others, *columns, F.try_element_at(said, F.lit(-1))["comment"].alias("comment"))
+
+
+# A value of a comma list: quoted in either way, or a word.
+LISTED = r"'[^']*+(?:''[^']*+)*+'|\"[^\"]*+(?:\"\"[^\"]*+)*+\"|[^\s,]+"
+
+
+def _setting_value(value: Column) -> Column:
+    inner = F.replace(F.substring(value, F.lit(2), F.length(value) - 2), F.lit("''"), F.lit("'"))
+    return F.when(value.startswith("'"), inner).otherwise(value)
 
 
 def resolve_attributes(routines: DataFrame) -> DataFrame:
@@ -353,19 +411,23 @@ def resolve_attributes(routines: DataFrame) -> DataFrame:
         return picked
 
     def setting(clause):
-        text = r"(?is)^SET\s+(\S+)\s*(?:=|TO)\s*(.+)$"
-        plain = F.regexp_replace(F.regexp_extract(clause, text, 2), r"(?s)^'(.*)'$", "$1")
+        text = r"(?is)^SET\s+(\S+?)\s*(?:=|\bTO\b)\s*(.+)$"
+        values = F.regexp_extract_all(F.regexp_extract(clause, text, 2), F.lit(LISTED), F.lit(0))
+        plain = F.array_join(F.transform(values, _setting_value), ", ")
         return F.when(
             clause.rlike(text), F.concat(F.regexp_extract(clause, text, 1), F.lit("="), plain)
         ).otherwise(clause)
 
+    stated_language = F.regexp_replace(F.lower(value("LANGUAGE")), "^'(.*)'$", "$1")
+    language = F.coalesce(stated_language, F.lit(ATTRIBUTE_DEFAULTS["language"]))
+    cost = F.when(language.isin("c", "internal"), ATTRIBUTE_DEFAULTS["cost_native"]).otherwise(ATTRIBUTE_DEFAULTS["cost"])
     returns_set = F.col("returns.setof") | F.col("returns.table").isNotNull()
     rows = F.when(returns_set, ATTRIBUTE_DEFAULTS["rows_set"]).otherwise(
         ATTRIBUTE_DEFAULTS["rows_scalar"]
     )
     return routines.withColumns(
         {
-            "language": F.coalesce(F.lower(value("LANGUAGE")), F.lit(ATTRIBUTE_DEFAULTS["language"])),
+            "language": language,
             "volatility": choice(
                 "", ["immutable", "stable", "volatile"], ATTRIBUTE_DEFAULTS["volatility"]
             ),
@@ -375,7 +437,7 @@ def resolve_attributes(routines: DataFrame) -> DataFrame:
                 "parallel ", ["safe", "restricted", "unsafe"], ATTRIBUTE_DEFAULTS["parallel"]
             ),
             "leakproof": stated("LEAKPROOF"),
-            "cost": F.coalesce(value("COST").try_cast("double"), F.lit(ATTRIBUTE_DEFAULTS["cost"])),
+            "cost": F.coalesce(value("COST").try_cast("double"), cost),
             "rows": F.coalesce(value("ROWS").try_cast("double"), rows),
             "config": F.transform(
                 F.filter(attributes, lambda a: a.rlike(r"(?i)^SET\s")), setting

@@ -1,6 +1,6 @@
 """Settings work: key/value strings, placeholders, layers, file references, versions."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.functions.text import is_newer, trim_blanks, version_core
@@ -65,11 +65,10 @@ def extract_file_refs(df: DataFrame, col: str) -> DataFrame:
 def resolve_placeholders(templates: DataFrame, dictionary: DataFrame, col: str) -> DataFrame:
     """Replace ``{NAME}`` from the dictionary (key, value), once; list what it does not have.
 
-    Each distinct text is resolved once and joined back by its hash, so a text that many templates
-    share is one row while it is taken apart, and a group of tokens is never more than one text. The
-    dictionary holds one row per key. Spark broadcasts it where its measured size allows; beyond
-    that, and for the join back, the side without repeats is on the right, so AQE may split a hot
-    key on the left. Templates without a brace skip all of it.
+    Each distinct text is resolved once and joined back by its hash. Only the distinct names of a text
+    meet the dictionary, and what they say comes back as one map per text, so literal text never enters
+    a join. The dictionary holds one row per key. In every join the side without repeats is on the
+    right, so AQE may split a hot key on the left. Templates without a brace skip all of it.
     """
     others = [c for c in templates.columns if c != col]
     none = F.array().cast("array<string>")
@@ -78,28 +77,33 @@ def resolve_placeholders(templates: DataFrame, dictionary: DataFrame, col: str)
         *others, F.col(col).alias("resolved"), none.alias("unresolved")
     )
     keyed = templates.where(braced).withColumn("_id", F.sha2(F.col(col), 256))
-    texts = keyed.groupBy("_id").agg(F.any_value(col).alias("_text"))
     token = F.lit(r"\{[^}]+\}|[^{]+|\{")
-    tokens = texts.select(
-        "_id", F.posexplode(F.regexp_extract_all("_text", token, F.lit(0))).alias("_pos", "_token")
+    texts = keyed.groupBy("_id").agg(F.any_value(col).alias("_text")).select(
+        "_id", F.regexp_extract_all("_text", token, F.lit(0)).alias("_tokens")
     )
-    name = F.when(
-        F.col("_token").rlike(r"(?s)^\{[^}]+\}$"), F.expr("substring(_token, 2, length(_token) - 2)")
-    )
-    known = dictionary.select(
-        F.col("key").alias("_name"), F.col("value").alias("_value"), F.lit(True).alias("_known")
+
+    def is_name(t):
+        return t.startswith("{") & t.endswith("}") & (F.length(t) > 2)
+
+    def name_of(t):
+        return F.substring(t, F.lit(2), F.length(t) - 2)
+
+    names = F.array_distinct(F.transform(F.filter("_tokens", is_name), name_of))
+    known = dictionary.select(F.col("key").alias("_name"), F.col("value").alias("_value"))
+    said = (
+        texts.select("_id", F.explode(names).alias("_name")).join(known, "_name")
+        .groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_name", "_value"))).alias("_said"))
     )
-    looked_up = tokens.withColumn("_name", name).join(known, "_name", "left")
-    piece = F.struct(
-        "_pos",
-        F.when(F.col("_known"), F.col("_value")).otherwise(F.col("_token")).alias("text"),
-        F.when(F.col("_known").isNull(), F.col("_name")).alias("missing"),
+
+    def known_name(t):
+        return is_name(t) & F.coalesce(F.map_contains_key("_said", name_of(t)), F.lit(False))
+
+    pieces = F.transform(
+        "_tokens", lambda t: F.when(known_name(t), F.try_element_at("_said", name_of(t))).otherwise(t)
     )
-    pieces = looked_up.groupBy("_id").agg(F.sort_array(F.collect_list(piece)).alias("_pieces"))
-    resolved = pieces.select(
-        "_id",
-        F.array_join("_pieces.text", "").alias("resolved"),
-        F.array_compact("_pieces.missing").alias("unresolved"),
+    missing = F.transform(F.filter("_tokens", lambda t: is_name(t) & ~known_name(t)), name_of)
+    resolved = texts.join(said, "_id", "left").select(
+        "_id", F.array_join(pieces, "").alias("resolved"), missing.alias("unresolved")
     )
     back = keyed.join(resolved, "_id").select(*others, "resolved", "unresolved")
     return back.unionByName(plain)
@@ -136,3 +140,43 @@ def outdated(installed: DataFrame, latest: DataFrame) -> DataFrame:
         is_newer(have, want), "update"
     )
     return installed.join(latest, "name", "left").withColumn("status", status)
+
+
+def env_entries(documents: DataFrame, text: str = "text") -> DataFrame:
+    """Lines ``KEY=value`` of env documents as rows (key, value), the last of a key.
+
+    Blank lines, lines that start with ``#`` and lines without a key go. The first ``=`` parts them, both
+    sides are trimmed, and one pair of quotes around the value goes. `layered_merge` and
+    `resolve_placeholders` take the rows as a dictionary.
+    """
+    others = [c for c in documents.columns if c != text]
+    lines = documents.select(*others, F.posexplode(F.split(text, r"\r?\n", -1)).alias("_pos", "_line"))
+    line = trim_blanks(F.col("_line"))
+    at = F.locate("=", line)
+    entry = lines.where((at > 1) & ~line.startswith("#")).select(
+        *others,
+        "_pos",
+        trim_blanks(F.substring(line, F.lit(1), at - 1)).alias("key"),
+        trim_blanks(F.substring(line, at + 1, F.length(line))).alias("_value"),
+    )
+    value = F.regexp_replace("_value", r"""(?s)^(["'])(.*)\1$""", "$2")
+    return entry.where("key <> ''").groupBy(*others, "key").agg(F.max_by(value, "_pos").alias("value"))
+
+
+def write_kv(pairs: Column, first: list[str]) -> Column:
+    """Map -> ``key=value;...``, the inverse of `parse_kv`: the `first` keys in their order, then the others by name.
+
+    Keys compare without case; NULL and empty values are left out.
+    """
+    entries = F.filter(F.map_entries(pairs), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    places = F.array(*[F.lit(k.lower()) for k in first])
+
+    def placed(e):
+        known = F.array_position(places, F.lower(e["key"])).cast("int")
+        return F.struct(
+            F.when(known > 0, known).otherwise(len(first) + 1).alias("place"),
+            F.lower(e["key"]).alias("low"),
+            F.concat(e["key"], F.lit("="), e["value"]).alias("text"),
+        )
+
+    return F.array_join(F.transform(F.array_sort(F.transform(entries, placed)), lambda e: e["text"]), ";")

@@ -1,9 +1,10 @@
 from .drift import drift_report, shared_bodies
 from .listing import export_routines, split_listing
-from .settings import connection_fields, effective_settings
+from .settings import connection_fields, connections, effective_settings
 
 __all__ = [
     "connection_fields",
+    "connections",
     "drift_report",
     "effective_settings",
     "export_routines",

@@ -14,30 +14,26 @@ from driftspark.operators.drift import (
 from driftspark.operators.routines import extract_routines, parse_routines
 
 
-def _staged(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster names, so that later branches do not repeat the work.
-
-    Without such a folder the plan stays as it is: the branches are computed where they are used.
-    """
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    return df.checkpoint() if folder else df
-
-
 def drift_report(
     scripts: DataFrame,
     catalog_rows: DataFrame,
     by: tuple[str, ...] = (),
     default_schema: str = "public",
     canonical_types: bool = False,
+    staged: bool = False,
 ) -> DataFrame:
     """Scripts and flat catalog rows -> status and changed fields per routine.
 
-    Script text is scanned once and shrinks to comparable rows (bodies to fingerprints before the
-    first shuffle). Pairing reads these rows and the folded catalog more than once, so both are staged.
+    Script text shrinks to comparable rows (bodies to fingerprints) before the first shuffle. Pairing
+    reads these rows and the folded catalog more than once; with `staged`, both are checkpointed in the
+    session's checkpoint folder first, so that the text is scanned once. Several catalogs need `by`, the
+    columns that scripts and rows name them by.
     """
     desired = desired_state(parse_routines(scripts, hashed=True), by, default_schema, canonical_types)
     actual = actual_state(fold_catalog_rows(catalog_rows, by), by, canonical_types)
-    return diff_routines(match_routines(_staged(desired), _staged(actual), by))
+    if staged:
+        desired, actual = desired.checkpoint(), actual.checkpoint()
+    return diff_routines(match_routines(desired, actual, by))
 
 
 def shared_bodies(scripts: DataFrame) -> DataFrame:

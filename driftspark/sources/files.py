@@ -22,16 +22,31 @@ def read_script_corpus(spark: SparkSession, path: str) -> DataFrame:
     return _whole_files(spark, path)
 
 
-def read_catalog_rows(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_catalog_rows(
+    spark: SparkSession, path: str, fmt: str = "csv", catalog: str | None = None
+) -> DataFrame:
     """Flat catalog rows from an export: ``|``-separated quoted CSV without header, or parquet.
 
     In CSV, ``t`` is true, an empty field is NULL, numbers that cannot be read are NULL, and config
-    is an array literal.
+    is an array literal. Values may hold line ends, so a CSV file is read by one task; parquet suits
+    large exports better.
+
+    Exports of several catalogs need `catalog`, the name of a column that tells them apart (the `by` of
+    the operators): a column or partition of that name, or else the name of a CSV file without its
+    ending, or of the folder that holds a file of another format.
     """
+    source = r"([^/]+?)(?:\.[^./]*)?$" if fmt == "csv" else r"([^/]+)/[^/]*$"
+
+    def named(df):
+        if catalog is None or catalog in df.columns:
+            return df
+        return df.withColumn(catalog, F.regexp_extract("_metadata.file_path", source, 1))
+
+    kept = CATALOG_COLUMNS if catalog is None else [*CATALOG_COLUMNS, catalog]
     if fmt != "csv":
-        return spark.read.format(fmt).load(path).select(*CATALOG_COLUMNS)
+        return named(spark.read.format(fmt).load(path)).select(*kept)
     schema = ", ".join(f"`{c}` string" for c in CATALOG_COLUMNS)
-    text = (
+    text = named(
         spark.read.schema(schema)
         .options(sep="|", quote='"', escape='"', multiLine="true", nullValue="", emptyValue="")
         .csv(path)
@@ -44,7 +59,7 @@ def read_catalog_rows(spark: SparkSession, path: str, fmt: str = "csv") -> DataF
             **{c: empty[c].try_cast(to) for c, to in NUMBERS.items()},
             "config": parse_pg_array(F.col("config")),
         }
-    )
+    ).select(*kept)
 
 
 def read_toc(spark: SparkSession, path: str) -> DataFrame:

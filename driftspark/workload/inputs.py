@@ -12,12 +12,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table of few files over all cores, for work that is heavy per row."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 # Four routines and up to three comments per part; {..} are SQL expressions over `part`.
 SCRIPT = """\
 -- part {p_partkey}: CREATE FUNCTION fake.line_{p_partkey}() RETURNS void
@@ -95,7 +89,7 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.expr(HAS_SECOND), filled_column(SECOND_COMMENT)).otherwise(""),
     )
     text = filled_column(SCRIPT, volatility=F.expr(VOLATILITY), comments=comments)
-    parts = spread(table(spark, sf_dir, "part"))
+    parts = table(spark, sf_dir, "part")
     return parts.select(F.col("p_partkey").alias("script_id"), text.alias("text"))
 
 
@@ -114,7 +108,7 @@ COMMENT ON FUNCTION app.f_{p_partkey}(integer, character varying) IS '{p_brand}'
 
 
 def desired_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = spread(table(spark, sf_dir, "part"))
+    parts = table(spark, sf_dir, "part")
     return parts.select(F.col("p_partkey").alias("script_id"), filled_column(DESIRED).alias("text"))
 
 
@@ -224,7 +218,7 @@ def toc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN '2-HIGH' THEN '; 0 0 COMMENT app FUNCTION fn_' || o_custkey || '(_id integer, _t text) owner'
         WHEN '3-MEDIUM' THEN '; 0 0 ACL app PROCEDURE fn_' || o_custkey || '() owner'
         ELSE '; 1259 ' || o_orderkey || ' TABLE app t_' || o_custkey || ' owner' END"""
-    return spread(table(spark, sf_dir, "orders")).selectExpr(
+    return table(spark, sf_dir, "orders").selectExpr(
         "'dump_' || o_orderstatus AS file",
         f"inline(array(named_struct('pos', o_orderkey, 'line', {line})))",
     )
@@ -247,3 +241,37 @@ def settings_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
             layer(2, "supplier", "s_suppkey", "CASE WHEN s_acctbal < 2000 THEN '' ELSE s_name END")
         )
     )
+
+
+# Names in quotes, dollar signs, lists of values, escapes, NULL comments, and one statement of each kind that can't be read.
+ODD_SCRIPT = r'''Create Function "App ""{s_nationkey}"""."Fn.{s_name}" ( "A b" integer , out _o integer ) Language 'plpgsql'
+  Set search_path = public , "N{s_nationkey}" Set work_mem To 'it''s' As E'line {s_suppkey}\nit''s' ;
+COMMENT ON FUNCTION "App ""{s_nationkey}"""."Fn.{s_name}"(integer) IS 'first';
+COMMENT ON FUNCTION "App ""{s_nationkey}"""."Fn.{s_name}"("A b" integer) IS {said};
+create function h${s_suppkey}(int8) returns bigint returns null on null input language internal as 'lib{s_nationkey}', 'sym{s_nationkey}';
+create function app.ret{s_suppkey}(_a text, out _b text) returns text leakproof cost 3 return 'a' || {s_suppkey};
+comment on function app.ret{s_suppkey}(text) is $c$by inputs$c$;
+create function (a integer) returns integer;
+comment on function nobody is 'no list';
+'''
+ODD_SAID = "CASE WHEN s_acctbal < 0 THEN 'NULL' ELSE 'E''now ' || s_name || '''' END"
+
+
+def odd_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s_suppkey, text), one script of three routines and two unreadable statements per supplier."""
+    text = filled_column(ODD_SCRIPT, said=F.expr(ODD_SAID))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("text"))
+
+
+def two_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat rows of two catalogs with equal oids, two parameters for each routine."""
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size", "explode(array('a', 'b')) AS catalog")
+    return parts.selectExpr(
+        "*", "stack(2, 1, '_x', 'integer', 2, '_y', 'text') AS (param_ord, param_name, param_type)"
+    ).selectExpr(
+        "catalog", "'s' AS schema", "'fn_' || p_partkey || catalog AS name", "'function' AS type", "p_partkey AS routine_oid",
+        "p_size", "CAST(param_ord AS INT) AS param_ord", "param_name", "param_type", "'integer' AS return_type",
+        "false AS return_setof", "'b' AS body", "'sql' AS language", "'v' AS volatility", "false AS strict",
+        "false AS security_definer", "'u' AS parallel", "false AS leakproof", "100.0D AS cost", "0.0D AS rows",
+        "CAST(NULL AS ARRAY<STRING>) AS config", "CAST(NULL AS STRING) AS comment",
+    )

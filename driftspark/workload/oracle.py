@@ -175,7 +175,7 @@ ORACLE = {
         SELECT script_id, pos, CASE pos WHEN 0 THEN 'plpgsql' WHEN 3 THEN 'c' ELSE 'sql' END AS language,
             CASE WHEN pos = 0 THEN lower({VOLATILITY}) ELSE 'volatile' END AS volatility, pos = 2 AS strict,
             pos = 1 AS security_definer, CASE WHEN pos = 0 THEN 'safe' ELSE 'unsafe' END AS parallel,
-            false AS leakproof, CAST(CASE WHEN pos = 0 THEN p_size ELSE 100 END AS DOUBLE) AS cost,
+            false AS leakproof, CAST(CASE WHEN pos = 0 THEN p_size WHEN pos = 3 THEN 1 ELSE 100 END AS DOUBLE) AS cost,
             CAST(CASE pos WHEN 0 THEN CAST('1' || p_size AS INTEGER) WHEN 2 THEN 1000 ELSE 0 END AS DOUBLE) AS rows,
             CASE WHEN pos = 0 THEN 'search_path=p, ' || p_name || '|work_mem=' || p_type ELSE '' END AS config
         FROM ({ROUTINES})""",
@@ -279,16 +279,45 @@ ORACLE = {
             'http://x/*' || user_id || '*/' AS url, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events""",
     "flatten_json": """
         SELECT event_id, 'k' AS path, event_type AS description, CAST(json_extract(props, '$.k') AS VARCHAR) AS "default",
-            'number' AS class FROM events
-        UNION ALL SELECT event_id, 'u' || user_id, NULL, NULL, 'object' FROM events
-        UNION ALL SELECT event_id, 'u' || user_id || '.on', NULL, CASE WHEN value > 50 THEN 'true' ELSE 'false' END, 'boolean'
+            'number' AS class, false AS nullable FROM events
+        UNION ALL SELECT event_id, 'u' || user_id, NULL, NULL, 'object', true FROM events
+        UNION ALL SELECT event_id, 'u' || user_id || '.on', NULL, CASE WHEN value > 50 THEN 'true' ELSE 'false' END, 'boolean', true
             FROM events
         UNION ALL SELECT event_id, 'u' || user_id || '.tags', NULL, NULL,
-            CASE WHEN value > 20 THEN 'array-object' ELSE 'array-scalar' END FROM events
-        UNION ALL SELECT event_id, 'u' || user_id || '.deep', NULL, NULL, 'object' FROM events
-        UNION ALL SELECT event_id, 'u' || user_id || '.deep.leaf', NULL, NULL, 'enum' FROM events
-        UNION ALL SELECT event_id, 'u' || user_id || '.map', NULL, NULL, 'dictionary' FROM events""",
+            CASE WHEN value > 20 THEN 'array-object' ELSE 'array-scalar' END, false FROM events
+        UNION ALL SELECT event_id, 'u' || user_id || '.deep', NULL, NULL, 'object', false FROM events
+        UNION ALL SELECT event_id, 'u' || user_id || '.deep.leaf', NULL, NULL, 'enum', false FROM events
+        UNION ALL SELECT event_id, 'u' || user_id || '.map', NULL, NULL, 'dictionary', false FROM events""",
     "classify_json_property": """
         SELECT event_id, 'k' AS name, 'number' AS class, false AS nullable FROM events
         UNION ALL SELECT event_id, 'u' || user_id, 'object', true FROM events""",
+    "quoted_routines": """
+        SELECT s_suppkey, 0 AS pos, 'function' AS kind, 'App "' || s_nationkey || '"' AS schema, 'Fn.' || s_name AS name,
+            'plpgsql' AS language, 'search_path=public, "N' || s_nationkey || '"|work_mem=it''s' AS config, 100.0 AS cost,
+            'integer' AS return_type, 'line ' || s_suppkey || chr(10) || 'it''s' AS body, false AS atomic,
+            CASE WHEN s_acctbal < 0 THEN NULL ELSE 'now ' || s_name END AS comment FROM supplier
+        UNION ALL SELECT s_suppkey, 1, 'function', NULL, 'h$' || s_suppkey, 'internal', '', 1.0, 'bigint', 'sym' || s_nationkey,
+            false, NULL FROM supplier
+        UNION ALL SELECT s_suppkey, 2, 'function', 'app', 'ret' || s_suppkey, 'sql', '', 3.0, 'text',
+            'return ''a'' || ' || s_suppkey, true, 'by inputs' FROM supplier""",
+    "rejects": """
+        SELECT s_suppkey, 'create' AS verb, 3 AS pos, 'no name and argument list' AS reason FROM supplier
+        UNION ALL SELECT s_suppkey, 'comment', 3, 'no routine signature or no text' FROM supplier""",
+    "fold_two_catalogs": """
+        SELECT p_partkey AS routine_oid, c.catalog AS catalog, 'fn_' || p_partkey || c.catalog AS name, 2 AS n_parameters
+        FROM part, (VALUES ('a'), ('b')) AS c(catalog)""",
+    "unfoldable_rows": """
+        SELECT CASE WHEN p_size < 10 THEN NULL ELSE p_partkey END AS routine_oid, c.catalog AS catalog,
+            CASE WHEN p_size < 10 THEN 'no oid' ELSE 'two names for one oid' END AS reason, count(*) * 2 AS n
+        FROM part, (VALUES ('a'), ('b')) AS c(catalog) GROUP BY ALL""",
+    "env_entries": """
+        SELECT c_custkey, 'NAME' AS key, c_name AS value FROM customer
+        UNION ALL SELECT c_custkey, 'SEGMENT', 'a=' || c_mktsegment || ' b' FROM customer
+        UNION ALL SELECT c_custkey, 'EMPTY', '' FROM customer""",
+    "write_kv": """
+        SELECT c_custkey, 'host=h' || c_nationkey || ';Port=' || c_custkey || ';alpha=' || c_mktsegment || ';zeta=1' AS conn
+        FROM customer""",
+    "connection_defaults": """
+        SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'localhost' ELSE 'h' || c_nationkey END AS host, '5432' AS port,
+            c_mktsegment AS database, '' AS username, '' AS password FROM customer""",
 }

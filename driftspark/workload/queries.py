@@ -16,9 +16,9 @@ from driftspark.functions import (
     strip_sql_comments,
 )
 from driftspark.operators import catalog, drift, jsondocs, routines, settings, toc
-from driftspark.plans import connection_fields, drift_report, effective_settings, shared_bodies
+from driftspark.plans import connection_fields, connections, drift_report, effective_settings, shared_bodies
 from driftspark.workload import inputs
-from driftspark.workload.inputs import spread, table
+from driftspark.workload.inputs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,19 +39,19 @@ def joined(items: Column, sep: str = "|") -> Column:
 
 @query
 def normalize_text_(spark, sf):
-    return spread(table(spark, sf, "documents")).select(
+    return table(spark, sf, "documents").select(
         "doc_id", normalize_text(F.col("text")).alias("normalized")
     )
 
 
 @query
 def fingerprint_(spark, sf):
-    return spread(table(spark, sf, "documents")).select("doc_id", fingerprint(F.col("text")).alias("hash"))
+    return table(spark, sf, "documents").select("doc_id", fingerprint(F.col("text")).alias("hash"))
 
 
 @query
 def duplicate_bodies(spark, sf):
-    return drift.duplicate_bodies(spread(table(spark, sf, "documents")), "doc_id", "text")
+    return drift.duplicate_bodies(table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query
@@ -75,7 +75,7 @@ def parse_pg_array_(spark, sf):
 
 @query
 def extract_version_(spark, sf):
-    return spread(table(spark, sf, "documents")).select(
+    return table(spark, sf, "documents").select(
         "doc_id", extract_version(F.col("text")).alias("version")
     )
 
@@ -84,7 +84,7 @@ def extract_version_(spark, sf):
 def is_newer_(spark, sf):
     current = F.expr("'v' || l_linenumber || '.' || l_suppkey || '.' || CAST(l_quantity AS INT) || '.7'")
     latest = F.expr("l_linenumber % 3 + 2 || '.' || l_orderkey % 40 || '.' || CAST(l_quantity AS INT) % 9")
-    return spread(table(spark, sf, "lineitem")).select(
+    return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", is_newer(current, latest).alias("newer")
     )
 
@@ -308,7 +308,7 @@ def clean_dump_lines(spark, sf):
         || '\nSELECT pg_catalog.set_config(\'search_path\', \'\', false);\nALTER FUNCTION s.f(integer) OWNER TO '
         || source || ';\nALTER TABLE t OWNER TO ' || source || ';\n\\unrestrict ' || lang"""
     )
-    texts = spread(table(spark, sf, "documents")).select("doc_id", restored.alias("text"))
+    texts = table(spark, sf, "documents").select("doc_id", restored.alias("text"))
     return toc.clean_dump_lines(texts)
 
 
@@ -375,7 +375,7 @@ def first_seen(spark, sf):
 
 @query
 def extract_file_refs(spark, sf):
-    commands = spread(table(spark, sf, "orders")).selectExpr(
+    commands = table(spark, sf, "orders").selectExpr(
         "o_orderkey",
         """' serve ./base_' || o_custkey || '.json ' || CASE o_orderstatus WHEN 'F' THEN '--optional'
             WHEN 'O' THEN '--verbose' ELSE 'word' END
@@ -388,7 +388,7 @@ def extract_file_refs(spark, sf):
 
 
 def _jsonc(spark, sf):
-    return spread(table(spark, sf, "events")).selectExpr(
+    return table(spark, sf, "events").selectExpr(
         "event_id",
         r"""'// event ' || event_id || '\n\n  // ' || event_type || '\n{ // open\n  "url": "http://x/*' || user_id
         || '*/", /* "k": 0, */ "props": ' || props || ' }\n// end' AS text""",
@@ -406,7 +406,7 @@ def read_jsonc(spark, sf):
 
 
 def _schema_docs(spark, sf):
-    return spread(table(spark, sf, "events")).selectExpr(
+    return table(spark, sf, "events").selectExpr(
         "event_id",
         """parse_json('{"type": "object", "properties": {'
         || '"k": {"type": "integer", "description": "' || event_type || '", "default": ' || get_json_object(props, '$.k') || '},'
@@ -431,3 +431,61 @@ def classify_json_property(spark, sf):
         F.explode(F.map_entries(F.try_variant_get("doc", "$.properties", "map<string,variant>"))).alias("e"),
     ).select("event_id", F.col("e.key").alias("name"), F.col("e.value").alias("node"))
     return jsondocs.classify_json_property(nodes, "node").drop("node")
+
+
+# What other templates hold
+
+
+@query
+def quoted_routines(spark, sf):
+    parsed = routines.parse_routines(inputs.odd_scripts(spark, sf))
+    read = routines.resolve_attributes(parsed)
+    outputs = F.filter("parameters", lambda p: p["dir"] == "out")
+    returned = F.coalesce(F.col("returns.type"), F.get(outputs, F.lit(0))["type"])
+    return read.select(
+        "s_suppkey", "pos", "kind", "schema", "name", "language", joined(F.col("config")).alias("config"), "cost",
+        returned.alias("return_type"), "body", "atomic", "comment",
+    )
+
+
+@query
+def rejects(spark, sf):
+    return routines.rejects(inputs.odd_scripts(spark, sf)).select("s_suppkey", "verb", "pos", "reason")
+
+
+@query
+def fold_two_catalogs(spark, sf):
+    folded = catalog.fold_catalog_rows(inputs.two_catalogs(spark, sf).drop("p_size"), by=("catalog",))
+    return folded.select("routine_oid", "catalog", "name", F.size("parameters").alias("n_parameters"))
+
+
+@query
+def unfoldable_rows(spark, sf):
+    rows = inputs.two_catalogs(spark, sf)
+    rows = rows.withColumn("routine_oid", F.expr("CASE WHEN p_size >= 10 THEN routine_oid END")).drop("p_size")
+    return catalog.unfoldable_rows(rows).groupBy("routine_oid", "catalog", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def env_entries(spark, sf):
+    newline, quote = F.lit("\n"), F.lit('"')
+    lines = F.concat(
+        F.lit("# NAME=no\nNAME=first\n\n NAME = "), quote, F.col("c_name"), quote, F.lit(" \r\n"),
+        F.lit("SEGMENT='a="), F.col("c_mktsegment"), F.lit(" b'"), newline, F.lit("=x\nword\nEMPTY="),
+    )
+    return settings.env_entries(table(spark, sf, "customer").select("c_custkey", lines.alias("text")))
+
+
+@query
+def write_kv(spark, sf):
+    pairs = F.expr(
+        "map('zeta', '1', 'Port', CAST(c_custkey AS STRING), 'none', CAST(NULL AS STRING), 'alpha', c_mktsegment,"
+        " 'host', 'h' || c_nationkey, 'empty', '')"
+    )
+    return table(spark, sf, "customer").select("c_custkey", settings.write_kv(pairs, ["Host", "Port"]).alias("conn"))
+
+
+@query
+def connection_defaults(spark, sf):
+    conn = F.expr("CASE WHEN c_acctbal < 0 THEN '' ELSE 'Host=h' || c_nationkey || ';' END || 'Database=' || c_mktsegment")
+    return connections(table(spark, sf, "customer").select("c_custkey", conn.alias("conn")), "conn")

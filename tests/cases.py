@@ -19,9 +19,9 @@ CASES = {
         COMMENT ON FUNCTION t.maker() IS 'not a statement';
         $$;""",
     "modes": "create procedure p(IN _a integer, out _b numeric, INOUT _c text, VARIADIC _d text[], in integer) language sql as $$ $$;",
-    "unnamed": "CREATE FUNCTION depot.plus(integer, integer) RETURNS integer LANGUAGE sql AS 'SELECT $1 + $2';",
+    "unnamed": "CREATE FUNCTION depot.plus(integer, integer) RETURNS integer LANGUAGE sql AS 'SELECT $2 - $1 * 3';",
     "defaults": """CREATE FUNCTION f(_a integer DEFAULT 3, _b text DEFAULT NULL::text, _c jsonb DEFAULT '{}'::jsonb,
-        IN _d text DEFAULT (NULL::text = NULL::text), _e numeric = 0, _f text[] = array[]::text[],
+        IN _d text DEFAULT (upper(NULL)::text <> 'n'::text), _e numeric = 0, _f text[] = array['p','q']::text[],
         _g text = 'a,b -- c', _h integer[] = array[1,2], _i text
         DEFAULT 'x
         y', _j int default(coalesce(f(1,2),g(h(3)))), _k text = 'it''s =') RETURNS void LANGUAGE sql AS $$ $$;""",
@@ -44,7 +44,7 @@ CASES = {
     "no_body": "CREATE FUNCTION depot.ext(integer) RETURNS void\n LANGUAGE c;\nCREATE FUNCTION g() RETURNS int LANGUAGE sql AS $$ 1 $$;",
     "tags": """CREATE FUNCTION a() RETURNS boolean LANGUAGE plpgsql AS $outer$
         -- has $$ and /* in it
-        RETURN ($1 ~ $re$[\\t]$re$); $outer$;
+        RETURN substring($2 from $re$[\\t]+z$re$) is not null; $outer$;
         CREATE FUNCTION b() RETURNS int LANGUAGE sql AS $_7z$ 2 $_7z$;
         CREATE FUNCTION c() RETURNS int LANGUAGE sql AS $a$$b$ 'it $b$$a$;""",
     "quoted": """CREATE FUNCTION a() RETURNS text LANGUAGE sql AS 'SELECT ''"'' || _n || ''"''';
@@ -71,6 +71,20 @@ CASES = {
         COMMENT ON PROCEDURE depot.one() IS 'proc'; COMMENT ON FUNCTION depot.one() IS 'other schema';
         CREATE FUNCTION bare() RETURNS int LANGUAGE sql AS $$ 1 $$; COMMENT ON FUNCTION bare() IS NULL;""",
     "quoted_name": 'CREATE FUNCTION depot."Odd Name"(_a int) RETURNS int LANGUAGE sql AS $$ 1 $$;',
+    "quoted_names": """CREATE FUNCTION "Big Depot"."Odd ""N""ame"(_a int) RETURNS int LANGUAGE 'plpgsql' AS $$ 1 $$;
+        CREATE PROCEDURE "plain" . h$1(_a int) LANGUAGE sql AS $$ 2 $$;
+        COMMENT ON FUNCTION "Big Depot"."Odd ""N""ame"(int) IS 'odd'; COMMENT ON PROCEDURE plain.h$1(int) IS $c$tag$c$;
+        CREATE FUNCTION a$b$c(_x int) RETURNS int LANGUAGE sql AS $_$ 3 $_$;""",
+    "comment_forms": """CREATE FUNCTION k(_a int, OUT _b text) LANGUAGE sql AS $$ 1 $$;
+        COMMENT ON FUNCTION k(int) IS 'by inputs'; COMMENT ON FUNCTION k(int, text) IS 'another one';
+        CREATE FUNCTION l() RETURNS int LANGUAGE sql AS $$ 1 $$; COMMENT ON FUNCTION l() IS E'one\\n''two''\\\\';
+        CREATE FUNCTION m() RETURNS int LANGUAGE sql AS $$ 1 $$; COMMENT ON FUNCTION m() IS 'gone'; COMMENT ON FUNCTION m() IS NULL;""",
+    "unread": "CREATE FUNCTION (a int) RETURNS int; CREATE FUNCTION ok() RETURNS int LANGUAGE sql AS $$ 1 $$; COMMENT ON FUNCTION ok IS 'no list';",
+    "lists": """CREATE FUNCTION f() RETURNS int LEAKPROOF SECURITY DEFINER SET search_path = public, "$user" , pg_temp
+        SET lock_timeout TO '5s' SET b TO 'one', 'it''s two' COST 7 AS $$ 1 $$;
+        CREATE FUNCTION g() RETURNS bigint RETURNS NULL ON NULL INPUT LANGUAGE internal AS 'int8in';
+        CREATE FUNCTION h() RETURNS int RETURN 1 + 2;
+        CREATE FUNCTION w() RETURNS SETOF int WINDOW LANGUAGE c AS 'lib', 'w_symbol';""",
     "quoted_type": 'CREATE FUNCTION f(_a "My Type") RETURNS "My Type" LANGUAGE sql AS $$ 1 $$;',
     "control_chars": "CREATE FUNCTION f(_a int) RETURNS int LANGUAGE sql AS $$ \x010\x02 $$; -- \x013\x02",
     "control_chars_outside": "CREATE FUNCTION f(_a \x03int, _b \x017\x02) RETURNS int LANGUAGE sql AS $$ 1 $$;",

@@ -24,7 +24,7 @@ def names(routines):
 
 
 @pytest.mark.parametrize(
-    "case", ["empty", "blank", "not_sql", "table_only", "null", "quoted_name"]
+    "case", ["empty", "blank", "not_sql", "table_only", "null"]
 )
 def test_nothing_found(parsed, case):
     assert parsed[case] == []
@@ -123,14 +123,14 @@ def test_bodies(parsed):
     def body(case, i=0):
         return parsed[case][i]["body"]
 
-    assert "$re$[\\t]$re$" in body("tags") and "-- has $$ and /* in it" in body("tags")
+    assert "$re$[\\t]+z$re$" in body("tags") and "-- has $$ and /* in it" in body("tags")
     assert body("tags", 1) == " 2 "
     assert body("tags", 2) == "$b$ 'it $b$"
-    assert body("unnamed") == "SELECT $1 + $2"
+    assert body("unnamed") == "SELECT $2 - $1 * 3"
     assert body("quoted") == "SELECT '\"' || _n || '\"'"
-    assert body("quoted", 1) == "SELECT E'one\\ntwo'"
+    assert body("quoted", 1) == "SELECT E'one\ntwo'"
     assert body("quoted", 2) == "a--b"
-    assert body("c_function") == "the_lib"
+    assert body("c_function") == "the_symbol"
     assert body("no_body") is None and body("no_body", 1) == " 1 "
     assert "INSERT INTO depot.log VALUES (f(g($1)), 'x;y');" in body("atomic")
     assert "SELECT CASE WHEN $1 > 0 THEN 1 END;" in body("atomic")
@@ -166,6 +166,49 @@ def test_comments(parsed):
     ]
 
 
+def test_quoted_and_dollar_names(parsed):
+    assert names(parsed["quoted_name"]) == [("function", "depot", "Odd Name")]
+    assert names(parsed["quoted_names"]) == [
+        ("function", "Big Depot", 'Odd "N"ame'), ("procedure", "plain", "h$1"), ("function", None, "a$b$c"),
+    ]
+    assert [r["comment"] for r in parsed["quoted_names"]] == ["odd", "tag", None]
+    assert [r["language"] for r in parsed["quoted_names"]] == ["plpgsql", "sql", "sql"]
+    assert [r["body"] for r in parsed["quoted_names"]] == [" 1 ", " 2 ", " 3 "]
+
+
+def test_comment_forms(parsed):
+    assert [(r["name"], r["comment"]) for r in parsed["comment_forms"]] == [
+        ("k", "by inputs"), ("l", "one\n'two'\\"), ("m", None),
+    ]
+
+
+def test_lists_types_and_bodies(parsed):
+    f, g, h, w = parsed["lists"]
+    assert f["config"] == ['search_path=public, "$user", pg_temp', "lock_timeout=5s", "b=one, it's two"]
+    assert (f["returns"]["type"], f["leakproof"], f["security_definer"], f["cost"]) == ("int", True, True, 7.0)
+    assert (g["returns"]["type"], g["strict"], g["cost"], g["body"]) == ("bigint", True, 1.0, "int8in")
+    assert (h["returns"]["type"], h["atomic"], h["body"], h["attributes"]) == ("int", True, "RETURN 1 + 2", [])
+    assert (w["returns"]["type"], w["body"], w["cost"], w["attributes"]) == ("int", "w_symbol", 1.0, ["WINDOW", "LANGUAGE c"])
+
+
+def test_no_statement_is_lost(spark, parsed):
+    from driftspark.functions.scan import routine_statements
+
+    scripts = spark.createDataFrame(list(CASES.items()), "script_id string, text string")
+    counts = [
+        df.groupBy("script_id").count().collect()
+        for df in (ops.extract_routines(scripts), ops.extract_comments(scripts), ops.rejects(scripts))
+    ]
+    read = {}
+    for rows in counts:
+        for r in rows:
+            read[r.script_id] = read.get(r.script_id, 0) + r["count"]
+    assert read == {c: n for c, t in CASES.items() if (n := len(routine_statements(t or "")))}
+    unread = {(r.script_id, r.verb, r.pos): r for r in ops.rejects(scripts).collect()}
+    assert unread["unread", "create", 0].head.startswith("CREATE FUNCTION (a int)")
+    assert unread["unread", "comment", 0].reason == "no routine signature or no text"
+
+
 def test_stray_brackets(parsed):
     assert params(parsed["unbalanced_before"][0]) == [(None, "_a", "numeric(1,2)")]
     assert params(parsed["open_before"][0]) == [(None, "_a", "numeric(1,2)"), (None, "_b", "int")]
@@ -200,4 +243,4 @@ def test_no_shuffle_in_extraction(spark):
     plan = ops.extract_routines(scripts)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
     whole = ops.parse_routines(scripts)._jdf.queryExecution().executedPlan().toString()
-    assert whole.count("Exchange hashpartitioning") == 1 and whole.count("ArrowEvalPython") == 1
+    assert "Exchange" not in whole and whole.count("ArrowEvalPython") == 1
