@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftspark.operators import catalog, drift, routines
+from driftspark.plans import drift_report
 from driftspark.schemas import CATALOG_COLUMNS, CATALOG_ROWS
 
 PROC = """oid long, proname string, pronamespace long, prolang long, prokind string,
@@ -200,3 +201,49 @@ def test_duplicate_bodies(spark):
     df = spark.createDataFrame([(3, "A  b"), (2, "a\nb "), (1, "c"), (4, None), (5, None)], "id int, t string")
     (row,) = drift.duplicate_bodies(df, "id", "t").collect()
     assert (row.copies, row.first_key) == (2, 2)
+
+
+SAME = """CREATE FUNCTION s.lists(_a int, OUT _b text) LANGUAGE 'sql' SET search_path = public, pg_temp AS $$ x $$;
+    CREATE FUNCTION s.native(internal) RETURNS internal LEAKPROOF LANGUAGE c AS 'obj', 'link';
+    CREATE FUNCTION s.escaped() RETURNS SETOF int LANGUAGE sql AS E'a\\nb';
+    CREATE FUNCTION s.two(OUT _a int, OUT _b int) LANGUAGE sql RETURNS NULL ON NULL INPUT AS $$ x $$;
+    CREATE FUNCTION s."Odd"() RETURNS int RETURN 1;"""
+
+
+def same_rows():
+    base = dict.fromkeys(CATALOG_COLUMNS)
+    base |= dict(schema="s", type="function", return_setof=False, body="x", language="sql", volatility="v", strict=False,
+                 security_definer=False, parallel="u", leakproof=False, cost=100.0, rows=0.0, config=[])
+    return [
+        base | dict(name="lists", routine_oid=1, param_ord=1, param_name="_a", param_type="int", return_type="text", config=["search_path=public, pg_temp"]),
+        base | dict(name="native", routine_oid=2, param_ord=1, param_type="internal", return_type="internal", language="c", cost=1.0, body="link", leakproof=True),
+        base | dict(name="escaped", routine_oid=3, return_type="int", return_setof=True, rows=1000.0, body="a\nb"),
+        base | dict(name="two", routine_oid=4, return_type="record", strict=True),
+        base | dict(name="Odd", routine_oid=5, return_type="int", body=""),
+    ]
+
+
+def test_faithful_deployments_are_the_same(spark):
+    scripts = spark.createDataFrame([(SAME,)], "text string")
+    rows = spark.createDataFrame([tuple(r[c] for c in CATALOG_COLUMNS) for r in same_rows()], CATALOG_ROWS)
+    found = {r.name: r for r in drift_report(scripts, rows).collect()}
+    assert {n: (r.status, r.changed_fields) for n, r in found.items()} == {n: ("same", []) for n in ("lists", "native", "escaped", "two", "Odd")}
+    assert [n for n, r in found.items() if r.body_unverified] == ["Odd"]
+
+
+FIELDS = {
+    "type": ("procedure", {"kind"}), "param_name": ("_z", {"parameters"}), "return_type": ("int", {"returns"}), "body": ("y", {"body"}),
+    "language": ("plpgsql", {"language"}), "volatility": ("i", {"volatility"}), "strict": (True, {"strict"}), "security_definer": (True, {"security_definer"}),
+    "parallel": ("s", {"parallel"}), "leakproof": (True, {"leakproof"}), "cost": (5.0, {"cost"}), "rows": (9.0, {"rows"}), "config": (["a=b"], {"config"}),
+}
+
+
+@pytest.mark.parametrize("field", FIELDS)
+def test_each_field_is_compared(spark, field):
+    value, changed = FIELDS[field]
+    scripts = spark.createDataFrame([(SAME.split(";")[0] + ";",)], "text string")
+    row = same_rows()[0] | {field: value}
+    rows = spark.createDataFrame([tuple(row[c] for c in CATALOG_COLUMNS)], CATALOG_ROWS)
+    (found,) = drift_report(scripts, rows).collect()
+    # a procedure returns nothing
+    assert (found.status, set(found.changed_fields)) == ("changed", changed | ({"returns"} if field == "type" else set()))

@@ -76,3 +76,25 @@ def test_flatten_any_depth(spark):
         (k, p, d, None if x is None else json.dumps(x)) for k, v in docs.items() for p, d, x in walk(v)
     )
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def nested(n):
+    return {"properties": {f"k{i}": {"type": "object", "properties": {"leaf": {"type": ["string", "null"]}}} for i in range(n)}}
+
+
+def flat_rows(spark, document):
+    docs = spark.createDataFrame([(json.dumps(document),)], "text string").select(F.parse_json("text").alias("doc"))
+    return ops.flatten_json(docs, "doc")
+
+
+def test_many_nested_objects(spark):
+    rows = flat_rows(spark, nested(4000)).groupBy("class", "nullable").count().collect()
+    assert {(r["class"], r.nullable): r["count"] for r in rows} == {("object", False): 4000, ("string", True): 4000}
+
+
+def test_deep_objects_and_braces_in_strings(spark):
+    document = {"type": "integer", "description": "}{ \" {{{"}
+    for _ in range(60):
+        document = {"properties": {"a{\"}": document}}
+    rows = flat_rows(spark, document).collect()
+    assert max(r.path.count(".") for r in rows) == 59 and len(rows) == 60

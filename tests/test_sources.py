@@ -4,7 +4,9 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from driftspark import sources
+from driftspark.operators import catalog
 from driftspark.operators.routines import extract_routines
+from driftspark.plans import export_routines, split_listing
 
 
 def test_script_corpus_and_toc(spark, tmp_path):
@@ -71,3 +73,34 @@ def test_stateless_operators_on_a_stream(spark, tmp_path):
     )
     query.awaitTermination(60)
     assert [r.name for r in spark.table("found").collect()] == ["f"]
+
+
+def test_catalogs_are_told_apart(spark, tmp_path):
+    for name in ("north", "south"):
+        (tmp_path / f"{name}.csv").write_text(CSV)
+    rows = sources.read_catalog_rows(spark, str(tmp_path), catalog="catalog")
+    assert {(r.catalog, r.name) for r in rows.collect()} == {(c, n) for c in ("north", "south") for n in ("f", "p")}
+    rows.write.partitionBy("catalog").parquet(str(tmp_path / "rows"))
+    again = sources.read_catalog_rows(spark, str(tmp_path / "rows"), "parquet", catalog="catalog")
+    folded = catalog.fold_catalog_rows(again, by=("catalog",))
+    assert sorted((r.catalog, r.name) for r in folded.collect()) == [("north", "f"), ("north", "p"), ("south", "f"), ("south", "p")]
+    assert catalog.unfoldable_rows(again, ("catalog",)).count() == 0
+    mixed = again.withColumn("name", F.concat("name", "catalog"))
+    assert {r.reason for r in catalog.unfoldable_rows(mixed).collect()} == {"two names for one oid"}
+
+
+LISTING = """;
+1; 1255 16401 FUNCTION s f(integer) owner
+2; 1259 16402 TABLE s t owner
+3; 0 0 COMMENT s FUNCTION f(integer) owner
+4; 1255 16403 PROCEDURE s g() owner"""
+
+
+def test_listing_and_export(spark, tmp_path):
+    lines = spark.createDataFrame([("x", i, t) for i, t in enumerate(LISTING.split("\n"))], "file string, pos int, line string")
+    schema, groups = split_listing(lines)
+    assert [r.line for r in schema.orderBy("pos").collect()] == [LISTING.split("\n")[0], LISTING.split("\n")[2]]
+    assert {r.name for r in groups.collect()} == {"f", "g"}
+    restored = spark.createDataFrame([("f", 0, "SET x = 1;"), ("f", 1, "CREATE FUNCTION"), ("g", 0, "select 1")], "name string, pos int, text string")
+    export_routines(restored, str(tmp_path / "out"))
+    assert "CREATE FUNCTION" in read_back(tmp_path / "out" / "name=f") and "SET x" not in read_back(tmp_path / "out" / "name=f")
