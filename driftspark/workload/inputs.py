@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows by key over the session's shuffle partitions, at every size: they are small, but not what is made of each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 # Four routines and up to three comments per part; {..} are SQL expressions over `part`.
 SCRIPT = """\
 -- part {p_partkey}: CREATE FUNCTION fake.line_{p_partkey}() RETURNS void
@@ -89,7 +94,7 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.expr(HAS_SECOND), filled_column(SECOND_COMMENT)).otherwise(""),
     )
     text = filled_column(SCRIPT, volatility=F.expr(VOLATILITY), comments=comments)
-    parts = table(spark, sf_dir, "part")
+    parts = dealt(table(spark, sf_dir, "part"), "p_partkey")
     return parts.select(F.col("p_partkey").alias("script_id"), text.alias("text"))
 
 
@@ -108,7 +113,7 @@ COMMENT ON FUNCTION app.f_{p_partkey}(integer, character varying) IS '{p_brand}'
 
 
 def desired_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part")
+    parts = dealt(table(spark, sf_dir, "part"), "p_partkey")
     return parts.select(F.col("p_partkey").alias("script_id"), filled_column(DESIRED).alias("text"))
 
 
@@ -260,7 +265,7 @@ ODD_SAID = "CASE WHEN s_acctbal < 0 THEN 'NULL' ELSE 'E''now ' || s_name || ''''
 def odd_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(s_suppkey, text), one script of three routines and two unreadable statements per supplier."""
     text = filled_column(ODD_SCRIPT, said=F.expr(ODD_SAID))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("text"))
+    return dealt(table(spark, sf_dir, "supplier"), "s_suppkey").select("s_suppkey", text.alias("text"))
 
 
 def two_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from driftspark.functions import (
 from driftspark.operators import catalog, drift, jsondocs, routines, settings, toc
 from driftspark.plans import connection_fields, connections, drift_report, effective_settings, shared_bodies
 from driftspark.workload import inputs
-from driftspark.workload.inputs import table
+from driftspark.workload.inputs import dealt, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -388,7 +388,7 @@ def extract_file_refs(spark, sf):
 
 
 def _jsonc(spark, sf):
-    return table(spark, sf, "events").selectExpr(
+    return dealt(table(spark, sf, "events"), "event_id").selectExpr(
         "event_id",
         r"""'// event ' || event_id || '\n\n  // ' || event_type || '\n{ // open\n  "url": "http://x/*' || user_id
         || '*/", /* "k": 0, */ "props": ' || props || ' }\n// end' AS text""",
@@ -406,7 +406,7 @@ def read_jsonc(spark, sf):
 
 
 def _schema_docs(spark, sf):
-    return table(spark, sf, "events").selectExpr(
+    return dealt(table(spark, sf, "events"), "event_id").selectExpr(
         "event_id",
         """parse_json('{"type": "object", "properties": {'
         || '"k": {"type": "integer", "description": "' || event_type || '", "default": ' || get_json_object(props, '$.k') || '},'
