@@ -150,9 +150,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = 12_000, waves: int =
     )
     left, right = _normal_equations(learn, model)
     model.weights = np.linalg.solve(left + ridge * max(left[-1, -1], 1) * np.eye(waves + 1), right)
-    held = rest.mapInArrow(read, "x array<double>, y int").orderBy("x", "y").collect()  # a fourth of the sample
+    held = rest.mapInArrow(read, "x array<double>, y int").collect()  # a fourth of the sample
     if not held:
-        held = learn.mapInArrow(read, "x array<double>, y int").orderBy("x", "y").collect()
+        held = learn.mapInArrow(read, "x array<double>, y int").collect()
+    held.sort(key=lambda r: (r["x"], r["y"]))
     x, y = np.array([r["x"] for r in held]), np.array([r["y"] for r in held], float)
     model.knots, model.values = isotonic(model.features(x) @ model.weights, y)
     return model

@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = 12_000, fewest: int =
             yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(4)), batch.column(1)], ["a", "b", "c", "d", "y"])
 
     # five numbers for each document of the sample
-    table = np.array([tuple(r) for r in sample.mapInArrow(features, "a double, b double, c double, d double, y int").orderBy("a", "b", "c", "d", "y").collect()])
+    table = np.array(sorted(tuple(r) for r in sample.mapInArrow(features, "a double, b double, c double, d double, y int").collect()))
     lexicon.model = fit_logistic(table[:, :4], table[:, 4])
     return lexicon
 
