@@ -76,14 +76,17 @@ def _log_probability(levels: Column, model: str, alphabet: int) -> Column:
 def scored(texts: DataFrame, counts: DataFrame, contexts: DataFrame, order: int, alphabet: int = 128) -> DataFrame:
     """(text, score): mean difference of log-likelihoods per character. Each distinct gram is looked up once."""
     grams = texts.select("text", F.explode(_grams(F.col("text"), order)).alias("long"))
-    single = (
-        grams.groupBy("long").agg(F.count(F.lit(1)).alias("n"))
-        .select("long", F.posexplode(_suffixes(F.col("long"), order)).alias("k", "gram"))
-        .join(counts, "gram", "left")
+    parts = grams.select("long").distinct().select("long", F.posexplode(_suffixes(F.col("long"), order)).alias("k", "gram"))
+    # by distinct grams, few of which share a short context
+    level = (
+        parts.select("gram").distinct().join(counts, "gram", "left")
         .withColumn("context", F.substr("gram", F.lit(1), F.length("gram") - 1))
         .join(contexts, "context", "left")
-        .groupBy("long")
-        .agg(F.array_sort(F.collect_list(F.struct("k", "a", "all_a", "a_kinds", "b", "all_b", "b_kinds"))).alias("levels"))
+        .select("gram", F.struct("a", "all_a", "a_kinds", "b", "all_b", "b_kinds").alias("x"))
+    )
+    single = (
+        parts.join(level, "gram").groupBy("long").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("levels"))
+        .select("long", F.transform("levels", lambda x: x["x"]).alias("levels"))
         .select("long", (_log_probability(F.col("levels"), "a", alphabet) - _log_probability(F.col("levels"), "b", alphabet)).alias("gain"))
     )
     return grams.join(single, "long").groupBy("text").agg(F.round(F.avg("gain"), 9).alias("score"))
