@@ -2,8 +2,8 @@
 
 Texts with equal shingle sets become one node first. Every node has a key in each of several trees, made of its own
 minima; nodes are sorted by key, and neighbours with a long common prefix are candidates. Regions where many nodes share
-the least prefix are descended deeper: there only the nearest neighbours are taken at first, and what they leave apart is
-compared in blocks. Candidates are confirmed on full sets, nearest first, and pairs that are already connected are not
+the least prefix are descended deeper: there only the nearest neighbours are taken, and what they leave apart is compared
+in blocks. Candidates are confirmed on full sets, every node's best first, and pairs that are already connected are not
 compared, so large groups of near copies cost a few comparisons for each member.
 """
 
@@ -23,7 +23,7 @@ DEPTH = 6
 #: Minima that two nodes share at the beginning of a key, at least, to be candidates.
 LEAST = 4
 #: Neighbours on one side that are candidates in a region of any size.
-NEAREST = 8
+NEAREST = 4
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -170,22 +170,49 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one partition as stars: each node but the least of a connected part points at the least."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.get(top, top)) != top:
+            top = up
+        while x != top:
+            root[x], x = top, root.get(x, x)
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): the least node reachable over links (a, b), by large and small stars."""
-    both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-    edges = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    """(node, root): the least node reachable over links (a, b).
+
+    Partitions turn their edges into stars, so a node has one edge in each at most and no node is hot when edges meet by
+    their upper end; then every edge moves on to where its lower end points. Both are repeated until nothing changes.
+    """
+    spark = links.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").mapInArrow(_forest, "a long, b long")
     mark = None
     while True:
-        around = both(edges)
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = around.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").select(F.greatest("b", "m").alias("x"), F.col("m").alias("y"), "a")
-        edges = staged(small.select(F.col("a"), F.col("y").alias("b")).union(small.select("x", "y")).where("a <> b").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        stars = staged(edges.repartition(partitions, "a").mapInArrow(_forest, "a long, b long"))
+        now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = now
+        further = stars.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        edges = stars.join(further, "b", "left").select("a", F.coalesce("c", "b").alias("b"))
+
+
+def _as_links(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -208,44 +235,92 @@ def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return joined.where(agree("sa", "sb")).select("a", "b")
 
 
-def left_apart(dense: DataFrame, reps: DataFrame, roots: DataFrame, least: float, block: int = 256) -> DataFrame:
-    """(a, b) of likely links that nearest neighbours may have missed in regions beyond them.
+def _items(values: list) -> list[np.ndarray]:
+    return [np.frombuffer(v, np.uint64) if v is not None else None for v in values]
 
-    In each such region (nodes of a tree with the same least prefix), all that lie outside the region's largest
-    component are compared with all of other components. The region is cut into blocks of about `block` nodes on either
-    side, so no task takes a whole region, and pairs are made only where their minima agree.
+
+def _links_to(one: np.ndarray, many: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of `many` are linked with `one`, by one search for all of them."""
+    if not many:
+        return np.zeros(0, bool)
+    sizes = np.array([len(m) for m in many])
+    at = np.searchsorted(one, all_items := np.concatenate(many))
+    hit = np.zeros(len(all_items) + 1, np.int64)
+    np.cumsum(one[np.minimum(at, len(one) - 1)] == all_items, out=hit[1:])
+    ends = np.cumsum(sizes)
+    both = hit[ends] - hit[ends - sizes]
+    return 100 * both >= percent * (sizes + len(one) - both)
+
+
+def left_apart(dense: DataFrame, reps: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, least: float, block: int = 1024) -> DataFrame:
+    """(a, b) links that nearest neighbours missed in regions beyond them; `dense` has (node, trees), a bit for each tree.
+
+    In each such region (nodes of a tree with the same least prefix), the nodes outside the region's largest component
+    are compared with one another and, if minima agree with some member's, with all of that component. Regions and
+    components are cut into blocks of about `block` nodes on either side, so no task takes a whole one, and only links
+    come out.
     """
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    in_block = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    blocks = lambda n: F.ceil(n / block).cast("int")
     prefix = F.substr("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * LEAST))
+    rooted = reps.select("node", "n", "sig").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = (
-        dense.join(reps, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).withColumn("prefix", prefix)
+        dense.join(rooted, "node").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
+        .where(F.expr("shiftright(trees, tree) & 1 = 1")).drop("trees").withColumn("prefix", prefix)
     )
     sizes = members.groupBy("tree", "prefix", "root").agg(F.count(F.lit(1)).alias("size"))
     regions = sizes.groupBy("tree", "prefix").agg(F.sum("size").alias("all"), F.max(F.struct("size", "root")).alias("top")).where("all > top.size")
-    regions = regions.select("tree", "prefix", F.col("top.root").alias("top"), F.ceil(F.col("all") / block).cast("int").alias("m"), F.ceil((F.col("all") - F.col("top.size")) / block).cast("int").alias("k"))
-    inside = members.join(regions, ["tree", "prefix"])
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    in_block = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
-    columns = ["tree", "prefix", "row", "col", "role", "node", "root", "n", "sig"]
-    one = inside.withColumns({"row": in_block("m", 1), "role": F.lit(0)}).withColumn("col", every("k")).select(columns)
-    other = inside.where("root <> top").withColumns({"col": in_block("k", 2), "role": F.lit(1)}).withColumn("row", every("m")).select(columns)
+    regions = regions.select("tree", "prefix", F.col("top.root").alias("top"), blocks(F.col("all")).alias("m"), blocks(F.col("all") - F.col("top.size")).alias("k"))
+    inside = staged(members.join(regions, ["tree", "prefix"]))
+    outside = inside.where("root <> top").select("node").distinct().join(sets, "node")
+    columns = ["tree", "prefix", "row", "col", "role", "node", "root", "top", "n", "sig", "items"]
+    whole = inside.join(outside, "node", "left")
+    one = whole.withColumns({"row": in_block("m", 1), "role": F.lit(0)}).withColumn("col", every("k")).select(columns)
+    other = whole.where("root <> top").withColumns({"col": in_block("k", 2), "role": F.lit(1)}).withColumn("row", every("m")).select(columns)
 
     def compare(group: pa.Table) -> pa.Table:
-        tree, role = group["tree"][0].as_py(), group["role"].to_numpy()
+        tree, role, top = group["tree"][0].as_py(), group["role"].to_numpy(), group["top"][0].as_py()
         node, root, n = (group[c].to_numpy() for c in ("node", "root", "n"))
         sig = np.frombuffer(b"".join(group["sig"].to_pylist()), ">u2").reshape(len(node), TREES * DEPTH)
-        left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        a, b = [], []
-        for i in right:
+        items = _items(group["items"].to_pylist())
+        left, a, b, asks = np.flatnonzero(role == 0), [], [], []
+        for i in np.flatnonzero(role == 1):
             same = sig[left] == sig[i]
             earlier = same[:, : tree * DEPTH].reshape(len(left), tree, DEPTH)[:, :, :LEAST].all(axis=2).any(axis=1)  # met there already
-            ok = (same.mean(axis=1) >= least) & (root[left] != root[i]) & ~earlier & (5 * n[left] >= 4 * n[i]) & (5 * n[i] >= 4 * n[left])
-            a.append(np.minimum(node[left[ok]], node[i]))
-            b.append(np.maximum(node[left[ok]], node[i]))
+            ok = left[(same.mean(axis=1) >= least) & (root[left] != root[i]) & ~earlier & (5 * n[left] >= 4 * n[i]) & (5 * n[i] >= 4 * n[left])]
+            near = ok[root[ok] != top]
+            linked = near[_links_to(items[i], [items[j] for j in near], percent)]
+            if len(linked) < len(ok) and (root[ok] == top).any():
+                asks.append(node[i])
+            near = linked[np.unique(root[linked], return_index=True)[1]]  # one link to a component is enough
+            a.append(np.full(len(near), node[i]))
+            b.append(node[near])
         none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
-
-    return one.union(other).groupBy("tree", "prefix", "row", "col").applyInArrow(compare, "a long, b long").distinct()
+        a, b, asks = np.concatenate([none, *a]), np.concatenate([none, *b]), np.array(asks, np.int64)
+        return pa.table({"a": np.concatenate([a, asks]), "b": np.concatenate([b, np.full(len(asks), top)]), "ask": np.arange(len(a) + len(asks)) >= len(a)})
+
+    found = staged(one.union(other).groupBy("tree", "prefix", "row", "col").applyInArrow(compare, "a long, b long, ask boolean"))
+    asked = found.where("ask").select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
+    large = dense.select("node").join(rooted.select("node", "root"), "node").join(asked.select("root").distinct(), "root", "left_semi")
+    counts = large.groupBy("root").agg(blocks(F.count(F.lit(1))).alias("m")).join(asked.groupBy("root").agg(blocks(F.count(F.lit(1))).alias("k")), "root")
+    columns = ["root", "row", "col", "role", "node", "items"]
+    one = large.join(counts, "root").join(sets, "node").withColumns({"row": in_block("m", 1), "role": F.lit(0)}).withColumn("col", every("k")).select(columns)
+    other = asked.join(counts, "root").join(sets, "node").withColumns({"col": in_block("k", 2), "role": F.lit(1)}).withColumn("row", every("m")).select(columns)
+
+    def connect(group: pa.Table) -> pa.Table:
+        role, node, items = group["role"].to_numpy(), group["node"].to_numpy(), _items(group["items"].to_pylist())
+        members, a, b = [i for i, r in enumerate(role) if not r], [], []
+        sets = [items[i] for i in members]
+        for i in np.flatnonzero(role == 1):
+            linked = _links_to(items[i], sets, percent)
+            if linked.any():  # one link to the component is enough
+                a.append(node[i])
+                b.append(node[members[int(np.argmax(linked))]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    joined = one.union(other).groupBy("root", "row", "col").applyInArrow(connect, "a long, b long")
+    return found.where("not ask").select("a", "b").union(joined)
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,22 +337,21 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id
     some = rows.where("n > 0")
     reps = staged(some.groupBy("node", "twin").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")).dropDuplicates(["node"]))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = staged(candidates(reps, partitions).groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"), F.sum("shared").alias("shared")))
+    in_tree = F.bit_or(F.when(F.col("a") == F.col("b"), F.expr("shiftleft(1, shared)"))).alias("trees")
+    found = staged(candidates(reps, partitions).groupBy("a", "b").agg(F.sum("shared").alias("shared"), in_tree))
     pairs = found.where("a <> b")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "id"), "node")
     sets = staged(full_sets(docs, wanted, id_col, text_col))
     ends = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "shared").union(pairs.select("b", "a", "shared"))
     nearest = ends.groupBy("u").agg(F.max(F.struct("shared", "v")).alias("x")).select(F.least("u", "x.v").alias("a"), F.greatest("u", "x.v").alias("b")).distinct()
-    links = staged(confirmed(nearest, sets, percent))
-    roots = components(links)
+    roots = components(confirmed(nearest, sets, percent))
     apart = _rooted(pairs.select("a", "b"), roots).where("ra <> rb").select("a", "b")
-    more = staged(confirmed(_likely(apart, reps, percent / 100 - 0.15), sets, percent))
-    links = links.union(more)
-    roots = components(links)
-    rest = left_apart(found.where("a = b").select(F.col("a").alias("node")), reps, roots, percent / 100 - 0.15)
-    rest = staged(confirmed(rest, sets, percent))
+    more = confirmed(_likely(apart, reps, percent / 100 - 0.15), sets, percent)
+    roots = components(_as_links(roots).union(more))
+    dense = found.where("a = b").select(F.col("a").alias("node"), "trees")
+    rest = staged(left_apart(dense, reps, roots, sets, percent, percent / 100 - 0.15))
     if not rest.isEmpty():
-        roots = components(links.union(rest))
+        roots = components(_as_links(roots).union(rest))
     names = (
         some.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         .groupBy("root").agg(F.min("id").alias("component"))
