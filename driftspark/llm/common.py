@@ -190,20 +190,11 @@ def in_bitmap(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (packed[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
 
-def split(rows: DataFrame, key: Column, keys: DataFrame, bits: int = 23) -> tuple[DataFrame, DataFrame]:
+def split(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose key is not among `keys` (one column), and rows whose key is. Rows with a null key are not.
 
-    Only rows that a bitmap of the keys lets pass are shuffled, so texts of the others stay where they are.
+    Plain joins: Spark broadcasts few keys, and shuffles the rows once for many.
     """
     name = "key of split"
-    keys = keys.toDF(name)
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap(keys, F.xxhash64(name), bits))
-
-    @F.arrow_udf("boolean")
-    def may_be(hashes: pa.Array) -> pa.Array:
-        return pa.array(in_bitmap(shared.value, np.asarray(hashes)), pa.bool_())
-
-    passes = may_be(F.xxhash64(key))
-    suspects = rows.where(passes).withColumn(name, key)
-    others = rows.where(~passes).unionByName(suspects.join(keys, name, "left_anti").select(rows.columns))
-    return others, suspects.join(keys.distinct(), name, "left_semi").select(rows.columns)
+    keyed, keys = rows.withColumn(name, key), keys.toDF(name).distinct()
+    return keyed.join(keys, name, "left_anti").select(rows.columns), keyed.join(keys, name, "left_semi").select(rows.columns)

@@ -23,7 +23,7 @@ DEPTH = 6
 #: Minima that two nodes share at the beginning of a key, at least, to be candidates.
 LEAST = 4
 #: Neighbours on one side that are candidates in a region of any size.
-NEAREST = 4
+NEAREST = 8
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)

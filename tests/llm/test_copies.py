@@ -134,7 +134,7 @@ def test_contamination(spark):
 
 def test_split(spark):
     rows = spark.range(1000).selectExpr("id", "if(id = 7, null, id % 100) AS k")
-    others, those = split(rows, F.col("k"), spark.range(3).union(spark.range(3)), bits=12)
+    others, those = split(rows, F.col("k"), spark.range(3).union(spark.range(3)))
     assert sorted(r.id for r in those.collect()) == [i for i in range(1000) if i % 100 < 3]
     assert others.count() + those.count() == 1000
 
