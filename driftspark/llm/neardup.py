@@ -130,22 +130,29 @@ def candidates(reps: DataFrame, partitions: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, bits: int = 23) -> DataFrame:
     """(node, items): the full sets of the wanted (node, id), as sorted 64-bit hashes. Texts are read once more; a bitmap
-    keeps those of other nodes from the shuffle.
+    keeps those of other nodes from the shuffle. The id of a node that only rows with null ids hold is null; as all of its
+    rows have that key, each partition sends one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, F.col("node"), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 shingle, starts = shingle_sets(part.column(1))
                 node, _ = _identities(shingle, starts)
-                at = np.flatnonzero(in_bitmap(shared.value, node) & (np.diff(starts) > 0))
+                keep = in_bitmap(shared.value, node) & (np.diff(starts) > 0)
+                for i in np.flatnonzero(keep & part.column(0).is_null().to_numpy(zero_copy_only=False)).tolist():
+                    keep[i] = (name := int(node[i])) not in sent
+                    sent.add(name)
+                at = np.flatnonzero(keep)
                 items = [shingle[starts[i] : starts[i + 1]].tobytes() for i in at]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(node[at]), pa.array(items, pa.binary())], ["id", "node", "items"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, node long, items binary")
-    return sets.join(wanted, ["node", "id"], "left_semi").dropDuplicates(["node"]).select("node", "items")
+    same = F.expr("sets.node = wanted.node AND sets.id <=> wanted.id")
+    return sets.alias("sets").join(wanted.alias("wanted"), same, "left_semi").dropDuplicates(["node"]).select("node", "items")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -78,6 +78,26 @@ def test_regions_beyond_the_nearest_are_finished(spark):
     assert got == {i: c for (i, _), (_, c) in zip(rows, brute_components(rows))}
 
 
+def test_null_ids_take_part(spark):
+    """Near copies that only rows without an id hold: a pair, a bridge between two documents, a group of 30."""
+    source = random.Random(12)
+    long = [f"p{k}" for k in range(200)]
+    bridge = [f"b{k}" for k in range(120)]
+    hub = [f"h{k}" for k in range(150)]
+    apart = lambda at: " ".join(f"x{k}" if at <= k < at + 8 else w for k, w in enumerate(bridge))
+    rows = [(None, " ".join(long)), (None, " ".join(edited(long, 3, source))), (7, " ".join(edited(long, 3, source)))]
+    rows += [(20, apart(10)), (None, " ".join(bridge)), (None, " ".join(bridge)), (21, apart(90))]
+    rows += [(None, " ".join(edited(hub, 7, source))) for _ in range(30)] + [(40, " ".join(edited(hub, 7, source)))]
+    rows += [(None, " ".join(f"n{k}" for k in range(50))), (None, " ".join(f"n{k}" for k in range(49)))]
+    rows += [(None, None), (None, "alone here"), (50, "by itself")]
+    parts = brute_components([(i, t) for i, (_, t) in enumerate(rows)])
+    least = {c: min((d for (d, _), (_, x) in zip(rows, parts) if x == c and d is not None), default=None) for _, c in parts}
+    assert least[parts[3][1]] == least[parts[6][1]] == 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect()), key=str)
+    assert got == sorted(((d, n, least[c]) for (d, _), (n, c) in zip(rows, parts)), key=str)
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(docs).count() == neardup.one_of_each(docs).count() == 0
