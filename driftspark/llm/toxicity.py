@@ -33,18 +33,55 @@ INVISIBLE = "​‌‍⁠﻿­"
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish", "pond scum", "soap scum")
 
 _LETTERS = str.maketrans(LOOK_ALIKES | {chr(0xFF41 + i): chr(97 + i) for i in range(26)} | dict.fromkeys(INVISIBLE))
-_DIGIT = re.compile(r"[013457@$]")
-_WRITTEN = re.compile(r"(?<=[^\W\d_])[013457@$]{1,2}(?=[^\W\d_])|(?<![\w@$])[013457@$](?=[^\W\d_][\w@$])")
+_WRITTEN = re.compile(r"[013457@$]++(?:[^\W\d_]++[013457@$]++)*+[^\W\d_]*+")
+_RUN = re.compile(r"[013457@$]+")
 _WORD = re.compile(r"[^\W\d_]+")
+_SIGNS = str.maketrans(DIGITS)
+#: The automaton reads i and l as one letter; matches are compared letter by letter.
+_ONE = str.maketrans("i", "l")
 
 
-def fold(text: str) -> str:
+class Folded(str):
+    """A folded text. At `either` a '1' stands for i, and may be l. At `soft` places a word may begin or end though letters
+    go on: beside and inside runs of signs at either end of a word, or of three or more, which may be no letters.
+    """
+
+    either: frozenset[int] = frozenset()
+    soft: frozenset[int] = frozenset()
+
+    def readings(self) -> list[str]:
+        """The text, with each '1' as i or as l, and with runs that may be no letters as letters or as blanks."""
+        out = [str(self)]
+        if self.either:
+            out.append("".join("l" if i in self.either else c for i, c in enumerate(self)))
+        if self.soft:
+            out += ["".join(" " if i in self.soft and i + 1 in self.soft else c for i, c in enumerate(t)) for t in out]
+        return out
+
+
+def fold(text: str) -> Folded:
+    """Lower case, look-alikes and signs as letters; signs (runs of any length) only in words that have a letter."""
     text = text.lower()
     if not text.isascii():
         text = text.translate(_LETTERS)
-    if _DIGIT.search(text):
-        text = _WRITTEN.sub(lambda m: "".join(DIGITS[c] for c in m[0]), text)
-    return text
+    parts, either, soft, done = [], set(), set(), 0
+    for m in _WRITTEN.finditer(text):
+        begin, end = m.span()
+        inside = _WORD.match(text, begin - 1) is not None if begin else False
+        if not inside and _RUN.fullmatch(m[0]):
+            continue
+        parts += text[done:begin], m[0].translate(_SIGNS)
+        done = end
+        for run in _RUN.finditer(text, begin, end):
+            a, b = run.span()
+            if a == begin and not inside or b == end or b - a > 2:
+                soft.update(range(a, b + 1))
+        either.update(i for i in range(begin, end) if text[i] == "1")
+    if not done:
+        return Folded(text)
+    folded = Folded("".join((*parts, text[done:])))
+    folded.either, folded.soft = frozenset(either), frozenset(soft)
+    return folded
 
 
 @dataclass
@@ -61,37 +98,59 @@ class Lexicon:
 
     def _ready(self):
         if self._automaton is None:
-            automaton = ahocorasick.Automaton()
+            words: dict[str, list] = {}
             for e in self.entries:
                 word = e.rstrip(" ")
-                whole, part = automaton.get(word, (len(word), None, None, False))[1:3]
-                automaton.add_word(word, (len(word), self.entries[e], part, False) if e != word else (len(word), whole, self.entries[e], False))
+                words.setdefault(word, [None, None, False])[int(e == word)] = self.entries[e]
             for phrase in self.exceptions:
-                automaton.add_word(fold(phrase), (len(fold(phrase)), None, None, True))
+                words[str(fold(phrase))] = [None, None, True]
+            alike: dict[str, list] = {}
+            for word, values in words.items():
+                alike.setdefault(word.translate(_ONE), []).append((word, *values))
+            automaton = ahocorasick.Automaton()
+            for form, readings in alike.items():
+                automaton.add_word(form, (len(form), readings))
             automaton.make_automaton()
             self._automaton = automaton
         return self._automaton
 
-    def hits(self, folded: str) -> list[tuple[int, int, float]]:
-        """Start, end and weight of each word that matches: of its entries the whole word, else the longest beginning."""
+    def hits(self, folded: Folded) -> list[tuple[int, int, float]]:
+        """Start, end and weight of each word that matches: of its entries the whole word, else the longest beginning.
+
+        Of matches that overlap, as readings of one written word may, the best stays.
+        """
         if not self.entries:
             return []
+        either, soft = getattr(folded, "either", ()), getattr(folded, "soft", ())
         found: dict[int, tuple[bool, int, float]] = {}
         spared: list[tuple[int, int]] = []
-        for last, (n, whole, part, exception) in self._ready().iter(folded):
+        for last, (n, readings) in self._ready().iter(folded.translate(_ONE)):
             start, end = last + 1 - n, last + 1
-            if start and folded[start - 1].isalpha():
-                continue
-            ends = end == len(folded) or not folded[end].isalpha()
-            if exception:
-                if ends:
-                    spared.append((start, end))
+            if start and folded[start - 1].isalpha() and start not in soft:
                 continue
-            weight = whole if ends and whole is not None else part
-            if weight is not None:
-                candidate = (ends and whole is not None, n, weight)
-                if candidate > found.get(start, (False, 0, 0.0)):
-                    found[start] = candidate
+            ends = end == len(folded) or not folded[end].isalpha() or end in soft
+            here = folded[start:end]
+            for word, whole, part, exception in readings:
+                if word != here and not all(a == b or i in either for i, (a, b) in enumerate(zip(word, here), start)):
+                    continue
+                if exception:
+                    if ends:
+                        spared.append((start, end))
+                    continue
+                weight = whole if ends and whole is not None else part
+                if weight is not None:
+                    candidate = (ends and whole is not None, n, weight)
+                    if candidate > found.get(start, (False, 0, 0.0)):
+                        found[start] = candidate
+        if soft and len(found) > 1:
+            best, until = {}, -1
+            for s in sorted(found):  # overlapping ones follow each other
+                if s < until and found[s] <= found[kept]:
+                    continue
+                if s < until:
+                    del best[kept]
+                best[s], kept, until = found[s], s, s + found[s][1]
+            found = best
         return [(s, s + n, w) for s, (_, n, w) in found.items() if not any(a <= s and s + n <= b for a, b in spared)]
 
     def features(self, text: str) -> tuple[float, float, float, float]:
@@ -112,9 +171,10 @@ class Lexicon:
 
 
 def _terms(text: str, shortest: int = 4, longest: int = 8) -> set[str]:
+    """Whole words from two letters on, and beginnings of `shortest` to `longest` letters."""
     out = set()
-    for w in set(_WORD.findall(fold(text))):
-        if len(w) >= shortest:
+    for w in {w for reading in fold(text).readings() for w in _WORD.findall(reading)}:
+        if len(w) > 1:
             out.add(w + " ")
             out.update(w[:k] for k in range(shortest, min(len(w), longest + 1)))
     return out

@@ -73,6 +73,29 @@ def test_folding_and_exceptions():
     assert words("") == []
 
 
+def test_every_way_of_writing():
+    entries = {"idiot ": 5.0, "clown ": 5.0, "loser ": 5.0, "losers ": 5.0, "worthless ": 5.0, "ass ": 3.0, "imbecile ": 5.0, "fail ": 2.0, "moron": 2.0}
+    lexicon = toxicity.Lexicon(entries)
+    n = lambda text: len(lexicon.hits(toxicity.fold(text)))
+    for text in ("c1own", "1oser", "worth1ess", "l053r", "w0r7hl355", "idio7", "worthle55", "1mbec11e", "a55", "@$$", "1053r5", "m0r0n1c"):
+        assert n(text) == (0 if text == "@$$" else 1), text  # a word needs a letter
+    for text in ("idiot$$$", "idio7$$$", "$$$idiot", "@idiot", "idiot1", "5 idiot 5", "idiot!!1", "idiot2"):
+        assert n(text) == 1, text
+    assert n("idiot100idiot") == 2
+    assert [n(t) for t in ("fall", "fa11", "f4il", "foil", "13 455 1055", "4th 1st $100k", "classy a5sorted", "c10wning")] == [0, 1, 1, 0, 0, 0, 0, 0]
+    assert n("cla55 c1own") == 0  # an exception
+    assert toxicity._terms("an ox, id1 $$$") >= {"an ", "ox ", "idi ", "idl "} and "i " not in toxicity._terms("i")
+
+
+def test_short_words_are_learnt(spark):
+    rows = [(i, f"you {'dum' if i % 2 else 'fine'} person, writes number {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learnt = toxicity.fit(docs, docs.selectExpr("doc_id", "doc_id % 2 AS toxic"))
+    assert "dum " in learnt.entries
+    low, high = (learnt.scores([learnt.features(t)])[0] for t in ("a fine person", "a dum person"))
+    assert low < 0.3 <= high
+
+
 def test_isotonic_rises():
     random = np.random.default_rng(1)
     x = random.normal(size=400)
