@@ -116,11 +116,11 @@ def _unquoted(name: Column) -> Column:
 def _statements(scripts: DataFrame, text: str) -> DataFrame:
     """One row per routine statement, with only its own literals as `parts`.
 
-    Texts without the words of such a statement need no scan.
+    Texts without the words of such a statement need no scan; a comment may stand right behind the word.
     """
     others = [c for c in scripts.columns if c != text]
     found = F.explode(scan_script(text)).alias("_statement")
-    likely = scripts.where(F.col(text).rlike(r"(?i)\b(?:FUNCTION|PROCEDURE)\s"))
+    likely = scripts.where(F.col(text).rlike("(?i)FUNCTION|PROCEDURE"))
     return likely.select(*others, found).select(*others, "_statement.*")
 
 

@@ -86,6 +86,8 @@ CASES = {
         CREATE FUNCTION h() RETURNS int RETURN 1 + 2;
         CREATE FUNCTION w() RETURNS SETOF int WINDOW LANGUAGE c AS 'lib', 'w_symbol';""",
     "quoted_type": 'CREATE FUNCTION f(_a "My Type") RETURNS "My Type" LANGUAGE sql AS $$ 1 $$;',
+    "comment_behind_word": "CREATE FUNCTION/* note */ app.f() RETURNS int LANGUAGE sql AS $$ 1 $$;",
+    "line_comment_behind_word": "CREATE PROCEDURE--note\napp.p() LANGUAGE sql AS $$ 1 $$;",
     "control_chars": "CREATE FUNCTION f(_a int) RETURNS int LANGUAGE sql AS $$ \x010\x02 $$; -- \x013\x02",
     "control_chars_outside": "CREATE FUNCTION f(_a \x03int, _b \x017\x02) RETURNS int LANGUAGE sql AS $$ 1 $$;",
     "garbage": "CREATE FUNCTION f(= 5, DEFAULT, , IN , a b c d, \"q\" \"t\") RETURNS LANGUAGE AS BEGIN ATOMIC SET COST; COMMENT ON FUNCTION f() IS ; CREATE FUNCTION g(( RETURNS",

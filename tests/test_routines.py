@@ -209,6 +209,11 @@ def test_no_statement_is_lost(spark, parsed):
     assert unread["unread", "comment", 0].reason == "no routine signature or no text"
 
 
+def test_comment_right_behind_the_word(parsed):
+    assert names(parsed["comment_behind_word"]) == [("function", "app", "f")]
+    assert names(parsed["line_comment_behind_word"]) == [("procedure", "app", "p")]
+
+
 def test_stray_brackets(parsed):
     assert params(parsed["unbalanced_before"][0]) == [(None, "_a", "numeric(1,2)")]
     assert params(parsed["open_before"][0]) == [(None, "_a", "numeric(1,2)"), (None, "_b", "int")]
