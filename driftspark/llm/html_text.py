@@ -23,6 +23,12 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 SILENT = frozenset("script style template noscript head title svg math textarea iframe object canvas audio video".split())
+RAW = frozenset("script style title textarea".split())
+IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
+INLINE = frozenset("a abbr b big cite code em font i label q s small span strong sub sup u".split())
+#: Elements that cannot be in svg or math and end them, and those in which other elements can be.
+BREAKS = frozenset("b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li menu ol p pre s small span strong sub sup table u ul".split())
+HOLDS = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol menu dl table select body html article section div main".split())
@@ -45,6 +51,11 @@ class _Reader(HTMLParser):
         self.parts: list[str] = []
         self.linked = self.links = 0
         self.silent: list[str] = []
+        self.inside: list[str] = []  # elements open in the silent ones
+        self.inline = dict.fromkeys(INLINE, 0)
+
+    def _speak(self):
+        self.silent, self.inside = [], []
 
     def _flush(self):
         text = " ".join("".join(self.parts).split())
@@ -53,12 +64,18 @@ class _Reader(HTMLParser):
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
-        if tag == "body":
-            self.silent = []
+        if tag == "body" or (self.silent == ["head"] and tag not in IN_HEAD):
+            self._speak()
+        if self.silent and self.silent[-1] in ("svg", "math") and tag in BREAKS and HOLDS.isdisjoint(self.inside):
+            self._speak()
         if tag in SILENT:
             self.silent.append(tag)
         if self.silent:
+            if tag in HOLDS or tag in INLINE or (tag in BLOCK and tag not in EMPTY):
+                self.inside.append(tag)
             return
+        if tag in INLINE:
+            self.inline[tag] += 1
         if tag == "br":
             self.parts.append("\n")
         elif tag in BLOCK:
@@ -93,9 +110,20 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if tag in self.silent:
             del self.silent[self.silent.index(tag) :]
+            if not self.silent:
+                self.inside = []
             return
         if self.silent:
-            return
+            if self.silent[-1] in RAW:
+                return
+            if tag in self.inside:
+                del self.inside[len(self.inside) - 1 - self.inside[::-1].index(tag) :]
+                return
+            if not self.inline.get(tag) and not any(t == tag for t, _ in self.above):
+                return
+            self._speak()  # the end of an element around the silent one, which has no end tag
+        if self.inline.get(tag):
+            self.inline[tag] -= 1
         if tag in BLOCK:
             self._flush()
             self._close(tag)
@@ -103,6 +131,8 @@ class _Reader(HTMLParser):
             self.links -= 1
 
     def handle_data(self, data):
+        if self.silent == ["head"] and data.strip():
+            self._speak()
         if not self.silent:
             self.parts.append(data)
             if self.links:

@@ -160,3 +160,21 @@ def test_odd_pages(spark, field):
     assert html_text.extract(pages, field).count() == 7 and got[1].text == got[2].text == got[5].text == ""
     assert got[4].n_chars == len(got[4].text) == 5 * 60_000 - 1
     assert html_text.extract(pages.limit(0), field).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "texts"),
+    [
+        ("<html><head><title>x</title><link rel=a><h1>T</h1><p>Body text.</p></html>", ["T", "Body text."]),
+        ("<head><meta charset=a><noscript><img src=a></noscript><style>p{}</style>Text", ["Text"]),
+        ("<head><title>x</title></head><p>One</p>", ["One"]),
+        *[(f"<body><div>One<{tag}><x></div><p>Two</p></body>", ["One", "Two"]) for tag in ("svg", "object", "canvas", "template", "video")],
+        ("<body><p>One <span><svg><path d=a></span>two</p>three</body>", ["One two", "three"]),
+        ("<body><svg><path d=a><p>One</p></body>", ["One"]),
+        ("<body><svg><foreignObject><div>no</div></foreignObject><a><text>no</text></a></svg>One</body>", ["One"]),
+        ("<body><div><object><div><p>no</div>no<a>no</a></object>One</div></body>", ["One"]),
+        ("<body><div><textarea>no</div>no</textarea>One</div></body>", ["One"]),
+    ],
+)
+def test_silent_elements_without_an_end(html, texts):
+    assert [b.text for b in html_text.blocks_of(html)] == texts
