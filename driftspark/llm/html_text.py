@@ -347,18 +347,32 @@ def train(pages: list[tuple[list[list[str]], np.ndarray]], rounds: int = 60, rid
     return Field(index, w, step, start)
 
 
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each hash in a partition, so that a page of many rows is not shuffled or sorted with all of them."""
+    seen: set[int] = set()
+    for batch in batches:
+        kept = []
+        for i, h in enumerate(batch.column(0).to_pylist()):
+            if h not in seen:
+                seen.add(h)
+                kept.append(i)
+        if kept:
+            yield batch.take(pa.array(kept, pa.int64()))
+
+
 def fit(pages: DataFrame, *, most: int = 300, laid: int = 300, id_col: str = "page_id", html_col: str = "html", longest: int = 400) -> Field:
-    """Train on about `most` pages of the table, chosen by a hash of the id, and on `laid` laid-out ones.
+    """Train on at most `most` distinct pages of the table, those with the least hashes of id and html, and on `laid`
+    laid-out ones.
 
     Pages whose mark-up names an article or main part are labelled by it; each is used as it is and without such tags.
     Of pages with over `longest` blocks the first ones are used for training; extraction takes all blocks of all pages.
     """
-    rows = pages.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(html_col).cast("string").alias("html")).where(F.col("html").isNotNull())
-    n = rows.count()
-    if n > most:
-        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * most / n))
+    rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).cast("string").alias("html")).where(F.col("html").isNotNull())
+    rows = rows.select(F.xxhash64("id", "html").alias("h"), "html")
+    least = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(most).collect()]  # `most` numbers
+    rows = rows.where(F.col("h") <= (least[-1] if least else 0)).mapInArrow(_first_of_each, "h long, html string").dropDuplicates(["h"])
     labelled, texts = [], []
-    for r in rows.orderBy("h", "html").toLocalIterator():  # about `most` pages
+    for r in rows.orderBy("h").toLocalIterator():  # at most `most` pages
         blocks = blocks_of(r["html"])[:longest]
         labels = labels_by_markup(blocks) if blocks else None
         if labels is not None:

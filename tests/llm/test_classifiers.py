@@ -178,3 +178,22 @@ def test_odd_pages(spark, field):
 )
 def test_silent_elements_without_an_end(html, texts):
     assert [b.text for b in html_text.blocks_of(html)] == texts
+
+
+def test_sample_of_pages_is_bounded(spark, monkeypatch):
+    """Null ids, one page in many rows, and one id of many pages: no more than `most` pages, each once, reach the driver."""
+    read, blocks_of = [], html_text.blocks_of
+    monkeypatch.setattr(html_text, "blocks_of", lambda html: read.append(html) or blocks_of(html))
+    page = "<body><article><p>Text {} of a page.</p></article><footer>foot</footer></body>"
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, page.format(i)) for i in range(600)] + [(1000, page.format("same"))] * 300 + [(None, None)] * 9
+    pages = spark.createDataFrame(rows, "page_id long, html string").repartition(4)
+    html_text.fit(pages, most=20, laid=5)
+    assert len(read) == len(set(read)) == 20
+    first = read.copy()
+    html_text.fit(pages.repartition(3), most=20, laid=5)
+    assert read[20:] == first
+    read.clear()
+    html_text.fit(pages, most=5000, laid=5)
+    assert len(read) == len(set(read)) == 601
+    html_text.fit(pages.limit(0), laid=5)
+    assert len(read) == 601
