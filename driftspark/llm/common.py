@@ -148,14 +148,31 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
         yield batch.slice(begin)
 
 
+def _least_of_each(batches):
+    """Rows (doc_id, h, text, y) with a lesser h than all rows of that document before them in the partition."""
+    least: dict = {}
+    for batch in batches:
+        kept = []
+        for i, (one, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if one not in least or h < least[one]:
+                least[one] = h
+                kept.append(i)
+        if kept:
+            yield batch.take(pa.array(kept, pa.int64()))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(text, y) of the documents that `training_labels` chooses, staged in a few partitions.
+    """(text, y) of the documents that `training_labels` chooses, staged in a few partitions: one row for each of them.
 
+    Of a document's rows the one whose text has the least hash counts, whatever their number; each partition sends few.
     The broadcast side is a sample of about `most` rows of 12 bytes, whatever the size of the tables.
     """
     chosen = F.broadcast(training_labels(labels, label, most))
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id")
-    return staged(rows.select("text", "y"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), "text", "y")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows = rows.mapInArrow(_least_of_each, f"doc_id {kind}, h long, text string, y int")
+    return staged(rows.groupBy("doc_id").agg(F.min(F.struct("h", "text", "y")).alias("one")).select("one.text", "one.y"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftspark.llm import html_text, quality, toxicity
-from driftspark.llm.common import held_out
+from driftspark.llm.common import held_out, labelled
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -197,3 +197,14 @@ def test_sample_of_pages_is_bounded(spark, monkeypatch):
     assert len(read) == len(set(read)) == 601
     html_text.fit(pages.limit(0), laid=5)
     assert len(read) == 601
+
+
+def test_labelled_rows_are_bounded(spark):
+    """One row for each labelled document, whatever the number of its rows and texts."""
+    rows = [(i, f"text {i}") for i in range(40)] + [(1, "text 1")] * 300 + [(2, f"other {i}") for i in range(300)] + [(3, None), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 1)], "doc_id long, toxic int")
+    expected = [r.doc_id for r in labels.where(~held_out(F.col("doc_id")) & (F.col("doc_id") < 40)).select("doc_id").distinct().collect()]
+    got = sorted(tuple(r) for r in labelled(docs, labels, "toxic", 12_000).collect())
+    assert len(got) == len(expected) and {(f"text {i}", i % 2) for i in expected if i not in (2, 3)} <= set(got)
+    assert got == sorted(tuple(r) for r in labelled(docs.repartition(7), labels, "toxic", 12_000).collect())
