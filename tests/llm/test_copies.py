@@ -183,3 +183,17 @@ def test_pipeline_steps(spark, tmp_path):
         if name == "packing":
             assert kept == {i for i, _ in rows}
     assert before >= len(kept) > 0.5 * before
+
+
+def test_stages_are_worked_out_once(spark, monkeypatch, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    spark.range(5).write.parquet(f"{tmp_path}/documents.parquet")
+    stages = [("count", lambda _, docs, __: docs.mapInArrow(count, "id long")), *[("thrice", lambda _, docs, __: docs.union(docs).union(docs))] * 2]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 45 and seen.value == 5
