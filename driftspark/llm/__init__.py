@@ -1 +1,8 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors get the functions of these modules with the query, so they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -57,4 +57,29 @@ ORACLE: dict[str, str] = {
             n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
             NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
                 AND (CASE WHEN word_chars > 0 THEN 1 - CAST(left_over AS DOUBLE) / word_chars ELSE 0 END) <= 0.5 AS kept FROM all_of""",
+    "op12_hard_negatives": """
+        WITH p AS (SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.uid, a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+                CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM p AS a, p AS b WHERE a.vec_id % 100 = 0 AND a.uid <> b.uid),
+        pos AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, other NULLS LAST) AS j FROM s WHERE same) WHERE j <= 5),
+        neg AS (SELECT pos.anchor_id, pos.other AS positive_id, s.other AS negative_id, pos.score AS positive_score, s.score AS negative_score,
+                row_number() OVER (PARTITION BY pos.uid, pos.j ORDER BY s.score DESC, s.other NULLS LAST) AS r
+            FROM pos JOIN s ON s.uid = pos.uid AND NOT s.same AND 80 * pos.score <= 100 * s.score AND s.score <= pos.score)
+        SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE r <= 5""",
+    "op13_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        w AS (SELECT rid, i, x[2 * i + 1 : 2 * i + 800] AS win FROM (SELECT rid, x, unnest(range(CAST(len(x) // 2 - 399 AS BIGINT))) AS i FROM d WHERE len(x) >= 800)),
+        again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY md5_number(win)) AS n FROM w) WHERE n > 1),
+        runs AS (SELECT rid, i, sum(CASE WHEN i - before <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run
+            FROM (SELECT rid, i, coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -1000) AS before FROM again)),
+        spans AS (SELECT rid, min(i) AS s, max(i) + 400 AS e FROM runs GROUP BY rid, run),
+        cut AS (SELECT rid, s, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS done FROM spans),
+        per AS (SELECT rid, count(*) AS n, sum(e - s) AS gone, max(e) AS last, string_agg(x[2 * done + 1 : 2 * s], '' ORDER BY s) AS kept
+            FROM cut JOIN d USING (rid) GROUP BY rid)
+        SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+            sha256(unhex(CASE WHEN n IS NULL THEN x ELSE kept || x[2 * last + 1 :] END)) AS kept_sha256
+        FROM d LEFT JOIN per USING (rid)""",
 }
