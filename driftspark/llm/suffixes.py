@@ -355,7 +355,7 @@ def _hot_groups(rows: DataFrame, length: int, gram: int, most: int) -> DataFrame
         missing -= reach
         uses = staged(_split(rows, length, gram, reach).withColumn("cut", F.xxhash64("body")))
         per = uses.groupBy("key", "cut").agg(F.sum("n").alias("copies"))
-        groups = per.groupBy("key").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1")
+        groups = staged(per.groupBy("key").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1"))
         judged = staged(per.join(groups, "key").select("key", "cut", "copies", "kinds"))
         of = lambda spans: uses.join(spans, ["key", "cut"]).select("fp", "ctx", (F.col("shift") + F.col("s")).alias("s"), (F.col("shift") + F.col("e")).alias("e"))
         whole = uses.join(judged.where("copies > 1").select("key", "cut"), ["key", "cut"])
@@ -383,15 +383,16 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, gram: int = 128, most:
     rows = docs.select(*text_keys(text_col), text.alias("text")).where(F.length(F.col("text").cast("binary")) >= length)
     marks = staged(rows.mapInArrow(_marks(length, gram), "k1 long, k2 long, fp array<long>, ctx array<long>, place array<long>"))
     marks = marks.select("k1", "k2", F.explode(F.arrays_zip("fp", "ctx", "place")).alias("x")).select("k1", "k2", "x.*")
+    # What rows may repeat in is joined with staged sums, so that Spark can split a hot key of theirs.
     twice = marks.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), (F.min("ctx") != F.max("ctx")).alias("contested")).where("n > 1")
-    again = staged(marks.join(twice.select("fp", "contested"), "fp"))
+    again = staged(marks.join(staged(twice.select("fp", "contested")), "fp"))
     first, end = F.expr("shiftright(place, 24)"), F.expr("shiftright(place, 24) + (place & 4095)") + length
     whole = again.where("not contested").select("k1", "k2", first.alias("s"), end.alias("e"))
     disputed = again.where("contested")
     kinds = staged(disputed.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one")))
-    hot = kinds.groupBy("fp").agg((F.count(F.lit(1)) > most).alias("hot"))
+    hot = staged(kinds.groupBy("fp").agg((F.count(F.lit(1)) > most).alias("hot")))
     wanted = kinds.join(hot, "fp").select("one.k1", "one.k2", F.struct("fp", "ctx", "n", "hot", F.col("one.place").alias("place")).alias("w"))
-    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))  # no more than a text has contexts
+    wanted = staged(wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted")))  # no more than a text has contexts
     bodies = rows.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted")
     bodies = staged(bodies.mapInArrow(_cut_out(length), "fp long, ctx long, n long, hot boolean, at int, body binary"))
     spans = _sorted_groups(bodies.where("not hot").withColumnRenamed("fp", "key"), length).withColumnRenamed("key", "fp")
@@ -399,10 +400,10 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, gram: int = 128, most:
     if not many.isEmpty():
         spans = spans.union(_hot_groups(many, length, gram, most))
     copied = kinds.where("n > 1").select("fp", "ctx", F.lit(0).alias("s"), F.lit(-1).alias("e"))  # to the end of the context
-    spans = disputed.join(spans.union(copied).distinct().groupBy("fp", "ctx").agg(F.collect_list(F.struct("s", "e")).alias("x")), ["fp", "ctx"])
-    spans = spans.select("k1", "k2", F.explode("x").alias("x"), first.alias("s"), end.alias("e"))
+    spans = staged(spans.union(copied).distinct().groupBy("fp", "ctx").agg(F.collect_list(F.struct("s", "e")).alias("x")))
+    spans = disputed.join(spans, ["fp", "ctx"]).select("k1", "k2", F.explode("x").alias("x"), first.alias("s"), end.alias("e"))
     spans = spans.select("k1", "k2", (F.col("s") + F.col("x.s")).alias("s"), F.when(F.col("x.e") < 0, F.col("e")).otherwise(F.col("s") + F.col("x.e")).alias("e"))
-    return whole.union(spans).distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return staged(whole.union(spans).distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
 
 
 def text_keys(text_col: str) -> list[Column]:
