@@ -19,6 +19,8 @@ COLUMNS = {
     "op7": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op8": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op9": "page_id host path rule verdict",
     "op10": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op11": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op12": "anchor_id positive_id rank negative_id positive_score negative_score", "op13": "doc_id n_bytes n_removed n_spans kept_sha256",
 }
 
 
