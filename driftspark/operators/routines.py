@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from driftspark.functions.scan import (
     CLOSE,
+    NAMED_TYPE,
     OPEN,
+    PARAMETER_TEXT,
     PLACEHOLDER,
     dollar_body,
     escaped_body,
@@ -24,14 +26,6 @@ from driftspark.functions.text import fingerprint, group, regexp_groups, trim_bl
 from driftspark.schemas import PARAMETER, TABLE_COLUMN
 
 # Keywords, type names, clauses and defaults of the SQL dialect.
-PARAMETER_MODES = ["INOUT", "IN", "OUT", "VARIADIC"]
-MULTI_WORD_TYPES = [
-    r"character\s+varying",
-    r"double\s+precision",
-    r"bit\s+varying",
-    r"timestamp\s+(?:with|without)\s+time\s+zone",
-    r"time\s+(?:with|without)\s+time\s+zone",
-]
 SET_VALUE = rf"(?:{OPEN}\d+{CLOSE}|[^\s,]+)"
 ATTRIBUTE_CLAUSES = [
     "RETURNS NULL ON NULL INPUT",
@@ -66,21 +60,15 @@ ATTRIBUTE_DEFAULTS = {
 # A word, or a quoted identifier, which is a masked part.
 _WORD = rf"(?:[\p{{L}}_][\p{{L}}\p{{N}}_$]*|{OPEN}\d+{CLOSE})"
 _NAME = rf"(?:({_WORD})\s*\.\s*)?({_WORD})\s*\(([^()]*)\)"
+# Behind the word is a blank, or a name in quotes.
+_KIND = rf"(FUNCTION|PROCEDURE)(?:\s+|(?={OPEN}))"
 # Patterns for `regexp_groups`. Groups: kind, schema, name, arguments, rest of the statement.
 # Literals are masked, so the first semicolon ends it, save for BEGIN ATOMIC bodies.
 CREATE_ROUTINE = (
-    rf"(?is)^CREATE\s+(?:OR\s+REPLACE\s+)?(FUNCTION|PROCEDURE)\s+{_NAME}([^;]*).*\z"
+    rf"(?is)^CREATE\s+(?:OR\s+REPLACE\s+)?{_KIND}{_NAME}([^;]*).*\z"
 )
 # Groups: kind, schema, name, argument types, E of an escape literal, number of the literal (NULL has none).
-COMMENT_ON = rf"(?is)^COMMENT\s+ON\s+(FUNCTION|PROCEDURE)\s+{_NAME}\s*IS\s*(?:(E?){PLACEHOLDER}|NULL)\s*(?:;.*)?\z"
-# Groups: mode, text before any default.
-PARAMETER_TEXT = (
-    rf"(?is)^(?:({'|'.join(PARAMETER_MODES)})\s+)?(.*?)(?:\s+DEFAULT\b.*|\s*:?=.*)?\z"
-)
-# Groups: type without a name (modifiers and [] are folded parts), or else name and type.
-NAMED_TYPE = (
-    rf"(?is)^(?:((?:{'|'.join(MULTI_WORD_TYPES)})(?:\s*{OPEN}\d+{CLOSE})*|\S+)|(\S+)\s+(.+))\z"
-)
+COMMENT_ON = rf"(?is)^COMMENT\s+ON\s+{_KIND}{_NAME}\s*IS\s*(?:(E?){PLACEHOLDER}|NULL)\s*(?:;.*)?\z"
 _TYPE_END = rf"\b(?:{'|'.join(RETURN_TYPE_ENDS)})\b"
 _RETURNS = r"\bRETURNS\s+(?!NULL\s+ON\s+NULL\s+INPUT)"
 # Groups: TABLE, its columns, SETOF, type up to a keyword, or else up to the line end.
@@ -294,9 +282,13 @@ def _comment_types(said: Column, parts: Column, base: Column) -> Column:
 
 def _comment_text(said: Column, parts: Column, base: Column) -> Column:
     literal = F.get(parts, _empty_as_null(group(said, 5)).cast("int") - base)
+    return _literal_text(literal, group(said, 4) != "")
+
+
+def _literal_text(literal: Column, escaped: Column) -> Column:
     return (
         F.when(literal.startswith("$"), dollar_body(literal))
-        .when(literal.startswith("'") & (group(said, 4) != ""), escaped_body(literal))
+        .when(literal.startswith("'") & escaped, escaped_body(literal))
         .when(literal.startswith("'"), quoted_body(literal))
     )
 
@@ -363,25 +355,16 @@ def attach_comments(routines: DataFrame, comments: DataFrame, by: list[str]) ->
 def parse_routines(scripts: DataFrame, text: str = "text", hashed: bool = False) -> DataFrame:
     """`extract_routines` with the last comment of the same script, in one scan and without a shuffle.
 
-    The scanner hands every definition the comments on its kind and name; the last one with the same
-    argument types counts, also if it says NULL. With `hashed`, bodies become `body_hash`.
+    The scanner keeps an index of the script's comments by kind, name and argument types, and hands every
+    definition the last one on it, also if it says NULL. With `hashed`, bodies become `body_hash`.
     """
     others = [c for c in scripts.columns if c != text]
     statements = _statements(scripts, text).where("verb = 'create'")
-    read = F.transform("remarks", lambda r: F.struct(_comment_head(r["text"]).alias("said"), r["parts"].alias("parts"), r["base"].alias("base")))
-    typed = F.transform(
-        F.filter(read, lambda r: F.size(r["said"]) == 6),
-        lambda r: F.struct(
-            _comment_types(r["said"], r["parts"], r["base"]).alias("types"),
-            _comment_text(r["said"], r["parts"], r["base"]).alias("comment"),
-        ),
-    )
-    types = argument_types(F.col("parameters"), F.col("kind"))
-    said = F.filter(typed, lambda r: r["types"] == types)
     body = fingerprint(F.col("body")).alias("body_hash") if hashed else F.col("body")
     columns = [body if c == "body" else F.col(c) for c in ROUTINE_COLUMNS]
     defined = _read_definitions(statements).where("name is not null")
-    return defined.select(*others, *columns, F.try_element_at(said, F.lit(-1))["comment"].alias("comment"))
+    comment = _literal_text(F.col("remark.literal"), F.col("remark.escaped"))
+    return defined.select(*others, *columns, comment.alias("comment"))
 
 
 # A value of a comma list: quoted in either way, or a word.

@@ -268,6 +268,28 @@ def odd_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt(table(spark, sf_dir, "supplier"), "s_suppkey").select("s_suppkey", text.alias("text"))
 
 
+# Comments and quotes where a blank would stand, and a routine created again with other comments.
+CLOSE_SCRIPT = r"""CREATE FUNCTION/**/app.c1_{s_suppkey}(_a integer) RETURNS integer LANGUAGE sql AS $$ 1 $$;
+CREATE/* {s_name} */FUNCTION app.c2_{s_suppkey}() RETURNS integer LANGUAGE sql AS $$ 2 $$;
+CREATE FUNCTION"C3 {s_suppkey}"(text) RETURNS integer LANGUAGE sql AS $$ 3 $$;
+CREATE OR/**/REPLACE--{s_name}
+PROCEDURE"App"."C4 {s_nationkey}"(_n numeric(10,2)) LANGUAGE sql AS $$ 4 $$;
+COMMENT ON/**/FUNCTION app.c1_{s_suppkey}(integer) IS 'first';
+COMMENT ON FUNCTION/**/app.c2_{s_suppkey}()IS'of {s_name}';
+COMMENT ON FUNCTION"C3 {s_suppkey}"(text) IS 'three';
+COMMENT/**/ON/**/PROCEDURE"App"."C4 {s_nationkey}"(numeric(10,2)) IS 'four';
+CREATE OR REPLACE FUNCTION app.c1_{s_suppkey}(_b integer) RETURNS integer LANGUAGE sql AS $$ 5 $$;
+COMMENT ON FUNCTION app.c1_{s_suppkey}(_b integer)/* {s_nationkey} */IS 'again {s_nationkey}';
+CREATE/**/FUNCTION/**/(integer) RETURNS integer;
+COMMENT ON/**/FUNCTION nobody IS 'no list';
+"""
+
+
+def close_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s_suppkey, text), one script of five routines, five comments and two unreadable statements per supplier."""
+    return dealt(table(spark, sf_dir, "supplier"), "s_suppkey").select("s_suppkey", filled_column(CLOSE_SCRIPT).alias("text"))
+
+
 def two_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat rows of two catalogs with equal oids, two parameters for each routine."""
     parts = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size", "explode(array('a', 'b')) AS catalog")

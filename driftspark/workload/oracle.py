@@ -303,6 +303,16 @@ ORACLE = {
     "rejects": """
         SELECT s_suppkey, 'create' AS verb, 3 AS pos, 'no name and argument list' AS reason FROM supplier
         UNION ALL SELECT s_suppkey, 'comment', 3, 'no routine signature or no text' FROM supplier""",
+    "close_routines": """
+        SELECT s_suppkey, 0 AS pos, 'function' AS kind, 'app' AS schema, 'c1_' || s_suppkey AS name, ' 1 ' AS body,
+            'again ' || s_nationkey AS comment FROM supplier
+        UNION ALL SELECT s_suppkey, 1, 'function', 'app', 'c2_' || s_suppkey, ' 2 ', 'of ' || s_name FROM supplier
+        UNION ALL SELECT s_suppkey, 2, 'function', NULL, 'C3 ' || s_suppkey, ' 3 ', 'three' FROM supplier
+        UNION ALL SELECT s_suppkey, 3, 'procedure', 'App', 'C4 ' || s_nationkey, ' 4 ', 'four' FROM supplier
+        UNION ALL SELECT s_suppkey, 4, 'function', 'app', 'c1_' || s_suppkey, ' 5 ', 'again ' || s_nationkey FROM supplier""",
+    "statement_census": """
+        SELECT s_suppkey, c.kind AS "is", c.n AS n
+        FROM supplier, (VALUES ('routine', 5), ('comment', 5), ('rejected create', 1), ('rejected comment', 1)) AS c(kind, n)""",
     "fold_two_catalogs": """
         SELECT p_partkey AS routine_oid, c.catalog AS catalog, 'fn_' || p_partkey || c.catalog AS name, 2 AS n_parameters
         FROM part, (VALUES ('a'), ('b')) AS c(catalog)""",

@@ -453,6 +453,23 @@ def rejects(spark, sf):
     return routines.rejects(inputs.odd_scripts(spark, sf)).select("s_suppkey", "verb", "pos", "reason")
 
 
+@query
+def close_routines(spark, sf):
+    parsed = routines.parse_routines(inputs.close_scripts(spark, sf))
+    return parsed.select("s_suppkey", "pos", "kind", "schema", "name", "body", "comment")
+
+
+@query
+def statement_census(spark, sf):
+    scripts = inputs.close_scripts(spark, sf)
+    census = (
+        routines.extract_routines(scripts).select("s_suppkey", F.lit("routine").alias("is"))
+        .unionByName(routines.extract_comments(scripts).select("s_suppkey", F.lit("comment").alias("is")))
+        .unionByName(routines.rejects(scripts).select("s_suppkey", F.concat(F.lit("rejected "), "verb").alias("is")))
+    )
+    return census.groupBy("s_suppkey", "is").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def fold_two_catalogs(spark, sf):
     folded = catalog.fold_catalog_rows(inputs.two_catalogs(spark, sf).drop("p_size"), by=("catalog",))

@@ -88,6 +88,11 @@ CASES = {
     "quoted_type": 'CREATE FUNCTION f(_a "My Type") RETURNS "My Type" LANGUAGE sql AS $$ 1 $$;',
     "comment_behind_word": "CREATE FUNCTION/* note */ app.f() RETURNS int LANGUAGE sql AS $$ 1 $$;",
     "line_comment_behind_word": "CREATE PROCEDURE--note\napp.p() LANGUAGE sql AS $$ 1 $$;",
+    "close_words": """CREATE FUNCTION/**/f(_a int) RETURNS int LANGUAGE sql AS $$ 1 $$; CREATE/**/FUNCTION g() RETURNS int LANGUAGE sql AS $$ 2 $$;
+        CREATE FUNCTION"Foo"(int) RETURNS int LANGUAGE sql AS $$ 3 $$; CREATE OR/* x */REPLACE--y
+PROCEDURE"s"."P"() LANGUAGE sql AS $$ 4 $$;
+        COMMENT ON/**/FUNCTION f(int)IS'one'; COMMENT ON FUNCTION"Foo"(integer) IS 'of other types'; COMMENT ON PROCEDURE/**/s."P"() IS 'four';
+        COMMENT/**/ON/**/FUNCTION/**/g()/**/IS/**/'two';""",
     "control_chars": "CREATE FUNCTION f(_a int) RETURNS int LANGUAGE sql AS $$ \x010\x02 $$; -- \x013\x02",
     "control_chars_outside": "CREATE FUNCTION f(_a \x03int, _b \x017\x02) RETURNS int LANGUAGE sql AS $$ 1 $$;",
     "garbage": "CREATE FUNCTION f(= 5, DEFAULT, , IN , a b c d, \"q\" \"t\") RETURNS LANGUAGE AS BEGIN ATOMIC SET COST; COMMENT ON FUNCTION f() IS ; CREATE FUNCTION g(( RETURNS",

@@ -1,10 +1,12 @@
 """Whole large texts: no prefix, no depth or stack limit."""
 
 import json
+import pickle
 
 from pyspark.sql import functions as F
 
 from driftspark.functions import clean_dump_text, mask_secret, normalize_text, strip_sql_comments
+from driftspark.functions.scan import routine_statements
 from driftspark.operators import jsondocs, routines, settings
 
 
@@ -20,6 +22,26 @@ def test_one_script_with_many_routines(spark):
     assert {tuple(r) for r in rows} == {(i, f"f_{i}", f" {i} ", f"c{i}") for i in range(n)}
 
 
+def recreated(n):
+    return "".join(
+        f"CREATE OR REPLACE FUNCTION s.f(_a int, _b text) RETURNS int LANGUAGE sql AS $$ {i} $$;\n"
+        f"COMMENT ON FUNCTION s.f(int, text) IS 'c{i}';\n"
+        for i in range(n)
+    )
+
+
+def test_one_routine_re_created_again_and_again(spark):
+    """A definition carries one remark, so a script's rows grow with its length."""
+    sizes = []
+    for n in (2000, 4000):
+        found = routine_statements(recreated(n))
+        sizes.append(len(pickle.dumps([row[1:] for row in found])))
+        assert {row[5] for row in found if row[0] == "create"} == {(f"'c{n - 1}'", False)}
+    assert sizes[1] < 2.2 * sizes[0]
+    df = spark.createDataFrame([(1, recreated(4000))], "script_id int, text string")
+    assert {r.comment for r in routines.parse_routines(df).select("comment").collect()} == {"c3999"}
+
+
 def test_long_parts(spark):
     long = "select 1; -- it''s\n" * 100_000
     many = ", ".join(f"_p{i} integer DEFAULT {'(' * 50}{i}{')' * 50}" for i in range(2000))

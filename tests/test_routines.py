@@ -3,6 +3,7 @@
 import pytest
 from cases import CASES
 
+from driftspark.functions.scan import routine_statements
 from driftspark.operators import routines as ops
 
 @pytest.fixture(scope="module")
@@ -41,6 +42,36 @@ def test_names(parsed):
     assert parsed["dynamic"][0]["comment"] is None
 
 
+def test_words_without_blanks_between(parsed):
+    assert names(parsed["close_words"]) == [
+        ("function", None, "f"), ("function", None, "g"), ("function", None, "Foo"), ("procedure", "s", "P"),
+    ]
+    assert [r["comment"] for r in parsed["close_words"]] == ["one", "two", None, "four"]
+    assert [r["body"] for r in parsed["close_words"]] == [" 1 ", " 2 ", " 3 ", " 4 "]
+
+
+@pytest.fixture(scope="module")
+def counted(spark):
+    """Of each case: how many routines, comments, rejects and statements."""
+    scripts = spark.createDataFrame(list(CASES.items()), "script_id string, text string")
+    kinds = (ops.extract_routines(scripts), ops.extract_comments(scripts), ops.rejects(scripts))
+    counts = [{r.script_id: r["count"] for r in df.groupBy("script_id").count().collect()} for df in kinds]
+    return {name: ([c.get(name, 0) for c in counts], len(routine_statements(text or ""))) for name, text in CASES.items()}
+
+
+def test_every_statement_is_somewhere(counted):
+    for name, (counts, statements) in counted.items():
+        assert sum(counts) == statements, name
+
+
+def test_comment_index_agrees_with_the_join(spark, parsed):
+    """The scanner's index and the join by name and types give every routine the same comment."""
+    scripts = spark.createDataFrame(list(CASES.items()), "script_id string, text string")
+    joined = ops.attach_comments(ops.extract_routines(scripts), ops.extract_comments(scripts), ["script_id"])
+    got = {(r.script_id, r.pos): r.comment for r in joined.collect()}
+    assert got == {(name, r["pos"]): r["comment"] for name, found in parsed.items() for r in found}
+
+
 def test_parameters(parsed):
     assert params(parsed["modes"][0]) == [
         ("in", "_a", "integer"), ("out", "_b", "numeric"), ("inout", "_c", "text"),
