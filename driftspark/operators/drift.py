@@ -1,5 +1,7 @@
 """Desired (scripted) against actual (deployed) routines: pairing and field-by-field differences."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,20 +135,28 @@ def match_routines(desired: DataFrame, actual: DataFrame, by: tuple[str, ...] =
     A signature is unique within one catalog, which `by` has to tell apart; the desired side may
     repeat, and each of its rows is kept. All pairing is decided on one row per signature. Rows that
     may repeat meet it in an inner join at the end, of which AQE can split either side.
+
+    Each side is worked out once: both joins that read the desired rows are merge joins by the same keys
+    and need whole rows, so the second one reads the shuffle that the first one has written.
     """
     names = [*by, "schema", "name"]
     keys = [*names, "signature"]
-    wanted = desired.select(
+    # A row without a name or schema pairs with nothing; saying so here gives both joins the same input.
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in keys])
+    wanted = desired.where(known).select(
         *keys, F.struct(*[c for c in desired.columns if c not in keys]).alias("desired")
     )
-    found = actual.select(
+    found = actual.where(known).select(
         *keys, F.struct(*[c for c in actual.columns if c not in keys]).alias("actual")
     )
-    sides = (
-        desired.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("definitions"))
-        .join(found, keys, "full_outer")
+    # The hash has no other use than to read whole rows, as the join at the end does.
+    defined = (
+        wanted.hint("merge").join(found.select(*keys, F.xxhash64("actual").alias("_found")), keys, "left")
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("definitions"), F.max(F.xxhash64("desired", "_found")).alias("_whole"))
+        .where("_whole is not null")
     )
+    sides = defined.hint("merge").join(found, keys, "full_outer")
     lone_desired, lone_actual = F.col("actual").isNull(), F.col("definitions").isNull()
     renamed = (
         sides.where(lone_desired | lone_actual)
@@ -169,7 +179,7 @@ def match_routines(desired: DataFrame, actual: DataFrame, by: tuple[str, ...] =
         .alias("match"),
         F.coalesce("actual", "partner").alias("actual"),
     )
-    paired = wanted.join(decided.where("wanted"), keys).select(*keys, "match", "desired", "actual")
+    paired = wanted.hint("merge").join(decided.where("wanted"), keys).select(*keys, "match", "desired", "actual")
     extra = decided.where("not wanted and match is not null").select(*keys, "match", "actual")
     return paired.unionByName(extra, allowMissingColumns=True)
 

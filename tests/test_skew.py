@@ -149,3 +149,13 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = plan_of(queries.QUERIES["duplicate_bodies"](spark, "/root/testdata/sf0.001"))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     assert "IsNotNull(text)" in plan
+
+
+def test_scripts_are_scanned_once(spark):
+    """Pairing reads the scripts' compact rows twice, the second time from the first one's shuffle."""
+    from driftspark.workload import queries
+
+    df = queries.QUERIES["drift_report"](spark, "/root/testdata/sf0.001")
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert final.count("ArrowEvalPython") == 1 and "ReusedExchange" in final
