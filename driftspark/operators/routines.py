@@ -7,7 +7,7 @@ expressions, each of them evaluated once per statement.
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspark.functions.scan import (
@@ -225,6 +225,18 @@ def _read_definitions(statements: DataFrame) -> DataFrame:
     )
 
 
+def renumbered(found: DataFrame, by: list[str], piece: str = "piece") -> DataFrame:
+    """`pos` counted over the pieces of a script, of which `by` names the columns, instead of within each; `piece` goes.
+
+    Works on what `extract_routines` or `extract_comments` found in pieces; counts are one row per piece.
+    """
+    before = Window.partitionBy(*by).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    counts = found.groupBy(*by, piece).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    columns = [(F.col("pos") + F.col("_before")).cast("int").alias("pos") if c == "pos" else F.col(c) for c in found.columns if c != piece]
+    return found.join(counts, [*by, piece]).select(*columns)
+
+
 def extract_parameters(routines: DataFrame) -> DataFrame:
     """One row per parameter of extracted routines."""
     return routines.select(

@@ -1,4 +1,4 @@
-"""Readers and the one writer. Whole-text files become one row each."""
+"""Readers and the one writer. Whole-text files become one row each; `ranges` reads large ones by many tasks."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from driftspark.functions.text import parse_pg_array
 from driftspark.operators.jsondocs import split_jsonc
 from driftspark.schemas import CATALOG_COLUMNS
+from driftspark.sources.ranges import export_records, numbered_lines
 
 BOOLEANS = ["return_setof", "strict", "security_definer", "leakproof"]
 NUMBERS = {"routine_oid": "long", "param_ord": "int", "cost": "double", "rows": "double"}
@@ -18,18 +19,18 @@ def _whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_script_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """SQL files below `path` as rows (path, text)."""
+    """SQL files below `path` as rows (path, text). `script_pieces` splits files too large for one row."""
     return _whole_files(spark, path)
 
 
 def read_catalog_rows(
-    spark: SparkSession, path: str, fmt: str = "csv", catalog: str | None = None
+    spark: SparkSession, path: str, fmt: str = "csv", catalog: str | None = None, split: bool = False
 ) -> DataFrame:
     """Flat catalog rows from an export: ``|``-separated quoted CSV without header, or parquet.
 
     In CSV, ``t`` is true, an empty field is NULL, numbers that cannot be read are NULL, and config
-    is an array literal. Values may hold line ends, so a CSV file is read by one task; parquet suits
-    large exports better.
+    is an array literal. Values may hold line ends, so a CSV file is read by one task; with `split`, a large
+    one is read by many, at the cost of reading it twice more to find where its records begin.
 
     Exports of several catalogs need `catalog`, the name of a column that tells them apart (the `by` of
     the operators): a column or partition of that name, or else the name of a CSV file without its
@@ -37,20 +38,21 @@ def read_catalog_rows(
     """
     source = r"([^/]+?)(?:\.[^./]*)?$" if fmt == "csv" else r"([^/]+)/[^/]*$"
 
-    def named(df):
+    def named(df, file="_metadata.file_path"):
         if catalog is None or catalog in df.columns:
             return df
-        return df.withColumn(catalog, F.regexp_extract("_metadata.file_path", source, 1))
+        return df.withColumn(catalog, F.regexp_extract(file, source, 1))
 
     kept = CATALOG_COLUMNS if catalog is None else [*CATALOG_COLUMNS, catalog]
     if fmt != "csv":
         return named(spark.read.format(fmt).load(path)).select(*kept)
     schema = ", ".join(f"`{c}` string" for c in CATALOG_COLUMNS)
-    text = named(
-        spark.read.schema(schema)
-        .options(sep="|", quote='"', escape='"', multiLine="true", nullValue="", emptyValue="")
-        .csv(path)
-    )
+    options = {"sep": "|", "quote": '"', "escape": '"', "nullValue": "", "emptyValue": ""}
+    if split:
+        records = export_records(spark, path).select("file", F.from_csv("text", schema, options).alias("r"))
+        text = named(records.select("file", "r.*"), "file")
+    else:
+        text = named(spark.read.schema(schema).options(multiLine="true", **options).csv(path))
     empty = {c: F.nullif(F.col(c), F.lit("")) for c in [*OPTIONAL, *NUMBERS]}
     return text.withColumns(
         {
@@ -63,11 +65,8 @@ def read_catalog_rows(
 
 
 def read_toc(spark: SparkSession, path: str) -> DataFrame:
-    """Listing files as lines (file, pos, line); the position is the line number from 0."""
-    files = _whole_files(spark, path)
-    return files.select(
-        F.col("path").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
-    )
+    """Listing files as lines (file, pos, line); the position is the line number from 0. A large file is read by many tasks."""
+    return numbered_lines(spark, path)
 
 
 def read_jsonc(spark: SparkSession, path: str) -> DataFrame:
