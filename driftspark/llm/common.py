@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Odd multiplier and byte values of the rolling hash; any fixed odd and random numbers do.
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Byte values of the words' hash, and odd weights of places within a word; any fixed random numbers do.
 _VALUES = np.random.default_rng(20240501).integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_WEIGHTS = np.random.default_rng(20240502).integers(1, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
+#: Bytes whose hashes are worked out together, whatever the length of a text.
+_BLOCK = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,17 +63,6 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _BASE and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for k, base in enumerate((_BASE, inverse)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: every bit of the result depends on every bit of `x`."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -106,12 +96,30 @@ class Words:
         self.n_docs = len(offsets) - 1
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word; equal words have equal hashes."""
-        power, inverse = _power_tables(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_VALUES[self.data] * power[: len(self.data)], out=total[1:])
-        length = (self.end - self.start).astype(np.uint64)
-        return mix((total[self.end] - total[self.start]) * inverse[self.start] + length * np.uint64(0xD6E8FEB86659FD93))
+        """A 64-bit hash of each word; equal words have equal hashes. Worked out block by block, so that a long text
+        takes no more memory than its words' places do."""
+        total = np.zeros(len(self.start), np.uint64)
+        i = 0
+        while i < len(total):
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + _BLOCK, "right")))
+            if j == i + 1:  # a word that may be longer than a block
+                for at in range(int(self.start[i]), int(self.end[i]), _BLOCK):
+                    part = self.data[at : min(at + _BLOCK, int(self.end[i]))]
+                    total[i:j] += (_VALUES[part] * _weights(np.arange(at, at + len(part)) - self.start[i])).sum(dtype=np.uint64)
+            else:
+                low, high = int(self.start[i]), int(self.end[j - 1])
+                place = np.arange(low, high) - np.repeat(self.start[i:j], np.diff(np.append(self.start[i:j], high)))
+                value = np.append(_VALUES[self.data[low:high]] * _weights(place), np.uint64(0))
+                cuts = np.stack([self.start[i:j], self.end[i:j]], axis=1).ravel() - low
+                total[i:j] = np.add.reduceat(value, cuts)[::2]
+            i = j
+        return mix(total + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _weights(place: np.ndarray) -> np.ndarray:
+    """An odd number for each place within a word."""
+    near = _WEIGHTS[place & 4095]
+    return near if not len(place) or int(place.max()) < 4096 else near * (mix(_WEIGHTS[0] * (place >> 12).astype(np.uint64)) | np.uint64(1))
 
 
 def lower_ascii() -> np.ndarray:
@@ -135,7 +143,7 @@ def alphanumeric() -> np.ndarray:
     return out
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Parts of a batch whose texts take about `most` bytes together, so that work arrays stay small. A long text is a part."""
     sizes = np.diff(buffers(batch.column(batch.schema.get_field_index(column)))[1])
     begin = total = 0
