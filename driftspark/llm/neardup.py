@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspark.llm.common import Words, bitmap, blank_separated, in_bitmap, lower_ascii, mix, slices, split, staged
@@ -274,27 +274,29 @@ def left_apart(dense: DataFrame, reps: DataFrame, roots: DataFrame, sets: DataFr
     rooted = reps.select("node", "n", "sig").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = (
         dense.join(rooted, "node").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-        .where(F.expr("shiftright(trees, tree) & 1 = 1")).drop("trees").withColumn("prefix", prefix)
+        .where(F.expr("shiftright(trees, tree) & 1 = 1")).withColumn("prefix", prefix)
     )
     sizes = members.groupBy("tree", "prefix", "root").agg(F.count(F.lit(1)).alias("size"))
     regions = sizes.groupBy("tree", "prefix").agg(F.sum("size").alias("all"), F.max(F.struct("size", "root")).alias("top")).where("all > top.size")
     regions = regions.select("tree", "prefix", F.col("top.root").alias("top"), blocks(F.col("all")).alias("m"), blocks(F.col("all") - F.col("top.size")).alias("k"))
     inside = staged(members.join(regions, ["tree", "prefix"]))
     outside = inside.where("root <> top").select("node").distinct().join(sets, "node")
-    columns = ["tree", "prefix", "row", "col", "role", "node", "root", "top", "n", "sig", "items"]
+    columns = ["tree", "prefix", "row", "col", "role", "node", "root", "top", "n", "sig", "trees", "items"]
     whole = inside.join(outside, "node", "left")
     one = whole.withColumns({"row": in_block("m", 1), "role": F.lit(0)}).withColumn("col", every("k")).select(columns)
     other = whole.where("root <> top").withColumns({"col": in_block("k", 2), "role": F.lit(1)}).withColumn("row", every("m")).select(columns)
 
     def compare(group: pa.Table) -> pa.Table:
         tree, role, top = group["tree"][0].as_py(), group["role"].to_numpy(), group["top"][0].as_py()
-        node, root, n = (group[c].to_numpy() for c in ("node", "root", "n"))
+        node, root, n, dense_in = (group[c].to_numpy() for c in ("node", "root", "n", "trees"))
         sig = np.frombuffer(b"".join(group["sig"].to_pylist()), ">u2").reshape(len(node), TREES * DEPTH)
         items = _items(group["items"].to_pylist())
         left, a, b, asks = np.flatnonzero(role == 0), [], [], []
         for i in np.flatnonzero(role == 1):
             same = sig[left] == sig[i]
-            earlier = same[:, : tree * DEPTH].reshape(len(left), tree, DEPTH)[:, :, :LEAST].all(axis=2).any(axis=1)  # met there already
+            # met already in an earlier tree, where both are in one such region
+            alike = same[:, : tree * DEPTH].reshape(len(left), tree, DEPTH)[:, :, :LEAST].all(axis=2)
+            earlier = (alike & ((dense_in[left][:, None] & dense_in[i]) >> np.arange(tree) & 1 == 1)).any(axis=1)
             ok = left[(same.mean(axis=1) >= least) & (root[left] != root[i]) & ~earlier & (5 * n[left] >= 4 * n[i]) & (5 * n[i] >= 4 * n[left])]
             near = ok[root[ok] != top]
             linked = near[_links_to(items[i], [items[j] for j in near], percent)]
@@ -330,6 +332,27 @@ def left_apart(dense: DataFrame, reps: DataFrame, roots: DataFrame, sets: DataFr
     return found.where("not ask").select("a", "b").union(joined)
 
 
+def _joined(pairs: DataFrame, reps: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Roots once all candidates that lie between two components are decided, in rounds.
+
+    A round looks at the few best candidates of each two components, and joins those that a link is found between; what
+    has become inner need not be looked at any more. Every round takes eight times as many, so that unlinked components,
+    of which all candidates have to be looked at, need few rounds.
+    """
+    most = 1
+    between = Window.partitionBy("low", "high").orderBy(F.desc("shared"), "a", "b")
+    while True:
+        apart = _rooted(pairs, roots).where("ra <> rb").withColumns({"low": F.least("ra", "rb"), "high": F.greatest("ra", "rb")})
+        now = apart.withColumn("rank", F.row_number().over(between)).where(F.col("rank") <= most).select("a", "b", "shared")
+        now = staged(now)
+        if now.isEmpty():
+            return roots
+        more = confirmed(_likely(now, reps, percent / 100 - 0.15), sets, percent)
+        roots = components(_as_links(roots).union(more))
+        pairs = staged(apart.select("a", "b", "shared").join(now, ["a", "b"], "left_anti"))
+        most *= 8
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row.
 
@@ -352,9 +375,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id
     ends = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "shared").union(pairs.select("b", "a", "shared"))
     nearest = ends.groupBy("u").agg(F.max(F.struct("shared", "v")).alias("x")).select(F.least("u", "x.v").alias("a"), F.greatest("u", "x.v").alias("b")).distinct()
     roots = components(confirmed(nearest, sets, percent))
-    apart = _rooted(pairs.select("a", "b"), roots).where("ra <> rb").select("a", "b")
-    more = confirmed(_likely(apart, reps, percent / 100 - 0.15), sets, percent)
-    roots = components(_as_links(roots).union(more))
+    roots = _joined(pairs, reps, roots, sets, percent)
     dense = found.where("a = b").select(F.col("a").alias("node"), "trees")
     rest = staged(left_apart(dense, reps, roots, sets, percent, percent / 100 - 0.15))
     if not rest.isEmpty():
