@@ -333,24 +333,20 @@ def left_apart(dense: DataFrame, reps: DataFrame, roots: DataFrame, sets: DataFr
 
 
 def _joined(pairs: DataFrame, reps: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Roots once all candidates that lie between two components are decided, in rounds.
+    """Roots once all candidates that lie between two components are decided, in two rounds.
 
-    A round looks at the few best candidates of each two components, and joins those that a link is found between; what
-    has become inner need not be looked at any more. Every round takes eight times as many, so that unlinked components,
-    of which all candidates have to be looked at, need few rounds.
+    The first looks at the best candidate of each two components, which joins nearly all that belong together; what has
+    become inner need not be looked at any more. The second looks at all that still lie between two components.
     """
-    most = 1
     between = Window.partitionBy("low", "high").orderBy(F.desc("shared"), "a", "b")
-    while True:
-        apart = _rooted(pairs, roots).where("ra <> rb").withColumns({"low": F.least("ra", "rb"), "high": F.greatest("ra", "rb")})
-        now = apart.withColumn("rank", F.row_number().over(between)).where(F.col("rank") <= most).select("a", "b", "shared")
-        now = staged(now)
-        if now.isEmpty():
-            return roots
-        more = confirmed(_likely(now, reps, percent / 100 - 0.15), sets, percent)
+    for best in (True, False):
+        apart = _rooted(pairs, roots).where("ra <> rb")
+        if best:
+            apart = apart.withColumns({"low": F.least("ra", "rb"), "high": F.greatest("ra", "rb")})
+            apart = apart.withColumn("rank", F.row_number().over(between)).where("rank = 1")
+        more = confirmed(_likely(apart.select("a", "b"), reps, percent / 100 - 0.15), sets, percent)
         roots = components(_as_links(roots).union(more))
-        pairs = staged(apart.select("a", "b", "shared").join(now, ["a", "b"], "left_anti"))
-        most *= 8
+    return roots
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
