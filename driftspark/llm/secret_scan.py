@@ -173,17 +173,19 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.01, keep: list[str] | None = None) -> DataFrame:
-    """(id, spans, [kept columns]) of every row; spans is an array of (s, k, e), sorted, ends exclusive, in code points.
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.01, keep: list[str] | None = None, out: str = "spans") -> DataFrame:
+    """(id, [kept columns], spans) of every row; `out` names the spans, where a kept column has that name. They are an array of (s, k, e), sorted, ends exclusive, in code points.
 
     k is the place in KINDS, or len(KINDS) for strings that only the battery found; those overlap no fixed span. Null and
     empty texts have no spans; repeated rows come back repeated; other columns are passed on only if `keep` names them.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    others = [c for c in keep or [] if c != id_col]
-    rows = docs.select(id_col, *others, base_spans(text).alias("base"), random_looking(text).alias("random"))
+    others = [id_col, *(c for c in keep or [] if c != id_col)]
+    given = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])  # their names may be any
+    rows = docs.select(given.alias("given"), base_spans(text).alias("base"), random_looking(text).alias("random"))
     free = lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"]))
     rows = staged(rows.withColumn("random", F.filter("random", free)))
     limit = discovery_limit(rows.select(F.size("random").alias("tests"), F.transform("random", _weighted).alias("steps")), rate)
     added = F.transform(F.filter("random", lambda m: _weighted(m) >= limit), lambda m: F.struct(m["s"].alias("s"), F.lit(len(KINDS)).alias("k"), m["e"].alias("e")))
-    return rows.select(id_col, *others, F.array_sort(F.concat("base", added)).alias("spans"))
+    named = [F.col(f"given.c{i}").alias(c) for i, c in enumerate(others)]
+    return rows.select(*named, F.array_sort(F.concat("base", added)).alias(out))

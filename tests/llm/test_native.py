@@ -171,3 +171,17 @@ def test_empty_tables(spark):
 def test_plans_run_no_python(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_secrets_with_clashing_columns(spark):
+    """Columns named like the operator's own pass through the stage of the pipeline."""
+    import corpus_pipeline
+
+    names = ["base", "random", "spans", "given", "secret spans"]
+    rows = [(1, "password = abcdefgh12345678 x", 29, *names), (2, None, 0, *names), (None, "clean words", 11, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, " + ", ".join(f"`{n}` string" for n in names))
+    left = corpus_pipeline.without_secrets(spark, docs, "")
+    assert left.columns == docs.columns
+    got = {r["doc_id"]: tuple(r)[1:] for r in left.collect()}
+    assert "abcdefgh12345678" not in got[1][0] and got[1][1] == len(got[1][0])
+    assert got[2] == (None, 0, *names) and got[None] == ("clean words", 11, *names)
