@@ -33,11 +33,14 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mark; n_chars follows the text."""
-    found = secret_scan.scan_secrets(docs, keep=docs.columns).withColumn("text", secret_scan.redacted(F.col("text"), F.col("spans")))
+    """All documents, their secrets replaced by a mark; n_chars follows the text. Other columns may have any names."""
+    spans = "secret spans"
+    while spans in docs.columns:
+        spans += "_"
+    found = secret_scan.scan_secrets(docs, keep=docs.columns, out=spans).withColumn("text", secret_scan.redacted(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, length).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.size(spans) > 0, length).otherwise(F.col("n_chars")))
     return found.select(docs.columns)
 
 
