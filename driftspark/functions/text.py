@@ -45,6 +45,24 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(normalize_text(text), 256)
 
 
+# Comments, then what keeps its case and blanks: escape literals, literals, quoted names, dollar quotes; then code.
+_KEPT = r"""(?<![\w$])[eE]'[^'\\]*+(?:(?:\\[\s\S]|'')[^'\\]*+)*+'|'[^']*+(?:''[^']*+)*+'|"[^"]*+(?:""[^"]*+)*+"|(?<![\w$])(\$(?:[A-Za-z_]\w*+)?\$)[\s\S]*?\1"""
+_PIECE = rf"""--[^\n]*+\s*+|/\*[\s\S]*?\*/|{_KEPT}|[^-/$'"eE]++|[\s\S]"""
+
+
+def literal_safe_text(text: Column) -> Column:
+    """`normalize_text` outside of literals, quoted names and dollar quotes, which stay as they are."""
+    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+    kept = lambda piece: piece.rlike(rf"^(?:{_KEPT})$")
+    folded = lambda piece: F.regexp_replace(F.lower(piece), r"[^\x21-\x7e]+", " ")
+    return F.trim(F.array_join(F.transform(pieces, lambda piece: F.when(kept(piece), piece).otherwise(folded(piece))), ""))
+
+
+def literal_safe_fingerprint(text: Column) -> Column:
+    """SHA-256 of `literal_safe_text`: bodies that differ within a literal differ, other than by `fingerprint`."""
+    return F.sha2(literal_safe_text(text), 256)
+
+
 def mask_secret(conn: Column) -> Column:
     """Replace the value of the first ``Password=`` of a connection string by ``****``."""
     return F.regexp_replace(conn, r"(?is)^(.*?)(Password\s*=\s*)([^;]*)", "$1$2****")

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.functions.text import fingerprint
+from driftspark.functions.text import fingerprint, literal_safe_fingerprint
 from driftspark.operators.routines import resolve_attributes
 
 # Other spellings of built-in type names.
@@ -229,15 +229,17 @@ def diff_comments(matched: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_bodies(df: DataFrame, key: str, body: str) -> DataFrame:
+def duplicate_bodies(df: DataFrame, key: str, body: str, literals: bool = False) -> DataFrame:
     """Groups of rows whose bodies have the same fingerprint: count and smallest key.
 
+    With `literals`, case and blanks within literals and quoted names count.
+
     The hash is taken before the shuffle and counts are combined map-side, so a body that a third
     of all rows share costs one row per task.
     """
     return (
         df.where(F.col(body).isNotNull())
-        .select(F.col(key), fingerprint(F.col(body)).alias("fingerprint"))
+        .select(F.col(key), (literal_safe_fingerprint if literals else fingerprint)(F.col(body)).alias("fingerprint"))
         .groupBy("fingerprint")
         .agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("first_key"))
         .where("copies > 1")

@@ -290,6 +290,18 @@ def close_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt(table(spark, sf_dir, "supplier"), "s_suppkey").select("s_suppkey", filled_column(CLOSE_SCRIPT).alias("text"))
 
 
+# Bodies alike but for the case of code, blanks and comments' case, and some also within a literal.
+BODY = "{word} {p_brand}.\"Total {p_size}\"  FROM\tt -- {word}   \n WHERE x = '{said}  it''s' AND y = $q${said}$q$"
+BODY_WORD = "CASE WHEN p_partkey % 2 = 0 THEN 'SELECT' ELSE 'select' END"
+BODY_SAID = "CASE WHEN p_partkey % 3 = 0 THEN upper(p_type) ELSE lower(p_type) END"
+
+
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, body)."""
+    body = filled_column(BODY, word=F.expr(BODY_WORD), said=F.expr(BODY_SAID))
+    return table(spark, sf_dir, "part").select("p_partkey", body.alias("body"))
+
+
 def two_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat rows of two catalogs with equal oids, two parameters for each routine."""
     parts = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size", "explode(array('a', 'b')) AS catalog")

@@ -313,6 +313,12 @@ ORACLE = {
     "statement_census": """
         SELECT s_suppkey, c.kind AS "is", c.n AS n
         FROM supplier, (VALUES ('routine', 5), ('comment', 5), ('rejected create', 1), ('rejected comment', 1)) AS c(kind, n)""",
+    "duplicate_bodies_by_literals": """
+        SELECT sha256('select ' || lower(p_brand) || '."Total ' || p_size || '" from t -- select where x = ' || chr(39) || said
+                || '  it' || chr(39) || chr(39) || 's' || chr(39) || ' and y = $q$' || said || '$q$')
+                AS fingerprint, count(*) AS copies, min(p_partkey) AS first_key
+        FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN upper(p_type) ELSE lower(p_type) END AS said FROM part)
+        GROUP BY p_brand, p_size, said HAVING count(*) > 1""",
     "fold_two_catalogs": """
         SELECT p_partkey AS routine_oid, c.catalog AS catalog, 'fn_' || p_partkey || c.catalog AS name, 2 AS n_parameters
         FROM part, (VALUES ('a'), ('b')) AS c(catalog)""",

@@ -54,6 +54,11 @@ def duplicate_bodies(spark, sf):
     return drift.duplicate_bodies(table(spark, sf, "documents"), "doc_id", "text")
 
 
+@query
+def duplicate_bodies_by_literals(spark, sf):
+    return drift.duplicate_bodies(inputs.bodies(spark, sf), "p_partkey", "body", literals=True)
+
+
 @query
 def mask_secret_(spark, sf):
     conn = F.expr(
