@@ -1,5 +1,7 @@
 """Settings work: key/value strings, placeholders, layers, file references, versions."""
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,9 +112,10 @@ def resolve_placeholders(templates: DataFrame, dictionary: DataFrame, col: str)
 
 
 def layered_merge(layers: DataFrame, by: tuple[str, ...] = ("section", "key")) -> DataFrame:
-    """Per key, the value of the highest layer that has the key, be it empty."""
+    """Per key, the value of the highest layer that has the key, be it empty; of several in one layer the largest."""
+    ranked = F.when(F.col("layer_rank").isNotNull(), F.struct("layer_rank", "value"))
     return layers.groupBy(*by).agg(
-        F.max_by("value", "layer_rank").alias("value"), F.max("layer_rank").alias("layer_rank")
+        F.max_by("value", ranked).alias("value"), F.max("layer_rank").alias("layer_rank")
     )
 
 
@@ -124,9 +127,14 @@ def missing_keys(
 
 
 def first_seen(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Distinct by key, keeping all columns of the first row by `order`."""
+    """Distinct by key, keeping all columns of the first row by `order`; of equal ones the least by the other columns.
+
+    Columns that have no order (maps, variants, and what holds them) do not decide.
+    """
     rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.col(order)).alias("_first")
+    ordered = [c for c in rest if c != order and not re.search(r"\b(?:map|variant)\b", df.schema[c].dataType.simpleString())]
+    ranked = F.when(F.col(order).isNotNull(), F.struct(order, *ordered))
+    first = F.min_by(F.struct(*rest), ranked).alias("_first")
     return df.groupBy(*keys).agg(first).select(*keys, "_first.*")
 
 

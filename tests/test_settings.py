@@ -73,3 +73,11 @@ def test_outdated(spark):
     latest = spark.createDataFrame([("a", "v3.10.0"), ("b", "3.10.0"), ("c", "3.9.9")], "name string, latest string")
     rows = {r.name: r.status for r in ops.outdated(installed, latest).collect()}
     assert rows == {"a": "latest", "b": "update", "c": None, "d": None}
+
+
+def test_ties_are_decided_by_values(spark):
+    rows = [("s", "k", 1, v) for v in ("b", "a", None, "c")] + [("s", "k", 0, "z"), ("s", "n", None, "x")]
+    layers = spark.createDataFrame(rows, "section string, key string, layer_rank int, value string").repartition(4)
+    assert {(r.key, r.value) for r in ops.layered_merge(layers).collect()} == {("k", "c"), ("n", None)}
+    seen = spark.createDataFrame([(1, 5, "b", {"x": 1}), (1, 5, "a", {"x": 2}), (1, 6, "0", {}), (2, None, "q", {})], "k int, o int, v string, m map<string,int>")
+    assert {(r.k, r.v) for r in ops.first_seen(seen.repartition(4), ["k"], "o").where("k = 1").collect()} == {(1, "a")}

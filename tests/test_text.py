@@ -13,6 +13,7 @@ from driftspark.functions import (
     parse_pg_array,
     strip_sql_comments,
 )
+from driftspark.functions.text import literal_safe_text
 from driftspark.operators.toc import clean_dump_lines
 
 
@@ -100,3 +101,13 @@ def test_clean_dump_lines(spark):
     )
     (row,) = clean_dump_lines(spark.createDataFrame([(sql,)], "text string")).collect()
     assert row.text.split("\n") == ["CREATE FUNCTION f()", "  SET x = 1", "ALTER TABLE t OWNER TO me;", ""]
+
+
+def test_literal_safe_fingerprint(spark):
+    """Case and blanks count within literals, quoted names and dollar quotes, and nowhere else."""
+    texts = ["SELECT  'A  b' FROM T -- It's\n;", "select 'A  b' from t -- it's\n\n ;", "select 'a  b' from t -- it's\n;", 'select "A"', 'SELECT\t"A"', 'select "a"',
+             "do $x$ A $x$", "DO  $x$ A $x$", "do $x$ a $x$", "select E'A\\' B'", "SELECT E'A\\' B'", "select 'open A", "SELECT 'open a", "a/* It's */b", "", None]
+    got = column(spark, texts, literal_safe_text)
+    assert got[0] == got[1] == "select 'A  b' from t -- it's ;" and got[2] == "select 'a  b' from t -- it's ;"
+    assert got[3] == got[4] != got[5] and got[6] == got[7] != got[8] and got[9] == got[10] == "select E'A\\' B'"
+    assert got[11] == got[12] == "select 'open a" and got[13:] == ["a/* it's */b", "", None]
