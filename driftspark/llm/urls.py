@@ -16,6 +16,8 @@ from driftspark.llm.common import staged
 #: Stands for what is before a URL; no URL holds it.
 PAD = "\u0002"
 END = "\u0003"
+#: Characters of a URL that one row holds while it is cut up.
+RUN = 1024
 
 
 def host_of(url: Column) -> Column:
@@ -37,10 +39,21 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
     return rule, verdict
 
 
-def _grams(text: Column, order: int) -> Column:
-    """Every character of a text and of its end, each behind its `order` characters before it."""
-    padded = F.concat(F.lit(PAD * order), text, F.lit(END))
-    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substr(padded, i, F.lit(order + 1)))
+def _grams(texts: DataFrame, order: int, *kept: Column) -> DataFrame:
+    """(long, kept): every character of `text` and of its end, each behind its `order` characters before it.
+
+    A text is first cut into runs of `RUN` characters with what is before them, so that no row holds more than a run.
+    """
+    padded = F.concat(F.lit(PAD * order), "text", F.lit(END))
+    run = F.transform(F.sequence(F.lit(1), F.length("text") + 1, F.lit(RUN)), lambda i: F.substr(padded, i, F.lit(RUN + order)))
+    runs = texts.select(F.explode(run).alias("run"), *kept)
+    gram = F.transform(F.sequence(F.lit(1), F.length("run") - order), lambda i: F.substr("run", i, F.lit(order + 1)))
+    return runs.select(F.explode(gram).alias("long"), *[c for c in runs.columns if c != "run"])
+
+
+def _key(text: Column) -> list[Column]:
+    """128 bits that stand for a text, so that rows of characters need not carry it."""
+    return [F.xxhash64(text).alias("key_1"), F.xxhash64(F.lit(1), text).alias("key_2")]
 
 
 def _suffixes(gram: Column, order: int) -> Column:
@@ -51,7 +64,7 @@ def _suffixes(gram: Column, order: int) -> Column:
 def train(texts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
     """Counts of (gram, a, b) and (context, a, a_kinds, b, b_kinds) from distinct (text, a, b): how often each model saw it."""
     counts = staged(
-        texts.select(F.explode(_grams(F.col("text"), order)).alias("long"), "a", "b")
+        _grams(texts, order, F.col("a"), F.col("b"))
         .groupBy("long").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         .select(F.explode(_suffixes(F.col("long"), order)).alias("gram"), "a", "b")
         .groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
@@ -74,8 +87,8 @@ def _log_probability(levels: Column, model: str, alphabet: int) -> Column:
 
 
 def scored(texts: DataFrame, counts: DataFrame, contexts: DataFrame, order: int, alphabet: int = 128) -> DataFrame:
-    """(text, score): mean difference of log-likelihoods per character. Each distinct gram is looked up once."""
-    grams = texts.select("text", F.explode(_grams(F.col("text"), order)).alias("long"))
+    """(key_1, key_2, score): mean difference of log-likelihoods per character. Each distinct gram is looked up once."""
+    grams = _grams(texts, order, *_key(F.col("text")))
     parts = grams.select("long").distinct().select("long", F.posexplode(_suffixes(F.col("long"), order)).alias("k", "gram"))
     # by distinct grams, few of which share a short context
     level = (
@@ -89,16 +102,16 @@ def scored(texts: DataFrame, counts: DataFrame, contexts: DataFrame, order: int,
         .select("long", F.transform("levels", lambda x: x["x"]).alias("levels"))
         .select("long", (_log_probability(F.col("levels"), "a", alphabet) - _log_probability(F.col("levels"), "b", alphabet)).alias("gain"))
     )
-    return grams.join(single, "long").groupBy("text").agg(F.round(F.avg("gain"), 9).alias("score"))
+    return grams.join(single, "long").groupBy("key_1", "key_2").agg(F.round(F.avg("gain"), 9).alias("score"))
 
 
-def threshold(calibration: DataFrame, bins: int = 400, width: float = 0.01) -> float | None:
+def threshold(calibration: DataFrame, width: float = 0.01) -> float | None:
     """The score with the least balanced error over (score, allowed, n); None if either kind is missing.
 
-    Only counts by bin of the score come to the driver: `bins` on either side of zero, whatever the input.
+    Only counts by bin of the score come to the driver. A context takes at most the logarithm of its count off a
+    score, so there are some thousand bins at most, whatever the input.
     """
-    at = F.greatest(F.lit(-bins), F.least(F.lit(bins), F.floor(F.col("score") / width)))
-    rows = calibration.groupBy(at.alias("at")).agg(
+    rows = calibration.groupBy(F.floor(F.col("score") / width).alias("at")).agg(
         F.sum(F.when(F.col("allowed"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("allowed"), 0).otherwise(F.col("n"))).alias("b")
     ).orderBy("at").collect()
     all_a, all_b = sum(r["a"] for r in rows), sum(r["b"] for r in rows)
@@ -135,8 +148,9 @@ def url_verdicts(
     counts, contexts = train(counted, order)
     asked = distinct.where(F.col("by_rule").isNull() | held)
     scores = staged(scored(asked.select("text").distinct(), counts, contexts, order))
-    limit = threshold(asked.where(F.col("by_rule").isNotNull()).join(scores, "text").select("score", is_a.alias("allowed"), "n"))
-    open_rows = rows.where(F.col("by_rule").isNull()).withColumn("text", text).join(scores, "text", "left")
+    known = asked.where(F.col("by_rule").isNotNull()).select(*_key(F.col("text")), is_a.alias("allowed"), "n")
+    limit = threshold(known.join(scores, ["key_1", "key_2"]).select("score", "allowed", "n"))
+    open_rows = rows.where(F.col("by_rule").isNull()).select("*", text.alias("text"), *_key(text)).join(scores, ["key_1", "key_2"], "left")
     passes = F.lit(True) if limit is None else F.col("score") >= limit
     judged = open_rows.select(
         id_col, "host", "path", "rule",

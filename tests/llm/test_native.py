@@ -148,13 +148,26 @@ def test_scores_of_urls(spark):
     counted = [("good.org/a", (3, 0)), ("good.org/b", (1, 0)), ("spam.com/win", (0, 2)), ("spam.com/bet", (0, 1))]
     frame = spark.createDataFrame([(t, a, b) for t, (a, b) in counted], "text string, a long, b long")
     counts, contexts = urls.train(frame, 3)
-    asked = ["good.net/a", "spam.net/win", "zz", "", "spam.com/win"]
-    got = {r.text: r.score for r in urls.scored(spark.createDataFrame([(t,) for t in asked], "text string"), counts, contexts, 3).collect()}
+    asked = ["good.net/a", "spam.net/win", "zz", "", "spam.com/win", *["good.org/" + "spam.é" * 1000 + "x" * k for k in (0, 9, 10, 11)]]
+    asked += ["y" * k for k in (urls.RUN - 1, urls.RUN, urls.RUN + 1, 2 * urls.RUN)]
+    texts = spark.createDataFrame([(t,) for t in asked], "text string")
+    scores = urls.scored(texts, counts, contexts, 3)
+    got = {r.text: r.score for r in texts.select("text", *urls._key(texts.text)).join(scores, ["key_1", "key_2"]).collect()}
     for t in asked:
         assert got[t] == pytest.approx(brute_score(t, counted, 3), abs=1e-8)
     assert got["good.net/a"] > 0 > got["spam.net/win"]
 
 
+def test_url_of_a_million_characters(spark):
+    """It is scored like others, and its characters do not each carry it."""
+    some = [(i, f"http://a{i}.org/good/{i}") for i in range(300)] + [(1000 + i, f"http://b{i}.com/de/win{i}") for i in range(300)]
+    long = [(5000, "http://c.net/" + "good/" * 200_000), (5001, "http://d.net/" + "win" * 300_000), (5002, "http://e.org/" + "good/" * 100_000)]
+    pages = spark.createDataFrame(some + long, "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.score) for r in urls.url_verdicts(pages, URL_RULES).select("page_id", "verdict", "score").collect()}
+    assert len(got) == 603 and got[5000][0] == got[5002][0] == "allow" and got[5001][0] == "block"
+    assert got[5000][1] > 0 > got[5001][1]
+
+
 def test_threshold(spark):
     rows = [(x / 10, True, 1) for x in range(-1, 10)] + [(-x / 10, False, 1) for x in range(2, 10)]
     assert -0.2 < urls.threshold(spark.createDataFrame(rows, "score double, allowed boolean, n long")) <= -0.1
