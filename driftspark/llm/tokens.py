@@ -8,8 +8,10 @@ prefix in one pass. Questions about truncation or budgets then read the table; n
 from __future__ import annotations
 
 import gc
+import itertools
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,8 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 BLANK = "\t-\r \x85\xa0  -     　"
 #: Chunks that a worker remembers at most; it forgets them all beyond that.
 REMEMBERED = 500_000
+#: Longer pieces and chunks are worked out each time, and no table keeps them or their prefixes.
+LONG = 64
 
 
 def _byte_names() -> dict[str, int]:
@@ -59,6 +63,7 @@ class PrefixCounter:
             raise ValueError("at most 65,536 tokens")
         self.cut = regex.compile(PIECES)
         self.chunks = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
+        self.blanks = re.compile(f"[{BLANK}]*")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.stays: dict[int, bool] = {}
         self.prefix: dict[bytes, int] = {}
@@ -69,6 +74,7 @@ class PrefixCounter:
             for byte in reversed(token):
                 node = node.setdefault(byte, {})
             node[-1] = i
+        self.longest = max(map(len, self.ids))
         self.known: dict[str, tuple[int, np.ndarray]] = {}
 
     def _beside(self, key: int) -> bool:
@@ -103,14 +109,44 @@ class PrefixCounter:
         self.stays[key] = found
         return found
 
-    def _piece(self, piece: bytes) -> list[int]:
+    def _piece(self, piece: bytes) -> array:
         """Number of tokens of each prefix of one piece, by bytes; the empty one first."""
+        if len(piece) > LONG:
+            return array("l", itertools.chain((0,), (state >> 16 for state in self._states(piece))))
         self._whole(piece)
-        return [0, *(self.prefix[piece[:i]] >> 16 for i in range(1, len(piece) + 1))]
+        return array("l", [0, *(self.prefix[piece[:i]] >> 16 for i in range(1, len(piece) + 1))])
+
+    def _states(self, piece: bytes) -> Iterator[int]:
+        """Number of tokens and last token of every prefix of a long piece, of which as many are held as a token is long."""
+        stays, beside, root, size = self.stays, self._beside, self.ends, self.longest + 1
+        recent = [0] * size
+        for i in range(1, len(piece) + 1):
+            node, j, fits = root, i, []
+            while j:
+                j -= 1
+                node = node.get(piece[j])
+                if node is None:
+                    break
+                token = node.get(-1)
+                if token is not None:
+                    fits.append((token, j))
+            for token, j in reversed(fits):
+                before = recent[j % size]
+                key = (before & 65535) << 16 | token
+                if not j or stays.get(key) or key not in stays and beside(key):
+                    state = recent[i % size] = (before >> 16) + 1 << 16 | token
+                    break
+            else:
+                raise ValueError("no token ends here: the vocabulary lacks a byte")
+            yield state
 
     def _whole(self, piece: bytes) -> int:
         """Number of tokens of a piece. The table `prefix` holds, for every prefix of a piece it has met, that number
         and the last token; pieces that begin alike share it, so only the new end of a piece is worked out."""
+        if len(piece) > LONG:
+            for state in self._states(piece):
+                pass
+            return state >> 16
         prefix = self.prefix
         found = prefix.get(piece)
         if found is not None:
@@ -149,18 +185,17 @@ class PrefixCounter:
     def chunk(self, chunk: str) -> tuple[int, np.ndarray]:
         """Tokens of a chunk, and of each of its prefixes by characters, the empty one left out.
 
-        A prefix may be cut into other pieces than the whole: white space at its end and the start of a contraction
-        are cut anew, all else keeps its pieces.
+        A prefix may be cut into other pieces than the whole: all white space before a word and the start of a
+        contraction are cut anew, all else keeps its pieces.
         """
         found = self.known.get(chunk)
         if found is None:
-            counts: list[int] = []
+            counts = array("i")
             before = 0
             for m in self.cut.finditer(chunk):
                 piece = m[0]
                 by_byte = self._piece(piece.encode())
-                if piece.isspace() or piece[0] == "'":
-                    # at most the white space before a word, and contractions of three characters
+                if piece[0] == "'" and len(piece) <= 3:  # a contraction
                     for k in range(1, len(piece) + 1):
                         counts.append(before + sum(self._piece(x.encode())[-1] for x in self.cut.findall(chunk[m.start() : m.start() + k])))
                 else:
@@ -169,12 +204,14 @@ class PrefixCounter:
                         at += len(c.encode())
                         counts.append(before + by_byte[at])
                 before += by_byte[-1]
-            blanks = len(chunk) - len(chunk.lstrip())
+            blanks = self.blanks.match(chunk).end()
             if blanks > 1:  # the last blank goes with the word only once the word is there
                 counts[blanks - 1] = sum(self._piece(x.encode())[-1] for x in self.cut.findall(chunk[:blanks]))
             if len(self.known) >= REMEMBERED // 4:
                 self.known.clear()
-            found = self.known[chunk] = (before, np.array(counts, np.int32))
+            found = before, np.array(counts, np.int32)
+            if len(chunk) <= LONG:
+                self.known[chunk] = found
         return found
 
     def _segments(self, text: str) -> list[str]:
@@ -205,7 +242,9 @@ class PrefixCounter:
                     if found is None:
                         if len(known) >= REMEMBERED:
                             known.clear()
-                        found = known[chunk] = sum([self._whole(p.encode()) for p in self._cut(chunk)])
+                        found = sum([self._whole(p.encode()) for p in self._cut(chunk)])
+                        if len(chunk) <= LONG:
+                            known[chunk] = found
                     total += found
         return total
 

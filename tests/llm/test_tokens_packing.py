@@ -52,6 +52,29 @@ def test_any_text(text):
     assert np.frombuffer(encoder(text), "<u4").tolist() == LIBRARIES[1].encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["abcé" * 40, "the quick" * 30, "日本語" * 30, "'" * 90, " " * 150 + "x", "\n \t" * 60, "a" + "9" * 200 + "!?" * 70])
+def test_every_prefix_of_long_pieces(counter, text):
+    library = Tokenizer.from_file(BYTES)
+    assert counter.prefixes(text).tolist() == [count(library, text[:i]) for i in range(1, len(text) + 1)]
+    assert counter.count(text) == count(library, text)
+
+
+def test_one_word_of_200000_letters(counter):
+    """Memory grows with the word, not with its square, and nothing of it stays."""
+    import tracemalloc
+
+    word = "".join("abcdefghijklmnopqrstuvwxyz"[i * i % 26] for i in range(200_000))
+    kept = len(counter.prefix)
+    tracemalloc.start()
+    got = counter.count(word + " end")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == count(Tokenizer.from_file(BYTES), word + " end")
+    assert most < 30 * len(word) and len(counter.prefix) < kept + 100
+    table = counter.prefixes(word)
+    assert len(table) == len(word) and table[-1] == counter.count(word)
+
+
 LIBRARIES = [Tokenizer.from_file(BYTES), Tokenizer.from_file(WORDS)]
 KEPT = (tokens.PrefixCounter(Path(BYTES).read_text()), packing.WordEncoder(Path(WORDS).read_text()))
 
