@@ -8,6 +8,7 @@ them without that mark-up, and on laid-out pages with texts of the corpus; Viter
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -36,17 +37,40 @@ SEMANTIC = frozenset("article main nav header footer aside section form".split()
 _TOKEN = re.compile(r"[a-z]+")
 
 
+class Element:
+    """An open element, its words of class, id and role, and the one around it; blocks below it share it."""
+
+    __slots__ = ("tag", "words", "around", "depth")
+
+    def __init__(self, tag: str, words: tuple[str, ...], around: Element | None):
+        self.tag, self.words, self.around = tag, words, around
+        self.depth = around.depth + 1 if around else 1
+
+    def names(self, plain: bool = False) -> list[str]:
+        """Features of every block below it."""
+        return ([] if plain and self.tag in SEMANTIC else ["in " + self.tag]) + ["as " + w for w in self.words]
+
+
 @dataclass
 class Block:
     text: str
-    above: tuple[tuple[str, tuple[str, ...]], ...]
+    within: Element | None
     linked: int
 
+    def above(self) -> list[Element]:
+        """Elements around it, outermost first."""
+        out, element = [], self.within
+        while element:
+            out.append(element)
+            element = element.around
+        return out[::-1]
+
 
 class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.above: list[tuple[str, tuple[str, ...]]] = []
+        self.above: list[Element] = []
+        self.open: Counter[str] = Counter()  # of the elements above, by tag
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = self.links = 0
@@ -60,7 +84,7 @@ class _Reader(HTMLParser):
     def _flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append(Block(text, tuple(self.above), self.linked))
+            self.blocks.append(Block(text, self.above[-1] if self.above else None, self.linked))
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -80,27 +104,35 @@ class _Reader(HTMLParser):
             self.parts.append("\n")
         elif tag in BLOCK:
             self._flush()
-            if any(t == "p" for t, _ in self.above) and tag not in ("button", "option"):
+            if tag not in ("button", "option"):
                 self._close("p")
-            for k in range(len(self.above) - 1, -1, -1):
-                name = self.above[k][0]
-                if name in CLOSES.get(tag, ()):
-                    del self.above[k:]
+            ends = CLOSES.get(tag, ())
+            for k in range(len(self.above) - 1 if any(self.open[t] for t in ends) else -1, -1, -1):
+                name = self.above[k].tag
+                if name in ends:
+                    self._cut(k)
                     if tag != "tr":
                         break
                 elif name in SCOPE:
                     break
             if tag not in EMPTY:
                 words = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower()
-                self.above.append((tag, tuple(dict.fromkeys(w for w in _TOKEN.findall(words) if len(w) > 1))))
+                named = tuple(dict.fromkeys(w for w in _TOKEN.findall(words) if len(w) > 1))
+                self.above.append(Element(tag, named, self.above[-1] if self.above else None))
+                self.open[tag] += 1
         elif tag == "a":
             self.links += 1
 
+    def _cut(self, k):
+        self.open.subtract(e.tag for e in self.above[k:])
+        del self.above[k:]
+
     def _close(self, tag):
-        for k in range(len(self.above) - 1, -1, -1):
-            if self.above[k][0] == tag:
-                del self.above[k:]
-                return
+        if self.open[tag]:
+            k = len(self.above) - 1
+            while self.above[k].tag != tag:
+                k -= 1
+            self._cut(k)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -117,9 +149,10 @@ class _Reader(HTMLParser):
             if self.silent[-1] in RAW:
                 return
             if tag in self.inside:
-                del self.inside[len(self.inside) - 1 - self.inside[::-1].index(tag) :]
+                while self.inside.pop() != tag:
+                    pass
                 return
-            if not self.inline.get(tag) and not any(t == tag for t, _ in self.above):
+            if not self.inline.get(tag) and not self.open[tag]:
                 return
             self._speak()  # the end of an element around the silent one, which has no end tag
         if self.inline.get(tag):
@@ -152,27 +185,25 @@ def blocks_of(html: str | None) -> list[Block]:
     return reader.blocks
 
 
+def _own(b: Block, i: int, total: int, plain: bool) -> list[str]:
+    """Names of the features of block i of a page that are not of the elements around it."""
+    n = b.text.count(" ") + 1
+    names = ["", f"words{min(n.bit_length(), 6)}", f"at{4 * i // total}", f"linked{min(2, 3 * b.linked // max(1, len(b.text)))}"]
+    if b.text[-1] in ".!?\"'”’»":
+        names.append("ends")
+    if "©" in b.text:
+        names.append("copyright")
+    if b.within:
+        parent = "div" if plain and b.within.tag in SEMANTIC else b.within.tag
+        names.append(f"of {parent}")
+        names.append(f"of {parent} words{min(n.bit_length(), 6)}")
+    return names
+
+
 def features(blocks: list[Block], plain: bool = False) -> list[list[str]]:
     """Names of each block's features. `plain` leaves out tags that say by themselves what is main text."""
-    out = []
-    total = len(blocks)
-    for i, b in enumerate(blocks):
-        n = b.text.count(" ") + 1
-        names = ["", f"words{min(n.bit_length(), 6)}", f"at{4 * i // total}", f"linked{min(2, 3 * b.linked // max(1, len(b.text)))}"]
-        if b.text[-1] in ".!?\"'”’»":
-            names.append("ends")
-        if "©" in b.text:
-            names.append("copyright")
-        for tag, words in b.above:
-            if not (plain and tag in SEMANTIC):
-                names.append("in " + tag)
-            names.extend("as " + w for w in words)
-        if b.above:
-            parent = "div" if plain and b.above[-1][0] in SEMANTIC else b.above[-1][0]
-            names.append(f"of {parent}")
-            names.append(f"of {parent} words{min(n.bit_length(), 6)}")
-        out.append(names)
-    return out
+    around = [[name for e in b.above() for name in e.names(plain)] for b in blocks]
+    return [_own(b, i, len(blocks), plain) + names for i, (b, names) in enumerate(zip(blocks, around))]
 
 
 #: Words of class, id and role that name what is no main text, and kinds of page parts for laid-out pages.
@@ -195,6 +226,12 @@ def laid_out(texts: list[str], pages: int, seed: int = 5) -> list[tuple[list[Blo
     texts = texts or ["A page tells what happened, to whom, and why it matters to those who read it."]
     pick = lambda options: options[int(random.integers(len(options)))]
 
+    def block(text: str, above: tuple, linked: int) -> Block:
+        within = None
+        for tag, words in above:
+            within = Element(tag, words, within)
+        return Block(text, within, linked)
+
     def some(low: int, high: int) -> str:
         words = pick(texts).split()
         n = int(random.integers(low, high + 1))
@@ -212,18 +249,18 @@ def laid_out(texts: list[str], pages: int, seed: int = 5) -> list[tuple[list[Blo
         for _ in range(int(random.integers(2, 7)) if kind in ("menu", "side", "talk") else int(random.integers(1, 3))):
             if kind in ("menu", "side"):
                 text = some(1, 6)
-                out.append((Block(text, (*here, *((("ul", ()),) if tag != "ul" else ()), ("li", ())), len(text) if random.random() < 0.9 else 0), 0))
+                out.append((block(text, (*here, *((("ul", ()),) if tag != "ul" else ()), ("li", ())), len(text) if random.random() < 0.9 else 0), 0))
             elif kind == "talk":
                 inner = (*here, (pick(["div", "li"]), ("comment",) if random.random() < 0.6 else ()))
-                out.append((Block(some(2, 5), inner, 0), 0))
-                out.append((Block(some(4, 60), (*inner, ("p", ())), 0), 0))
+                out.append((block(some(2, 5), inner, 0), 0))
+                out.append((block(some(4, 60), (*inner, ("p", ())), 0), 0))
             elif kind == "form":
-                out.append((Block(some(1, 8), (*here, *(((pick(["p", "button", "fieldset"]), ()),) if random.random() < 0.5 else ())), 0), 0))
+                out.append((block(some(1, 8), (*here, *(((pick(["p", "button", "fieldset"]), ()),) if random.random() < 0.5 else ())), 0), 0))
             elif kind == "foot":
-                out.append((Block(("© " if random.random() < 0.6 else "") + some(2, 14), (*here, *((("p", ()),) if random.random() < 0.5 else ())), 0), 0))
+                out.append((block(("© " if random.random() < 0.6 else "") + some(2, 14), (*here, *((("p", ()),) if random.random() < 0.5 else ())), 0), 0))
             else:
                 text = some(2, 18)
-                out.append((Block(text, (*here, *((("p", ()),) if random.random() < 0.5 else ())), len(text) if kind == "head" and random.random() < 0.5 else 0), 0))
+                out.append((block(text, (*here, *((("p", ()),) if random.random() < 0.5 else ())), len(text) if kind == "head" and random.random() < 0.5 else 0), 0))
 
     made = []
     for _ in range(pages):
@@ -236,18 +273,18 @@ def laid_out(texts: list[str], pages: int, seed: int = 5) -> list[tuple[list[Blo
         style = random.random()
         words = (pick(MAIN.split()),)
         main = (*hull, ("article", words if random.random() < 0.4 else ())) if style < 0.35 else (*hull, ("main", ())) if style < 0.5 else (*hull, (pick(["div", "div", "section", "td"]), words))
-        out.append((Block(some(2, 12), (*main, *((("header", ()),) if random.random() < 0.15 else ()), ("h1", ())), 0), 1))
+        out.append((block(some(2, 12), (*main, *((("header", ()),) if random.random() < 0.15 else ()), ("h1", ())), 0), 1))
         for _ in range(int(random.integers(1, 9))):
             kind = random.random()
             if kind < 0.75:
-                out.append((Block(some(1, 6) if random.random() < 0.2 else some(8, 120), (*main, ("p", ())), 0), 1))
+                out.append((block(some(1, 6) if random.random() < 0.2 else some(8, 120), (*main, ("p", ())), 0), 1))
             elif kind < 0.82:
-                out.append((Block(some(1, 8), (*main, (pick(["h2", "h3"]), ())), 0), 1))
+                out.append((block(some(1, 8), (*main, (pick(["h2", "h3"]), ())), 0), 1))
             elif kind < 0.88:
                 for _ in range(3):
-                    out.append((Block(some(3, 20), (*main, ("ul", ()), ("li", ())), 0), 1))
+                    out.append((block(some(3, 20), (*main, ("ul", ()), ("li", ())), 0), 1))
             elif kind < 0.92:
-                out.append((Block(some(5, 40), (*main, (pick(["blockquote", "pre", "figcaption"]), ())), 0), 1))
+                out.append((block(some(5, 40), (*main, (pick(["blockquote", "pre", "figcaption"]), ())), 0), 1))
             else:
                 part(pick(["ad", "side", "form", "note"]), out, main)
         for kind in ("talk", "side", "form", "ad", "note", "menu", "foot"):
@@ -260,13 +297,13 @@ def laid_out(texts: list[str], pages: int, seed: int = 5) -> list[tuple[list[Blo
 def labels_by_markup(blocks: list[Block]) -> np.ndarray | None:
     """1 inside the page's article (or main) but for parts of it that are something else; None if no tag tells."""
     for tag in ("article", "main"):
-        if any(t == tag for b in blocks for t, _ in b.above):
+        if any(e.tag == tag for b in blocks for e in b.above()):
             other = set(" ".join(PARTS.values()).split())
             out = []
             for b in blocks:
-                names = [t for t, _ in b.above]
-                below = b.above[names.index(tag) + 1 :] if tag in names else None
-                out.append(int(below is not None and not any(t in ("nav", "footer", "aside", "form") or other & set(w) for t, w in below)))
+                names = [e.tag for e in b.above()]
+                below = b.above()[names.index(tag) + 1 :] if tag in names else None
+                out.append(int(below is not None and not any(e.tag in ("nav", "footer", "aside", "form") or other & set(e.words) for e in below)))
             return np.array(out)
     return None
 
@@ -283,6 +320,20 @@ class Field:
         index, w = self.index, self.weights
         return np.array([sum([w[index[f]] for f in row if f in index]) for row in names])
 
+    def scores_of(self, blocks: list[Block]) -> np.ndarray:
+        """`scores` of `features`, adding up each element's weights once for all blocks below it."""
+        index, w, sums, out = self.index, self.weights, {None: 0.0}, []
+        weight = lambda names: sum([w[index[f]] for f in names if f in index])
+        for i, b in enumerate(blocks):
+            path, element = [], b.within
+            while element not in sums:
+                path.append(element)
+                element = element.around
+            for inner in reversed(path):
+                sums[inner] = sums[inner.around] + weight(inner.names())
+            out.append(sums[b.within] + weight(_own(b, i, len(blocks), False)))
+        return np.array(out)
+
     def decode(self, scores: np.ndarray) -> list[int]:
         """The likeliest labels (Viterbi)."""
         (s00, s01), (s10, s11) = self.step.tolist()
@@ -299,7 +350,7 @@ class Field:
         return out[::-1]
 
 
-def train(pages: list[tuple[list[list[str]], np.ndarray]], rounds: int = 60, ridge: float = 1e-3, rate: float = 0.5) -> Field:
+def train(pages: list[tuple[list[list[str]], np.ndarray]], rounds: int = 150, ridge: float = 1e-3, rate: float = 0.5) -> Field:
     """Maximum likelihood by forward and backward sums over all pages at once; Adagrad steps."""
     index: dict[str, int] = {}
     for names, _ in pages:
@@ -360,12 +411,13 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield batch.take(pa.array(kept, pa.int64()))
 
 
-def fit(pages: DataFrame, *, most: int = 300, laid: int = 300, id_col: str = "page_id", html_col: str = "html", longest: int = 400) -> Field:
+def fit(pages: DataFrame, *, most: int = 300, laid: int = 600, id_col: str = "page_id", html_col: str = "html", longest: int = 400, deepest: int = 200) -> Field:
     """Train on at most `most` distinct pages of the table, those with the least hashes of id and html, and on `laid`
     laid-out ones.
 
     Pages whose mark-up names an article or main part are labelled by it; each is used as it is and without such tags.
-    Of pages with over `longest` blocks the first ones are used for training; extraction takes all blocks of all pages.
+    Of pages with over `longest` blocks a run of that many, drawn by the hash, is used for training, and runs with a
+    block in more than `deepest` elements are not; extraction takes all blocks of all pages.
     """
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).cast("string").alias("html")).where(F.col("html").isNotNull())
     rows = rows.select(F.xxhash64("id", "html").alias("h"), "html")
@@ -373,19 +425,22 @@ def fit(pages: DataFrame, *, most: int = 300, laid: int = 300, id_col: str = "pa
     rows = rows.where(F.col("h") <= (least[-1] if least else 0)).mapInArrow(_first_of_each, "h long, html string").dropDuplicates(["h"])
     labelled, texts = [], []
     for r in rows.orderBy("h").toLocalIterator():  # at most `most` pages
-        blocks = blocks_of(r["html"])[:longest]
-        labels = labels_by_markup(blocks) if blocks else None
+        blocks = blocks_of(r["html"])
+        first = r["h"] % max(1, len(blocks) - longest + 1)
+        blocks = blocks[first : first + longest]
+        shallow = all(b.within is None or b.within.depth <= deepest for b in blocks)
+        labels = labels_by_markup(blocks) if blocks and shallow else None
         if labels is not None:
             labelled += [(features(blocks), labels), (features(blocks, plain=True), labels)]
             texts += [b.text for b, y in zip(blocks, labels) if y]
-    return train(labelled + [(features(b), y) for b, y in laid_out(texts[:2000], laid)])
+    return train(labelled + [(features(b), y) for b, y in laid_out(texts, laid)])
 
 
 def main_text(html: str | None, field: Field) -> str:
     blocks = blocks_of(html)
     if not blocks:
         return ""
-    return " ".join(b.text for b, y in zip(blocks, field.decode(field.scores(features(blocks)))) if y)
+    return " ".join(b.text for b, y in zip(blocks, field.decode(field.scores_of(blocks))) if y)
 
 
 def extract(pages: DataFrame, field: Field, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -180,6 +180,52 @@ def test_silent_elements_without_an_end(html, texts):
     assert [b.text for b in html_text.blocks_of(html)] == texts
 
 
+def test_nested_elements(field):
+    """Time and memory grow with the page, not with its depth times its blocks; scores are those of the named features."""
+    import time
+    import tracemalloc
+
+    for tag in ("div", "center", "dd"):
+        html = "<body><article>" + "".join(f'<{tag} class="c{i % 7}">word {i}' for i in range(20_000)) + f"</{tag}>" * 20_000 + "</article>"
+        tracemalloc.start()
+        began = time.monotonic()
+        text = html_text.main_text(html, field)
+        taken, most = time.monotonic() - began, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert taken < 20 and most < 60_000_000
+        assert set(text.split()) <= {"word", *map(str, range(20_000))}
+    for blocks, _ in html_text.laid_out([], 20, seed=9):
+        assert field.scores_of(blocks) == pytest.approx(field.scores(html_text.features(blocks)))
+    blocks = html_text.blocks_of("<div class=a><p>one<ul class=b><li>two<li><b>three</b></ul></div>four")
+    assert [[e.tag for e in b.above()] for b in blocks] == [["div", "p"], ["div", "ul", "li"], ["div", "ul", "li"], []]
+
+
+def test_slopes_of_training():
+    """The gradient is that of the log-likelihood: a step of training from nothing follows differences of the likelihood."""
+    import itertools
+
+    pages = [(html_text.features(b)[:4], y[:4]) for b, y in html_text.laid_out([], 6, seed=2)]
+    field = html_text.train(pages, rounds=400, ridge=0.05)
+
+    def loss(w, step, start):
+        total = 0.0
+        for names, y in pages:
+            x = [sum(w[field.index[f]] for f in row) for row in names]
+            worth = lambda z: start[z[0]] + sum(step[a, b] for a, b in zip(z, z[1:])) + sum(v for v, k in zip(x, z) if k)  # noqa: B023, E731
+            total += np.logaddexp.reduce([worth(z) for z in itertools.product((0, 1), repeat=len(y))]) - worth(list(y))
+        return total / len(pages) + 0.05 * ((w**2).sum() + (step**2).sum() + (start**2).sum()) / 2
+
+    # where training ends, no direction leads down
+    at = loss(field.weights, field.step, field.start)
+    for part in range(3):
+        values = [field.weights, field.step, field.start]
+        for place in list(np.ndindex(values[part].shape))[:25]:
+            for by in (1e-3, -1e-3):
+                moved = [v.copy() for v in values]
+                moved[part][place] += by
+                assert loss(*moved) > at - 2e-5
+
+
 def test_sample_of_pages_is_bounded(spark, monkeypatch):
     """Null ids, one page in many rows, and one id of many pages: no more than `most` pages, each once, reach the driver."""
     read, blocks_of = [], html_text.blocks_of
