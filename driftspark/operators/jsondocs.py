@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftspark.functions.jsontext import read_json_text
+
 # Leading run of blank and // lines.
 HEADER = r"^((?:[^\S\n]*+(?://[^\n]*+)?\n)*+(?:[^\S\n]*+//[^\n]*+\z)?)"
 # String literals are kept as group 1; an open comment or string runs to the end of the text.
@@ -27,6 +29,23 @@ def split_jsonc(df: DataFrame, col: str = "text") -> DataFrame:
     return split.withColumn("data", F.try_parse_json("json")).drop(col)
 
 
+def checked_jsonc(df: DataFrame, col: str = "text") -> DataFrame:
+    """`split_jsonc` as a script reads it, with `valid` and `error_at`.
+
+    Of repeated keys the last value counts, at any depth. `error_at` is where in `json` the reader gives up, in
+    characters from 0, also behind the end of a document that others would take for whole; text that is nested too
+    deeply for the reader gives up at 0. `data` is NULL where `valid` is false, and all but `header` where the text is.
+    """
+    split = split_jsonc(df, col).withColumn("_read", read_json_text("json"))
+    return split.withColumns(
+        {
+            "data": F.try_parse_json("_read.json"),
+            "valid": F.col("_read.error_at").isNull() & F.when(F.col("json").isNotNull(), True),
+            "error_at": F.col("_read.error_at"),
+        }
+    ).drop("_read")
+
+
 def _truthy(value: Column) -> Column:
     """What a script would take for true: there, and not null, false, 0 or ''."""
     return F.coalesce(

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.functions.text import parse_pg_array
-from driftspark.operators.jsondocs import split_jsonc
+from driftspark.operators.jsondocs import checked_jsonc, split_jsonc
 from driftspark.schemas import CATALOG_COLUMNS
 from driftspark.sources.ranges import export_records, numbered_lines
 
@@ -69,9 +69,9 @@ def read_toc(spark: SparkSession, path: str) -> DataFrame:
     return numbered_lines(spark, path)
 
 
-def read_jsonc(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-with-comments files as (path, header, json, data)."""
-    return split_jsonc(_whole_files(spark, path))
+def read_jsonc(spark: SparkSession, path: str, checked: bool = False) -> DataFrame:
+    """JSON-with-comments files as (path, header, json, data); `checked` adds (valid, error_at) and reads repeated keys."""
+    return (checked_jsonc if checked else split_jsonc)(_whole_files(spark, path))
 
 
 def write_routine_scripts(

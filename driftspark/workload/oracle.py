@@ -277,6 +277,12 @@ ORACLE = {
     "read_jsonc": """
         SELECT event_id, '// event ' || event_id || chr(10) || chr(10) || '  // ' || event_type || chr(10) AS header,
             'http://x/*' || user_id || '*/' AS url, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events""",
+    "checked_jsonc": """
+        WITH docs AS (
+            SELECT event_id, event_type, user_id, value > 50 AS valid, value > 30 AS longer, length('{"k": 0, "props": ' || props
+                || ', "n": [{"u": "//", "u": ' || user_id || '}], "k": "' || event_type || '"') AS size FROM events)
+        SELECT event_id, valid, CASE WHEN valid THEN NULL WHEN longer THEN size + 2 ELSE size END AS error_at,
+            CASE WHEN valid THEN event_type END AS k, CASE WHEN valid THEN CAST(user_id AS VARCHAR) END AS u FROM docs""",
     "flatten_json": """
         SELECT event_id, 'k' AS path, event_type AS description, CAST(json_extract(props, '$.k') AS VARCHAR) AS "default",
             'number' AS class, false AS nullable FROM events

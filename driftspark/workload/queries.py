@@ -410,6 +410,20 @@ def read_jsonc(spark, sf):
     )
 
 
+@query
+def checked_jsonc(spark, sf):
+    docs = dealt(table(spark, sf, "events"), "event_id").selectExpr(
+        "event_id",
+        r"""'// head\n{"k": 0, "props": ' || props || ', "n": [{"u": "//", "u": ' || user_id || '}], /* k */"k": "' || event_type || '"'
+        || CASE WHEN value > 50 THEN '}' WHEN value > 30 THEN '} x' ELSE '' END AS text""",
+    )
+    return jsondocs.checked_jsonc(docs).select(
+        "event_id", "valid", "error_at",
+        F.try_variant_get("data", "$.k", "string").alias("k"),
+        F.try_variant_get("data", "$.n[0].u", "string").alias("u"),
+    )
+
+
 def _schema_docs(spark, sf):
     return dealt(table(spark, sf, "events"), "event_id").selectExpr(
         "event_id",

@@ -26,6 +26,43 @@ def test_split_jsonc(spark):
     assert rows["broken"].data is None
 
 
+CHECKED = {
+    "last": ('{"a": 1, "b": {"c": 1.50, "c": [1, {"d": 1, "d": "\\ud83c\\udf89 Infinity"}]}, "a": "NaN"}', None),
+    "empty_key": ('{"": 1, "": 2}', None),
+    "large": ('{"a": 1, "a": 1e400, "b": ' + "9" * 5000 + "}", None),
+    "unique": ('{"a": 1.50, "b": "é \U0001f389"}', None),
+    "scalar": (" 12 ", None),
+    "open": ("{", 1),
+    "behind": ('{"é\U0001f389": 1} x', 10),
+    "word": ('{"NaN": "\\"NaN", "a": NaN}', 22),
+    "minus": ('["Infinity", -Infinity]', 13),
+    "comma": ('{"a": 1,, "b": 2}', 8),
+    "quote": ("{'a': 1}", 1),
+    "line": ('{"a": "\n"}', 7),
+    "deep": ("[" * 200_000, 0),
+    "empty": ("", 0),
+    "only_header": ("// x", 0),
+    "none": (None, None),
+}
+
+
+def test_checked_jsonc(spark):
+    rows = [(name, text, name, 1) for name, (text, _) in CHECKED.items()] + [("last", CHECKED["last"][0], "last", 1)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, name string, _x int")
+    read = ops.checked_jsonc(df).withColumn("data", F.to_json("data")).collect()
+    assert len(read) == len(rows) and {"name", "_x"} <= set(read[0].asDict())
+    got = {r.doc_id: r for r in read}
+    for name, (text, place) in CHECKED.items():
+        assert (got[name].error_at, got[name].valid) == (place, None if text is None else place is None), name
+        if text is None or place is not None:
+            assert got[name].data is None
+        elif name not in ("large", "unique"):
+            assert json.loads(got[name].data) == json.loads(text), name
+    assert json.loads(got["unique"].data) == json.loads(CHECKED["unique"][0])
+    assert got["large"].data is not None
+    assert ops.checked_jsonc(df.limit(0)).count() == 0
+
+
 CLASSES = [
     ({"enum": ["a"], "type": "boolean"}, "enum", False),
     ({"enum": None, "type": "boolean"}, "boolean", False),

@@ -150,6 +150,9 @@ def test_jsonc(spark, tmp_path):
     (tmp_path / "c.json").write_text('// head\n{"a": "x // y" /* c */} // z')
     (row,) = sources.read_jsonc(spark, str(tmp_path)).withColumn("data", F.to_json("data")).collect()
     assert row.header == "// head\n" and json.loads(row.data) == {"a": "x // y"}
+    (tmp_path / "c.json").write_text('{"a": 1, "a": 2}')
+    (row,) = sources.read_jsonc(spark, str(tmp_path), checked=True).withColumn("data", F.to_json("data")).collect()
+    assert row.valid and json.loads(row.data) == {"a": 2}
 
 
 def read_back(folder):
