@@ -187,6 +187,10 @@ def contamination(
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` without a hit word, all columns as they are."""
+    """The rows of `docs` without a hit word, all columns as they are, whatever their names.
+
+    Null and empty texts are never hit and stay, as do all rows where there are no items; rows equal in id and text stay
+    or go together, and repeated rows stay repeated; rows with a null id are judged like others; an empty table stays empty.
+    """
     hit = contamination(docs, items, id_col=id_col, text_col=text_col, **options).where("n_hit > 0").select("row").distinct()
     return split(docs, _row_key(id_col, text_col), hit)[0]

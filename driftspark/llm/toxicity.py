@@ -269,7 +269,11 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, *, limit: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that score under `limit`, all columns as they are."""
+    """The rows of `docs` that score under `limit`, all columns as they are, whatever their names.
+
+    Null and empty texts score as all texts that match nothing; equal texts stay or go together, and repeated rows stay
+    repeated; a null id changes nothing, as ids are not read; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     @F.arrow_udf("boolean")
