@@ -18,22 +18,37 @@ from driftspark.llm.common import staged
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.3; the lexicon is learnt from the labels of those that came in."""
+    """Documents that score under 0.3; the lexicon is learnt from the labels of those that came in.
+
+    Null and empty texts match nothing; repeated rows stay or go together; rows with a null id are scored and not learnt
+    from.
+    """
     return toxicity.without_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its component; of repeated rows of it one."""
+    """The document that names its component; of repeated rows of it one.
+
+    Documents without a word, null and empty texts among them, are linked with nothing and all stay, as do rows with a
+    null id.
+    """
     return neardup.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word that a window of the benchmark covers."""
+    """Documents without a word that a window of the benchmark covers.
+
+    Null and empty texts have no words and stay; with an empty benchmark all stay; repeated rows stay or go together.
+    """
     return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mark; n_chars follows the text. Other columns may have any names."""
+    """All documents, their secrets replaced by a mark; n_chars follows the text. Other columns may have any names.
+
+    Null and empty texts have no secrets and stay as they are, as does n_chars of every text without one; repeated rows
+    stay repeated; ids are not read.
+    """
     spans = "secret spans"
     while spans in docs.columns:
         spans += "_"
@@ -45,7 +60,11 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences of at most 4,096 tokens."""
+    """Pieces of documents and their places in sequences of at most 4,096 tokens.
+
+    Null and empty texts are one piece of the end id alone; every row is packed for itself, repeated ones and those with
+    a null id too; without documents there is no sequence. Other columns are not read.
+    """
     model = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
     return packing.pack(docs, model)
 
