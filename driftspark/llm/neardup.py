@@ -198,21 +198,23 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["a", "b"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, together: int = 1 << 17) -> DataFrame:
     """(node, root): the least node reachable over links (a, b).
 
-    Partitions turn their edges into stars, so a node has one edge in each at most and no node is hot when edges meet by
-    their upper end; then every edge moves on to where its lower end points. Both are repeated until nothing changes.
+    Partitions turn their edges into stars first. Up to `together` edges of these are joined by one task, which ends the
+    work. More are dealt by their upper end, about `together` to a task, so a node has one edge in each at most and no
+    node is hot; then every edge moves on to where its lower end points. Both are repeated until nothing changes.
     """
-    spark = links.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").mapInArrow(_forest, "a long, b long")
+    edges = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").mapInArrow(_forest, "a long, b long"))
+    tasks = -(-edges.count() // together)
+    if tasks <= 1:
+        return staged(edges.coalesce(1).mapInArrow(_forest, "a long, b long")).toDF("node", "root")
     mark = None
     while True:
-        stars = staged(edges.repartition(partitions, "a").mapInArrow(_forest, "a long, b long"))
+        stars = staged(edges.repartition(tasks, "a").mapInArrow(_forest, "a long, b long"))
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return stars.toDF("node", "root")
         mark = now
         further = stars.select(F.col("a").alias("b"), F.col("b").alias("c"))
         edges = stars.join(further, "b", "left").select("a", F.coalesce("c", "b").alias("b"))

@@ -78,6 +78,19 @@ def test_regions_beyond_the_nearest_are_finished(spark):
     assert got == {i: c for (i, _), (_, c) in zip(rows, brute_components(rows))}
 
 
+def test_few_links_take_few_jobs(spark):
+    links = spark.createDataFrame([(k + 1, k) for k in range(300)] + [(900, 800)], "a long, b long").repartition(8)
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        got = {r.node: r.root for r in neardup.components(links).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {k: 0 for k in range(1, 301)} | {900: 800}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 6
+    rounds = {r.node: r.root for r in neardup.components(links, together=64).where("node <> root").distinct().collect()}
+    assert rounds == got
+
+
 def test_null_ids_take_part(spark):
     """Near copies that only rows without an id hold: a pair, a bridge between two documents, a group of 30."""
     source = random.Random(12)
