@@ -9,6 +9,7 @@ compared, so large groups of near copies cost a few comparisons for each member.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ DEPTH = 6
 LEAST = 4
 #: Neighbours on one side that are candidates in a region of any size.
 NEAREST = 8
+#: Those of them that are, where a region goes on beyond the nearest on both ends.
+FEW = 3
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -97,33 +100,44 @@ def _tree_rows(reps: DataFrame) -> DataFrame:
 
 def candidates(reps: DataFrame, partitions: int) -> DataFrame:
     """(a, b, shared) from all trees; shared is the length of the common prefix. Where a region goes on beyond the nearest
-    neighbours, (a, a, tree) marks its members. Ranges of a tree are sorted apart, so a region of any size may be split;
-    neighbours on either side of a split meet in other trees.
+    neighbours, (a, a, tree) marks its members. `left_apart` compares marked ones with all of their region, so of
+    neighbours that are both marked only the first few are candidates, which join most of them. Ranges of a tree are
+    sorted apart, so a region of any size may be split; neighbours on either side of a split meet in other trees.
     """
     ordered = _tree_rows(reps).repartitionByRange(partitions, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    beyond = NEAREST + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, key, node = np.zeros(0, np.int32), np.zeros((0, DEPTH), ">u2"), np.zeros(0, np.int64)
-        for batch in batches:
-            new = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, DEPTH)
-            done = len(node)
-            tree, key, node = np.concatenate([tree, batch.column(0).to_numpy()]), np.concatenate([key, new]), np.concatenate([node, batch.column(2).to_numpy()])
-            pairs = []
-            for step in range(1, NEAREST + 2):
-                i = np.arange(max(0, done - step), len(node) - step)
+        begin = 0  # rows before this one have met all behind them
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                new = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, DEPTH)
+                tree, key, node = np.concatenate([tree, batch.column(0).to_numpy()]), np.concatenate([key, new]), np.concatenate([node, batch.column(2).to_numpy()])
+            # a neighbour is marked by one as far behind it
+            end = len(node) if batch is None else len(node) - NEAREST - beyond
+            if end <= begin:
+                continue
+            region = lambda i, step: (tree[i] == tree[i + step]) & (key[i, :LEAST] == key[i + step, :LEAST]).all(axis=1)
+            far = np.arange(max(0, len(node) - beyond))
+            far = far[region(far, beyond)]
+            marked = np.zeros(len(node), bool)
+            marked[far] = marked[far + beyond] = True
+            far = far[(far >= begin) & (far < end)]
+            pairs = [(node[x], node[x], tree[x]) for x in (far, far + beyond)]
+            for step in range(1, beyond):
+                i = np.arange(begin, min(end, len(node) - step))
+                i = i[region(i, step)]
+                if step > FEW:
+                    i = i[~(marked[i] & marked[i + step])]
                 equal = key[i] == key[i + step]
-                ok = (tree[i] == tree[i + step]) & equal[:, :LEAST].all(axis=1)
-                i, equal = i[ok], equal[ok]
-                if step <= NEAREST:
-                    shared = np.where(equal.all(axis=1), DEPTH, np.argmin(equal, axis=1)) if len(i) else np.zeros(0, int)
-                    a, b = node[i], node[i + step]
-                    pairs.append((np.minimum(a, b), np.maximum(a, b), shared))
-                else:
-                    for x in (node[i], node[i + step]):
-                        pairs.append((x, x, tree[i]))
+                shared = np.where(equal.all(axis=1), DEPTH, np.argmin(equal, axis=1)) if len(i) else np.zeros(0, int)
+                a, b = node[i], node[i + step]
+                pairs.append((np.minimum(a, b), np.maximum(a, b), shared))
             a, b, s = (np.concatenate(x) for x in zip(*pairs))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s.astype(np.int32))], ["a", "b", "shared"])
-            tree, key, node = tree[-NEAREST - 1 :], key[-NEAREST - 1 :], node[-NEAREST - 1 :]
+            keep = max(0, end - beyond)
+            tree, key, node, begin = tree[keep:], key[keep:], node[keep:], end - keep
 
     return ordered.mapInArrow(run, "a long, b long, shared int")
 
@@ -335,20 +349,18 @@ def left_apart(dense: DataFrame, reps: DataFrame, roots: DataFrame, sets: DataFr
 
 
 def _joined(pairs: DataFrame, reps: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Roots once all candidates that lie between two components are decided, in two rounds.
+    """Roots once all candidates that lie between two components are decided, in two rounds, each of them once.
 
     The first looks at the best candidate of each two components, which joins nearly all that belong together; what has
-    become inner need not be looked at any more. The second looks at all that still lie between two components.
+    become inner need not be looked at any more. The second looks at all others that still lie between two components.
     """
-    between = Window.partitionBy("low", "high").orderBy(F.desc("shared"), "a", "b")
-    for best in (True, False):
-        apart = _rooted(pairs, roots).where("ra <> rb")
-        if best:
-            apart = apart.withColumns({"low": F.least("ra", "rb"), "high": F.greatest("ra", "rb")})
-            apart = apart.withColumn("rank", F.row_number().over(between)).where("rank = 1")
-        more = confirmed(_likely(apart.select("a", "b"), reps, percent / 100 - 0.15), sets, percent)
-        roots = components(_as_links(roots).union(more))
-    return roots
+    between = Window.partitionBy(F.least("ra", "rb"), F.greatest("ra", "rb")).orderBy(F.desc("shared"), "a", "b")
+    apart = staged(_rooted(pairs, roots).where("ra <> rb").select("a", "b", (F.row_number().over(between) == 1).alias("best")))
+    first = confirmed(_likely(apart.where("best").select("a", "b"), reps, percent / 100 - 0.15), sets, percent)
+    roots = components(_as_links(roots).union(first))
+    still = _rooted(apart.where("not best").select("a", "b"), roots).where("ra <> rb").select("a", "b")
+    second = confirmed(_likely(still, reps, percent / 100 - 0.15), sets, percent)
+    return components(_as_links(roots).union(second))
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
