@@ -5,7 +5,7 @@ long as they are equal, tokens go one to one, and exponential probing compares e
 once. Where ends differ, the smaller one moves on until they meet; that group is irregular, and the shift is updated.
 
 Neither tokenizer joins bytes across a space that follows something other than white space, so a text is cut there, and
-words that repeat are encoded once in a task. That is checked: a text whose tokens do not give its bytes has none.
+words that repeat are encoded and aligned once in a task. That is checked: a text whose tokens do not give its bytes has none.
 """
 
 from __future__ import annotations
@@ -91,6 +91,26 @@ def _byte_names() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+class _Codes(dict):
+    """Numbers of words in order of their first occurrence; `new` are the words not learnt yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        self.new.append(word)
+        return code
+
+
+def _gathered(starts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values of words lie, one word after the other, and how many each word has."""
+    n = starts[codes + 1] - starts[codes]
+    before = np.cumsum(n) - n
+    return np.repeat(starts[codes] - before, n) + np.arange(int(n.sum())), n
+
+
 class Words:
     """Tokens of words by both tokenizers. A word is a space and what follows it up to the next one that is a cut."""
 
@@ -120,10 +140,14 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.codes: dict[str, int] = {}
+        self.codes = _Codes()
         self.fine = np.zeros(0, bool)
         self.tokens = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
         self.starts = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        #: Of each word the tokens of A and B that its groups reach to, and those that its links hold.
+        self.groups = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.links = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.group_starts, self.link_starts = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def crowded(self) -> bool:
         return len(self.codes) > _WORDS or len(self.tokens[0]) + len(self.tokens[1]) > _TOKENS
@@ -138,11 +162,11 @@ class Words:
         return parts
 
     def codes_of(self, parts: list[str]) -> np.ndarray:
-        codes = self.codes
-        new = list({p for p in parts if p not in codes})
-        if new:
-            self.learn(new)
-        return np.fromiter(map(codes.__getitem__, parts), np.int64, len(parts))
+        codes = np.fromiter(map(self.codes.__getitem__, parts), np.int64, len(parts))
+        if self.codes.new:
+            self.learn(self.codes.new)
+            self.codes.new = []
+        return codes
 
     def learn(self, new: list[str]) -> None:
         encode = self.a.encode_ordinary
@@ -160,10 +184,31 @@ class Words:
             fine &= self._spell(side, flat, n, raw, starts)
             self.tokens[side] = np.concatenate([self.tokens[side], flat])
             self.starts[side] = np.concatenate([self.starts[side], self.starts[side][-1] + np.cumsum(n)])
-        at = len(self.codes)
-        self.codes.update(zip(new, range(at, at + len(new))))
+        self._align(np.flatnonzero(fine) + len(self.fine), len(self.fine) + len(new))
         self.fine = np.concatenate([self.fine, fine])
 
+    def _align(self, codes: np.ndarray, total: int) -> None:
+        """Groups and links of new words that their tokens spell; the others have none."""
+        (a, n_a), (b, n_b) = self.expanded(codes, 0), self.expanded(codes, 1)
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        cut_a, cut_b = groups(ends_a, ends_b)
+        # A link is a stretch of bytes without an end inside: it lies in one token of either side.
+        size = int(ends_a[-1]) if len(ends_a) else 0
+        mark_a, mark_b = np.zeros(size, bool), np.zeros(size, bool)
+        mark_a[ends_a - 1] = True
+        mark_b[ends_b - 1] = True
+        last = np.flatnonzero(mark_a | mark_b)
+        link_a, link_b = (np.cumsum(mark_a) - mark_a)[last], (np.cumsum(mark_b) - mark_b)[last]
+        before_a, before_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        owner_a = np.repeat(np.arange(len(codes)), n_a)
+        for kept, starts, x, y, owner in (
+            (self.groups, "group_starts", cut_a, cut_b, owner_a[cut_a - 1]), (self.links, "link_starts", link_a, link_b, owner_a[link_a]),
+        ):
+            kept[0] = np.concatenate([kept[0], (x - before_a[owner]).astype(np.int32)])
+            kept[1] = np.concatenate([kept[1], (y - before_b[owner]).astype(np.int32)])
+            n = np.bincount(codes[owner] - len(self.fine), minlength=total - len(self.fine))
+            setattr(self, starts, np.concatenate([getattr(self, starts), getattr(self, starts)[-1] + np.cumsum(n)]))
+
     def _spell(self, side: int, flat: np.ndarray, n: np.ndarray, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Which words' tokens, `n` of each, spell the word."""
         spelt, begin = self.spelt[side]
@@ -182,10 +227,8 @@ class Words:
 
     def expanded(self, codes: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of words one after the other, and how many each word has."""
-        starts = self.starts[side]
-        n = starts[codes + 1] - starts[codes]
-        before = np.cumsum(n) - n
-        return self.tokens[side][np.repeat(starts[codes] - before, n) + np.arange(int(n.sum()))], n
+        at, n = _gathered(self.starts[side], codes)
+        return self.tokens[side][at], n
 
 
 class Aligned:
@@ -194,16 +237,11 @@ class Aligned:
     def __init__(self, words: Words, codes: np.ndarray):
         self.a, self.n_a = words.expanded(codes, 0)
         self.b, self.n_b = words.expanded(codes, 1)
-        ends_a, ends_b = np.cumsum(words.size_a[self.a]), np.cumsum(words.size_b[self.b])
-        self.cut_a, self.cut_b = groups(ends_a, ends_b)
-        # A link is a stretch of bytes without an end inside: it lies in one token of either side.
-        size = int(ends_a[-1]) if len(ends_a) else 0
-        mark_a, mark_b = np.zeros(size, bool), np.zeros(size, bool)
-        mark_a[ends_a - 1] = True
-        mark_b[ends_b - 1] = True
-        last = np.flatnonzero(mark_a | mark_b)
-        self.link_a = (np.cumsum(mark_a) - mark_a)[last]
-        self.link_b = (np.cumsum(mark_b) - mark_b)[last]
+        before_a, before_b = np.cumsum(self.n_a) - self.n_a, np.cumsum(self.n_b) - self.n_b
+        at, n = _gathered(words.group_starts, codes)
+        self.cut_a, self.cut_b = words.groups[0][at] + np.repeat(before_a, n), words.groups[1][at] + np.repeat(before_b, n)
+        at, n = _gathered(words.link_starts, codes)
+        self.link_a, self.link_b = words.links[0][at] + np.repeat(before_a, n), words.links[1][at] + np.repeat(before_b, n)
 
     def pairs(self) -> np.ndarray:
         """Both ids of each link in one number."""

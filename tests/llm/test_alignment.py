@@ -39,6 +39,17 @@ def test_groups_against_common_ends():
     assert [len(x) for x in alignment.groups(np.zeros(0, int), np.zeros(0, int))] == [0, 0]
 
 
+def test_repeated_words_are_aligned_once(monkeypatch):
+    words, ends, groups = alignment.Words(MODEL_A, MODEL_B), [], alignment.groups
+    monkeypatch.setattr(alignment, "groups", lambda a, b: ends.append(len(a)) or groups(a, b))
+    codes = words.codes_of(["unlikely", "\U0001f642x", "words"] * 500)
+    aligned = alignment.Aligned(words, codes)
+    words.codes_of(["words", "unlikely"])
+    assert sum(ends) * 500 == len(aligned.a)
+    ends_a, ends_b = np.cumsum(words.size_a[aligned.a]), np.cumsum(words.size_b[aligned.b])
+    assert [x.tolist() for x in (aligned.cut_a, aligned.cut_b)] == [x.tolist() for x in groups(ends_a, ends_b)]
+
+
 def spelt(words, side):
     data, starts = words.spelt[side]
     return [data[x:y].tobytes() for x, y in zip(starts[:-1], starts[1:])]
