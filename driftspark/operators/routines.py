@@ -352,7 +352,8 @@ def attach_comments(routines: DataFrame, comments: DataFrame, by: list[str]) ->
     """Left join of routines with their last comment in the same script.
 
     The comment side is one row per key, so a hot key can only sit on the routine side, which
-    AQE splits.
+    AQE splits. That side grows with the scripts, and sizes estimated from what texts are made of
+    would broadcast it: both are merged instead.
     """
     said = last_comment(comments, by).select(
         *[F.col(c).alias(f"_{c}") for c in [*by, "kind", "schema", "name", "arg_types"]], "comment"
@@ -360,8 +361,9 @@ def attach_comments(routines: DataFrame, comments: DataFrame, by: list[str]) ->
     same = F.lit(True)
     for c in [*by, "kind", "schema", "name"]:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    same = same & (argument_types(F.col("parameters"), F.col("kind")) == F.col("_arg_types"))
-    return routines.join(said, same, "left").select(*routines.columns, "comment")
+    same = same & (F.col("_types") == F.col("_arg_types"))
+    typed = routines.withColumn("_types", argument_types(F.col("parameters"), F.col("kind")))
+    return typed.join(said.hint("merge"), same, "left").select(*routines.columns, "comment")
 
 
 def parse_routines(scripts: DataFrame, text: str = "text", hashed: bool = False) -> DataFrame:

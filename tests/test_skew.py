@@ -115,6 +115,13 @@ def test_hot_comment_key(spark):
     assert len(parsed) == n and {r.comment for r in parsed} == {"said"}
 
 
+def test_comments_are_not_broadcast(spark):
+    scripts = spark.createDataFrame([("s", "CREATE FUNCTION f() RETURNS int LANGUAGE c; COMMENT ON FUNCTION f() IS 'said';")], "source string, text string")
+    found = routines.attach_comments(routines.extract_routines(scripts), routines.extract_comments(scripts), ["source"])
+    assert [r.comment for r in found.collect()] == ["said"]
+    assert "Broadcast" not in plan_of(found)
+
+
 @pytest.mark.parametrize("operator", ["duplicate_bodies", "last_comment", "layered_merge", "first_seen", "missing_keys"])
 def test_combined_before_the_shuffle(spark, operator):
     rows = spark.range(100).selectExpr(
